@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("billing",)
+FAMILIES = ("billing", "inventory")
 
 
 def all_queries() -> dict:

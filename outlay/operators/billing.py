@@ -118,17 +118,23 @@ def cost_by_namespace(lines: DataFrame, as_of: dt.date, window_days: int = 30) -
 def commitment_lines(lines: DataFrame) -> DataFrame:
     """Compute lines marked as eligible usage or commitment fee, with their typed credits."""
     spec = label_value(F.col("system_labels"), fixed.MACHINE_SPEC_LABEL)
-    return lines.filter(SERVICE == fixed.COMPUTE_SERVICE).select(
+    flat = lines.filter(SERVICE == fixed.COMPUTE_SERVICE).select(
         F.col("invoice.month").alias("invoice_month"),
         F.col("usage_start_time"),
         F.col("location.region").alias("region"),
         first_token(spec).alias("machine_family"),
+        SKU.alias("sku"),
         "cost",
         F.col("usage.amount_in_pricing_units").alias("usage_amount"),
-        credits_of_type(F.col("credits"), *fixed.CUD_CREDIT_TYPES).alias("cud"),
-        credits_of_type(F.col("credits"), fixed.SUD_CREDIT_TYPE).alias("sud"),
-        SKU.rlike(fixed.RE_COMMITMENT_FEE).alias("is_fee"),
-        (SKU.rlike(fixed.RE_ELIGIBLE) & ~SKU.rlike(fixed.RE_NOT_ELIGIBLE)).alias("is_eligible"),
+        "credits",
+    )
+    sku, credits = F.col("sku"), F.col("credits")
+    return flat.select(
+        *[c for c in flat.columns if c not in ("sku", "credits")],
+        credits_of_type(credits, *fixed.CUD_CREDIT_TYPES).alias("cud"),
+        credits_of_type(credits, fixed.SUD_CREDIT_TYPE).alias("sud"),
+        sku.rlike(fixed.RE_COMMITMENT_FEE).alias("is_fee"),
+        (sku.rlike(fixed.RE_ELIGIBLE) & ~sku.rlike(fixed.RE_NOT_ELIGIBLE)).alias("is_eligible"),
     )
 
 
@@ -263,13 +269,15 @@ def egress_cost(lines: DataFrame, as_of: dt.date, window_days: int = 30) -> Data
     grouped = (
         billing_scan(lines, as_of, window_days)
         .filter(SKU.rlike(fixed.RE_EGRESS) & F.col("usage.pricing_unit").isin(*fixed.EGRESS_UNITS))
+        # Plain columns first: the class reads the text several times.
         .select(
             F.col("project.id").alias("project_id"),
-            egress_class(SKU).alias("egress_class"),
+            SKU.alias("sku"),
             SERVICE.alias("service"),
             F.col("usage.amount_in_pricing_units").alias("gib"),
             line_net().alias("net"),
         )
+        .withColumn("egress_class", egress_class(F.col("sku")))
         .groupBy(*keys)
         .agg(F.sum("gib").alias("gib"), F.sum("net").alias("net"))
         .filter(F.round("net", 2) > 1)

@@ -17,13 +17,15 @@ def share_within(df: DataFrame, value: str, groups: list[str], name: str, digits
 def with_grand_total(grouped: DataFrame, sums: list[str]) -> DataFrame:
     """Attach the grand totals of ``sums`` as ``total_<name>``, one broadcast row.
 
-    A window without a partition would send every group to one task.  Totalling all sums, used or
-    not, keeps the aggregation below identical on both sides, so its shuffle is computed once and
-    reused; callers pass every aggregate of ``grouped``.
+    A window without a partition would send every group to one task.  The filter holds for any
+    input with a group; it makes the total depend on every aggregate, so that the aggregation
+    below it is the same as on the row side and its shuffle is computed once and reused.  Callers
+    pass all aggregates of ``grouped``.
     """
-    totals = grouped.agg(F.struct(*[F.sum(c).alias(c) for c in sums]).alias("totals"))
-    joined = grouped.crossJoin(F.broadcast(totals))
-    return joined.select(grouped["*"], *[F.col(f"totals.{c}").alias(f"total_{c}") for c in sums])
+    totals = grouped.agg(*[F.sum(c).alias(f"total_{c}") for c in sums]).filter(
+        F.coalesce(*[F.col(f"total_{c}").cast("double") for c in sums]).isNotNull()
+    )
+    return grouped.crossJoin(F.broadcast(totals))
 
 
 def share_of(value: Column, total: Column, digits: int) -> Column:
