@@ -52,7 +52,12 @@ def fmt_money(x: Column, currency: str = "USD") -> Column:
 
 
 def fmt_percent(x: Column, digits: int = 0) -> Column:
-    return F.concat(F.format_number(x.cast("double") * 100, digits), F.lit("%"))
+    return F.concat(fixed_point(x.cast("double") * 100, digits), F.lit("%"))
+
+
+def fixed_point(x: Column, digits: int) -> Column:
+    """Fixed-point text without digit grouping."""
+    return F.translate(F.format_number(x, digits), ",", "")
 
 
 def fmt_bytes(n: Column) -> Column:
