@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("billing", "inventory")
+FAMILIES = ("billing", "inventory", "detectors")
 
 
 def all_queries() -> dict:

@@ -202,7 +202,7 @@ def _(spark, sf):
 
 @query("G4_bucket_findings")
 def _(spark, sf):
-    return storage.bucket_findings(plans(spark, sf)).drop("details")
+    return storage.bucket_findings(plans(spark, sf))
 
 
 @query("G5_total_saving")

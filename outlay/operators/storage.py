@@ -15,7 +15,7 @@ from outlay import fixed
 from outlay.functions.dates import calendar_days, day_lit
 from outlay.functions.labels import map_label
 from outlay.functions.money import dmoney, fmt_bytes, fmt_money, price, rounded
-from outlay.operators.findings import details_json, finding
+from outlay.operators.findings import finding
 
 GB = float(fixed.GB)
 CLASSES = fixed.STORAGE_CLASSES
@@ -241,7 +241,7 @@ def bucket_findings(plans: DataFrame) -> DataFrame:
         F.when(saving > 100, "high").when(saving > 10, "medium").otherwise("low"),
         saving,
         F.when(F.size(rules) > 0, F.concat(F.lit("Apply "), F.size(rules), F.lit(" lifecycle rule(s)"))).otherwise("No change"),
-        details_json(rules=F.size(rules), notes=F.col("notes")),
+        F.to_json(F.struct("rules", "notes")),
     )
 
 
