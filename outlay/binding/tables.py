@@ -400,19 +400,19 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
         "event_type as namespace",
         "concat('svc', user_id % 10, '-rs', user_id % 3, '-p', user_id) as pod",
         "case when user_id % 25 = 24 then 'POD' when user_id % 25 = 23 then '' else 'app' end as container",
-        "concat('node-', user_id % 7) as node",
+        "concat('node-', user_id div 7) as node",
     ]
     spec = [
         (fixed.M_CPU_USAGE, "value", "1=1"),
-        (fixed.M_MEM_WORKING_SET, "floor(value * 10) * 1048576.0D", "1=1"),
+        (fixed.M_MEM_WORKING_SET, "floor(value) * 1048576.0D", "1=1"),
         (fixed.M_CPU_REQUEST, "(user_id % 8 + 1) * 0.25D", "1=1"),
         (fixed.M_MEM_REQUEST, "(user_id % 4 + 1) * 268435456.0D", "1=1"),
         (fixed.M_THROTTLED, "floor(value / 3)", "1=1"),
         (fixed.M_PERIODS, "value", "1=1"),
         (fixed.M_OOM_EVENTS, "floor(value / 20)", "event_id % 3 = 0"),
         (fixed.M_OOM_TERMINATED, "floor(value / 10)", "event_id % 2 = 0"),
-        (fixed.M_ALLOC_CPU, "(user_id % 7 + 1) * 4.0D", "1=1"),
-        (fixed.M_ALLOC_MEM, "(user_id % 7 + 1) * 17179869184.0D", "1=1"),
+        (fixed.M_ALLOC_CPU, "((user_id div 7) % 5 + 1) * 24.0D", "1=1"),
+        (fixed.M_ALLOC_MEM, "((user_id div 7) % 5 + 1) * 17179869184.0D", "1=1"),
     ]
     out = None
     for metric, value, cond in spec:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("billing", "inventory", "detectors")
+FAMILIES = ("billing", "inventory", "detectors", "metrics")
 
 
 def all_queries() -> dict:
