@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("billing", "inventory", "detectors", "metrics")
+FAMILIES = ("billing", "inventory", "detectors", "metrics", "dashboards")
 
 
 def all_queries() -> dict:

@@ -157,7 +157,8 @@ def _(spark, sf):
 
 @query("T15_rightsizing_candidates")
 def _(spark, sf):
-    return m.rightsizing_candidates(_usage(spark, sf), NOW)
+    usage = m.namespace_usage(b.samples(spark, sf), step="1 hour", seconds=3600.0)
+    return m.rightsizing_candidates(usage, NOW)
 
 
 @query("D13_scale_down_nodes")

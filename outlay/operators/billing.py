@@ -89,24 +89,23 @@ def cost_by_label(lines: DataFrame, as_of: dt.date, months: int = 3) -> DataFram
     )
 
 
+def cluster_lines(lines: DataFrame) -> DataFrame:
+    """Lines that carry a cluster label, with namespace, pricing model and net cost."""
+    return lines.filter(
+        SERVICE.isin(fixed.COMPUTE_SERVICE, fixed.KUBERNETES_SERVICE) & has_label(F.col("labels"), fixed.CLUSTER_LABEL)
+    ).select(
+        F.col("project.id").alias("project_id"),
+        label_value(F.col("labels"), fixed.CLUSTER_LABEL).alias("cluster"),
+        F.coalesce(label_value(F.col("labels"), fixed.NAMESPACE_LABEL), F.lit(fixed.UNALLOCATED)).alias("namespace"),
+        F.when(SKU.rlike(fixed.RE_SPOT), "spot").otherwise("on-demand").alias("pricing_model"),
+        line_net().alias("net"),
+    )
+
+
 def cost_by_namespace(lines: DataFrame, as_of: dt.date, window_days: int = 30) -> DataFrame:
     """Cluster cost per namespace and pricing model for lines that carry a cluster label."""
-    base = billing_scan(lines, as_of, window_days).filter(
-        SERVICE.isin(fixed.COMPUTE_SERVICE, fixed.KUBERNETES_SERVICE)
-        & has_label(F.col("labels"), fixed.CLUSTER_LABEL)
-    )
     keys = ["project_id", "cluster", "namespace", "pricing_model"]
-    grouped = (
-        base.select(
-            F.col("project.id").alias("project_id"),
-            label_value(F.col("labels"), fixed.CLUSTER_LABEL).alias("cluster"),
-            F.coalesce(label_value(F.col("labels"), fixed.NAMESPACE_LABEL), F.lit(fixed.UNALLOCATED)).alias("namespace"),
-            F.when(SKU.rlike(fixed.RE_SPOT), "spot").otherwise("on-demand").alias("pricing_model"),
-            line_net().alias("net"),
-        )
-        .groupBy(*keys)
-        .agg(F.sum("net").alias("net"))
-    )
+    grouped = cluster_lines(billing_scan(lines, as_of, window_days)).groupBy(*keys).agg(F.sum("net").alias("net"))
     return share_within(grouped, "net", ["project_id", "cluster"], "share_of_cluster_pct", 1).select(
         *keys,
         dmoney(F.col("net")).alias("net_cost_30d"),

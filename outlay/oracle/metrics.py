@@ -80,7 +80,7 @@ _PDB = """b AS (SELECT 'main' AS cluster, event_type AS namespace, 'pdb-' || use
 ORACLE["T13_blocking_budgets"] = f"WITH {_PDB} SELECT cluster, namespace, pdb FROM b WHERE allowed = 0"
 ORACLE["T13_blocking_budget_count"] = f"WITH {_PDB} SELECT COUNT(*) AS blocking FROM b WHERE allowed = 0"
 ORACLE["T14_label_values"] = """SELECT 'cluster' AS label, 'main' AS label_value FROM (SELECT 1 FROM events LIMIT 1) UNION ALL SELECT DISTINCT 'namespace', event_type FROM events"""
-ORACLE["T15_rightsizing_candidates"] = f"""WITH {NSU},
+ORACLE["T15_rightsizing_candidates"] = f"""WITH {NSU.replace('INTERVAL 5 MINUTE', 'INTERVAL 1 HOUR').replace('300.0::DOUBLE', '3600.0::DOUBLE')},
 dly AS (SELECT namespace, CAST(grid AS DATE) AS day, MAX(100 * cu.v / cr.v) AS cpu, MAX(100 * mu.v / mr.v) AS mem
   FROM cr JOIN mr USING (namespace, grid) LEFT JOIN cu USING (namespace, grid) LEFT JOIN mu USING (namespace, grid)
   WHERE grid >= {NOW} - INTERVAL 7 DAY AND grid < {NOW} GROUP BY ALL),
