@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("billing", "inventory", "detectors", "metrics", "dashboards")
+FAMILIES = ("billing", "primitives", "inventory", "detectors", "metrics", "dashboards", "streams")
 
 
 def all_queries() -> dict:

@@ -147,3 +147,70 @@ M_ALLOC_CPU = "kube_node_status_allocatable_cpu"
 M_ALLOC_MEM = "kube_node_status_allocatable_memory"
 M_NODE_LABELS = "kube_node_labels"
 M_PDB_ALLOWED = "kube_poddisruptionbudget_status_pod_disruptions_allowed"
+
+# ---------------------------------------------------------------- report texts
+# Texts of findings, notes and actions.  Names in braces are filled from columns.
+EXCLUDED_DISK = "Excluded by label keep=true; review owner"
+EXCLUDED = "Excluded by label keep=true"
+EXCLUDED_SNAPSHOT = "Excluded by label keep=true (retention hold)"
+DISK_TEXT = "Snapshot then delete (unattached {days}d). Snapshot cost ~{cost}/mo"
+ADDRESS_TEXT = "Release reserved IP {address} (unused {days}d)"
+STOPPED_TEXT = "Stopped {days}d; create machine image and delete, or confirm restart plan"
+SNAPSHOT_TEXT = "{days}d old ({size}); delete or move to a snapshot schedule with retention"
+POOL_TEXT = "No workload pods for 14d; enable autoscaling with min 0 or delete the pool"
+LB_TEXT = "Forwarding rule has zero backends; delete rule, target and any reserved IP"
+SQL_TEXT = "p95 connections={connections} over 14d; export, stop (activation policy NEVER) for 30d, then delete"
+
+NOTE_OOM = "{n} OOMKills in window; memory raised to max+headroom"
+NOTE_THROTTLED = "CPU throttled {pct} of periods at p95; raise request/relax limit"
+NOTE_WITHIN = "Within tolerance; no change"
+NOTE_MIXED = "Mixed change: one resource rises while the other falls"
+NOTE_BATCH = "Batch workload: sized to p99; consider spot node pool + toleration"
+NOTE_DAEMON = "DaemonSet: replicas = node count; savings scale with cluster size"
+NOTE_VPA = "Diverges from VPA target by {pct} on CPU; inspect before applying"
+
+HINT_STAR = "avoid SELECT *"
+HINT_RUNS = "runs {n}x/day: materialise into a scheduled table or BI Engine"
+HINT_SCAN = "{n} TiB per run: add partition filter / require_partition_filter"
+HINT_NONE = "Review query plan for pruning opportunities"
+PARTITION_TEXT = "Partition by DATE({column}) and set require_partition_filter=true; estimated 80% scan reduction"
+CLUSTER_ONLY_TEXT = "No date column to partition on; cluster by ({columns}) or use integer-range partitioning"
+CLUSTER_TEXT = "Add clustering on ({columns}) to cut block scans within partitions"
+STALE_TEXT = "Not modified for {days}d; set partition_expiration_days (e.g. 180) or drop"
+RETENTION_TEXT = "{pct} of partitions are long-term; agree a retention window with owners and set partition expiration"
+LONG_TERM_TEXT = (
+    "Unpartitioned table is rewritten on every load so nothing ages into long-term storage; "
+    "partition it so untouched partitions convert after 90 days"
+)
+SLOTS_MOVE = "Move to a {n}-slot reservation (autoscale above baseline); on-demand exceeds slot pricing by {pct}"
+SLOTS_STAY = "Stay on-demand; utilisation too bursty/low for a reservation baseline"
+SLOTS_NEAR = "Near break-even; reduce bytes scanned first (partition pruning), then re-evaluate"
+DDL_HEAD = "CREATE TABLE `{table}_partitioned`\nPARTITION BY DATE({column})\n"
+DDL_CLUSTER = "CLUSTER BY {columns}\n"
+DDL_TAIL = "OPTIONS (require_partition_filter = TRUE)\nAS SELECT * FROM `{table}`;"
+DDL_EXPIRE = "ALTER TABLE `{table}` SET OPTIONS (partition_expiration_days = 180);"
+
+NOTE_RULES = "{n} lifecycle rule(s) already present; proposal replaces them"
+NOTE_VERSIONS = "{size} of noncurrent versions; ~80% assumed deletable after {days}d/keep {keep}"
+NOTE_RETRIEVAL = "Retrieval fees modelled at {cost}/mo from {gb} GB reads"
+NOTE_HOT = "Hot serving bucket: no class transitions recommended; consider Cloud CDN to reduce egress"
+NOTE_UNLABELLED = "Missing required labels (env/team); showback attribution incomplete"
+RULES_TEXT = "Apply {n} lifecycle rule(s)"
+RULES_NONE = "No change"
+
+ACTION_GROWTH = (
+    "At current growth ({rate} MiB/day) maxmemory is reached in ~{days} days; resize or add eviction before then"
+)
+ACTION_NOEVICTION = (
+    "maxmemory-policy is noeviction while {pct} of keys lack TTL: writes will fail at maxmemory. "
+    "Switch to allkeys-lru or volatile-lru"
+)
+ACTION_HITS = "Hit ratio {pct} is low for a cache; review TTLs and key design before adding memory"
+ACTION_KEYS = "Key pattern `{pattern}` holds {size} GiB with no TTL; add TTL or move to a persistent store"
+ACTION_BIG_KEY = (
+    "Big key detected (>100 MiB); a single sorted set blocks the event loop on range queries and cannot be sharded"
+)
+ACTION_SHARDS = (
+    "Throughput/memory need {n} shards ({memory} by memory, {ops} by ops); "
+    "consider Memorystore for Redis Cluster or Redis Enterprise with hash-tagged keys"
+)

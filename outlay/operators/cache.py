@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from outlay import fixed
 from outlay.functions.money import fixed_point, fmt_percent, price, ratio, rounded
+from outlay.functions.template import fill
 
 GIB = float(fixed.GIB)
 BIG_KEY_BYTES = 100 * 1024 * 1024
@@ -138,52 +139,32 @@ def actions() -> Column:
     )
     key_texts = F.transform(
         heavy,
-        lambda k: F.concat(
-            F.lit("Key pattern `"),
-            k["key_pattern"],
-            F.lit("` holds "),
-            fixed_point(k["count"] * k["avg_bytes"] / GIB, 2),
-            F.lit(" GiB with no TTL; add TTL or move to a persistent store"),
+        lambda k: fill(
+            fixed.ACTION_KEYS, pattern=k["key_pattern"], size=fixed_point(k["count"] * k["avg_bytes"] / GIB, 2)
         ),
     )
     first = F.array(
         F.when(
             days < 60,
-            F.concat(
-                F.lit("At current growth ("),
-                fixed_point(F.col("growth_per_day") * 1024, 0),
-                F.lit(" MiB/day) maxmemory is reached in ~"),
-                fixed_point(days, 0),
-                F.lit(" days; resize or add eviction before then"),
+            fill(
+                fixed.ACTION_GROWTH, rate=fixed_point(F.col("growth_per_day") * 1024, 0), days=fixed_point(days, 0)
             ),
         ),
         F.when(
             (F.col("maxmemory_policy") == "noeviction") & (ttl < 0.9),
-            F.concat(
-                F.lit("maxmemory-policy is noeviction while "),
-                fmt_percent(1 - ttl),
-                F.lit(" of keys lack TTL: writes will fail at maxmemory. Switch to allkeys-lru or volatile-lru"),
-            ),
-        ),
-        F.when(
-            F.col("hit_ratio") < 0.8,
-            F.concat(
-                F.lit("Hit ratio "),
-                fmt_percent(F.col("hit_ratio"), 1),
-                F.lit(" is low for a cache; review TTLs and key design before adding memory"),
-            ),
+            fill(fixed.ACTION_NOEVICTION, pct=fmt_percent(1 - ttl)),
         ),
+        F.when(F.col("hit_ratio") < 0.8, fill(fixed.ACTION_HITS, pct=fmt_percent(F.col("hit_ratio"), 1))),
     )
     last = F.array(
         F.when(
             F.exists("keys", lambda k: k["avg_bytes"] > BIG_KEY_BYTES),
-            F.lit("Big key detected (>100 MiB); a single sorted set blocks the event loop on range queries and cannot be sharded"),
+            F.lit(fixed.ACTION_BIG_KEY),
         ),
         F.when(
             F.col("shards") > 1,
-            F.concat(
-                F.lit("Throughput/memory need "), "shards", F.lit(" shards ("), "shards_mem", F.lit(" by memory, "), "shards_ops",
-                F.lit(" by ops); consider Memorystore for Redis Cluster or Redis Enterprise with hash-tagged keys"),
+            fill(
+                fixed.ACTION_SHARDS, n=F.col("shards"), memory=F.col("shards_mem"), ops=F.col("shards_ops")
             ),
         ),
     )

@@ -9,6 +9,7 @@ from outlay import fixed
 from outlay.functions.dates import age_days
 from outlay.functions.labels import is_kept, no_users
 from outlay.functions.money import fmt_bytes, fmt_money, price
+from outlay.functions.template import fill
 from outlay.functions.text import machine_vcpus
 from outlay.operators.findings import details_json, finding, union_all
 
@@ -41,7 +42,7 @@ def sql_tier_monthly(tier: Column, storage_gb: Column, prices: dict) -> Column:
     return compute + storage_gb * price(prices, "cloudsql", "storage_ssd_gb_month")
 
 
-def _excluded_or(excluded: Column, text: Column, excluded_text: str = "Excluded by label keep=true") -> Column:
+def _excluded_or(excluded: Column, text: Column, excluded_text: str = fixed.EXCLUDED) -> Column:
     return F.when(excluded, F.lit(excluded_text)).otherwise(text)
 
 
@@ -66,8 +67,8 @@ def unattached_disks(disks: DataFrame, prices: dict, now: Column) -> DataFrame:
         F.col("monthly"),
         _excluded_or(
             excluded,
-            F.concat(F.lit("Snapshot then delete (unattached "), "idle_days", F.lit("d). Snapshot cost ~"), snapshot_cost, F.lit("/mo")),
-            "Excluded by label keep=true; review owner",
+            fill(fixed.DISK_TEXT, days=F.col("idle_days"), cost=snapshot_cost),
+            fixed.EXCLUDED_DISK,
         ),
         details_json(
             size_gb=F.col("size_gb"), type=F.col("type"), idle_days=F.col("idle_days"), excluded=excluded, labels=F.col("labels")
@@ -86,8 +87,7 @@ def idle_addresses(addresses: DataFrame, prices: dict, now: Column) -> DataFrame
         F.lit("low"),
         price(prices, "compute", "static_ip_idle_hour") * HOURS,
         _excluded_or(
-            excluded,
-            F.concat(F.lit("Release reserved IP "), "address", F.lit(" (unused "), age_days(F.col("creation_timestamp"), now), F.lit("d)")),
+            excluded, fill(fixed.ADDRESS_TEXT, address=F.col("address"), days=age_days(F.col("creation_timestamp"), now))
         ),
         details_json(address=F.col("address"), excluded=excluded),
         excluded,
@@ -114,10 +114,7 @@ def stopped_instances(instances: DataFrame, prices: dict, now: Column, min_days:
         F.concat("zone", F.lit("/instances/"), "name"),
         F.when(excluded, "low").otherwise("medium"),
         disk_cost,
-        _excluded_or(
-            excluded,
-            F.concat(F.lit("Stopped "), "stopped_days", F.lit("d; create machine image and delete, or confirm restart plan")),
-        ),
+        _excluded_or(excluded, fill(fixed.STOPPED_TEXT, days=F.col("stopped_days"))),
         details_json(machine_type=F.col("machine_type"), stopped_days=F.col("stopped_days"), excluded=excluded),
         excluded,
     )
@@ -136,8 +133,8 @@ def old_snapshots(snapshots: DataFrame, prices: dict, now: Column, min_age_days:
         F.col("monthly"),
         _excluded_or(
             excluded,
-            F.concat("age", F.lit("d old ("), fmt_bytes(F.col("storage_bytes")), F.lit("); delete or move to a snapshot schedule with retention")),
-            "Excluded by label keep=true (retention hold)",
+            fill(fixed.SNAPSHOT_TEXT, days=F.col("age"), size=fmt_bytes(F.col("storage_bytes"))),
+            fixed.EXCLUDED_SNAPSHOT,
         ),
         details_json(age_days=F.col("age"), source_disk=F.col("source_disk"), excluded=excluded),
         excluded,
@@ -161,7 +158,7 @@ def empty_node_pools(pools: DataFrame, prices: dict) -> DataFrame:
         F.concat("cluster", F.lit("/nodePools/"), "name"),
         F.lit("high"),
         node * F.col("node_count"),
-        F.lit("No workload pods for 14d; enable autoscaling with min 0 or delete the pool"),
+        F.lit(fixed.POOL_TEXT),
         details_json(node_count=F.col("node_count"), machine_type=F.col("machine_type"), autoscaling=F.col("autoscaling")),
     )
 
@@ -175,7 +172,7 @@ def lbs_without_backends(rules: DataFrame, prices: dict) -> DataFrame:
         F.concat("region", F.lit("/forwardingRules/"), "name"),
         F.lit("medium"),
         price(prices, "compute", "forwarding_rule_hour") * HOURS,
-        F.lit("Forwarding rule has zero backends; delete rule, target and any reserved IP"),
+        F.lit(fixed.LB_TEXT),
         details_json(scheme=F.col("load_balancing_scheme"), target=F.col("target")),
     )
 
@@ -193,14 +190,7 @@ def unused_sql(instances: DataFrame, prices: dict, max_connections: int = 1) ->
         F.concat("region", F.lit("/sql/"), "name"),
         F.when(excluded, "low").otherwise("high"),
         sql_tier_monthly(F.col("tier"), F.col("storage_gb"), prices),
-        _excluded_or(
-            excluded,
-            F.concat(
-                F.lit("p95 connections="),
-                "connections_p95_14d",
-                F.lit(" over 14d; export, stop (activation policy NEVER) for 30d, then delete"),
-            ),
-        ),
+        _excluded_or(excluded, fill(fixed.SQL_TEXT, connections=F.col("connections_p95_14d"))),
         details_json(tier=F.col("tier"), cpu_avg_14d=F.col("cpu_utilization_avg_14d"), excluded=excluded),
         excluded,
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from outlay import fixed
 from outlay.functions.money import fmt_percent, price, round_up, rounded
+from outlay.functions.template import fill
 
 CPU_STEP_M = 50
 MEM_STEP_MI = 32
@@ -85,15 +86,12 @@ def recommend(
     delta = monthly_cost(rec_cpu, rec_mem, replicas, prices) - monthly_cost(cur_cpu, cur_mem, replicas, prices)
     notes = F.array_compact(
         F.array(
-            F.when(F.col("_oom") > 0, F.concat(F.col("_oom").cast("int"), F.lit(" OOMKills in window; memory raised to max+headroom"))),
-            F.when(
-                F.col("_throttled") > 0.25,
-                F.concat(F.lit("CPU throttled "), fmt_percent(F.col("_throttled")), F.lit(" of periods at p95; raise request/relax limit")),
-            ),
-            F.when(ok, F.lit("Within tolerance; no change")),
-            F.when(F.col("_mixed"), F.lit("Mixed change: one resource rises while the other falls")),
-            F.when(F.col("kind") == "CronJob", F.lit("Batch workload: sized to p99; consider spot node pool + toleration")),
-            F.when(F.col("kind") == "DaemonSet", F.lit("DaemonSet: replicas = node count; savings scale with cluster size")),
+            F.when(F.col("_oom") > 0, fill(fixed.NOTE_OOM, n=F.col("_oom").cast("int"))),
+            F.when(F.col("_throttled") > 0.25, fill(fixed.NOTE_THROTTLED, pct=fmt_percent(F.col("_throttled")))),
+            F.when(ok, F.lit(fixed.NOTE_WITHIN)),
+            F.when(F.col("_mixed"), F.lit(fixed.NOTE_MIXED)),
+            F.when(F.col("kind") == "CronJob", F.lit(fixed.NOTE_BATCH)),
+            F.when(F.col("kind") == "DaemonSet", F.lit(fixed.NOTE_DAEMON)),
         )
     )
     return df.select(
@@ -139,7 +137,7 @@ def attach_vpa(recs: DataFrame, vpa: DataFrame) -> DataFrame:
     joined = recs.join(latest, KEYS, "left")
     target = F.col("vpa_target_cpu_m")
     gap = F.abs(F.col("rec_cpu_request_m") - target) / F.greatest(target, F.lit(1)).cast("double")
-    note = F.concat(F.lit("Diverges from VPA target by "), fmt_percent(gap), F.lit(" on CPU; inspect before applying"))
+    note = fill(fixed.NOTE_VPA, pct=fmt_percent(gap))
     return joined.withColumn("notes", F.when(gap > 0.5, F.array_append("notes", note)).otherwise(F.col("notes")))
 
 

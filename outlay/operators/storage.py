@@ -15,6 +15,7 @@ from outlay import fixed
 from outlay.functions.dates import calendar_days, day_lit
 from outlay.functions.labels import map_label
 from outlay.functions.money import dmoney, fmt_bytes, fmt_money, price, rounded
+from outlay.functions.template import fill
 from outlay.operators.findings import finding
 
 GB = float(fixed.GB)
@@ -206,23 +207,17 @@ def _notes(noncurrent_days: int, keep_versions: int) -> Column:
     missing = [F.coalesce(map_label(F.col("labels"), k), F.lit("")) == "" for k in ("env", "team")]
     return F.array_compact(
         F.array(
-            F.when(n_rules > 0, F.concat(n_rules, F.lit(" lifecycle rule(s) already present; proposal replaces them"))),
+            F.when(n_rules > 0, fill(fixed.NOTE_RULES, n=n_rules)),
             F.when(
                 F.col("versioned") & (F.col("noncurrent") > 0),
-                F.concat(
-                    fmt_bytes(F.col("noncurrent")),
-                    F.lit(f" of noncurrent versions; ~80% assumed deletable after {noncurrent_days}d/keep {keep_versions}"),
-                ),
+                fill(fixed.NOTE_VERSIONS, size=fmt_bytes(F.col("noncurrent")), days=noncurrent_days, keep=keep_versions),
             ),
             F.when(
                 F.col("retrieval") > 0,
-                F.concat(F.lit("Retrieval fees modelled at "), fmt_money(F.col("retrieval")), F.lit("/mo from "), "read_gb", F.lit(" GB reads")),
+                fill(fixed.NOTE_RETRIEVAL, cost=fmt_money(F.col("retrieval")), gb=F.col("read_gb")),
             ),
-            F.when(
-                F.col("heat") == "hot",
-                F.lit("Hot serving bucket: no class transitions recommended; consider Cloud CDN to reduce egress"),
-            ),
-            F.when(missing[0] | missing[1], F.lit("Missing required labels (env/team); showback attribution incomplete")),
+            F.when(F.col("heat") == "hot", F.lit(fixed.NOTE_HOT)),
+            F.when(missing[0] | missing[1], F.lit(fixed.NOTE_UNLABELLED)),
         )
     )
 
@@ -240,7 +235,7 @@ def bucket_findings(plans: DataFrame) -> DataFrame:
         F.col("bucket"),
         F.when(saving > 100, "high").when(saving > 10, "medium").otherwise("low"),
         saving,
-        F.when(F.size(rules) > 0, F.concat(F.lit("Apply "), F.size(rules), F.lit(" lifecycle rule(s)"))).otherwise("No change"),
+        F.when(F.size(rules) > 0, fill(fixed.RULES_TEXT, n=F.size(rules))).otherwise(fixed.RULES_NONE),
         F.to_json(F.struct("rules", "notes")),
     )
 

@@ -11,6 +11,7 @@ from outlay import fixed
 from outlay.functions.dates import ts_lit
 from outlay.functions.labels import label_value
 from outlay.functions.money import fixed_point, fmt_bytes, fmt_percent, price, rounded
+from outlay.functions.template import fill
 from outlay.functions.text import looks_temporal
 from outlay.operators.findings import details_json, finding, union_all
 
@@ -80,22 +81,15 @@ def expensive_queries(jobs: DataFrame, prices: dict, window_days: int = 30, top_
     monthly = _monthly(on_demand_cost(F.col("total_bytes_billed"), prices), window_days)
     hints = F.array_compact(
         F.array(
-            F.when(F.upper(F.coalesce("sample_sql", F.lit(""))).contains("SELECT *"), F.lit("avoid SELECT *")),
+            F.when(F.upper(F.coalesce("sample_sql", F.lit(""))).contains("SELECT *"), F.lit(fixed.HINT_STAR)),
             F.when(
                 F.col("run_count") >= 24 * window_days,
-                F.concat(
-                    F.lit("runs "),
-                    fixed_point(F.col("run_count") / float(window_days), 0),
-                    F.lit("x/day: materialise into a scheduled table or BI Engine"),
-                ),
-            ),
-            F.when(
-                per_run > 1,
-                F.concat(fixed_point(per_run, 1), F.lit(" TiB per run: add partition filter / require_partition_filter")),
+                fill(fixed.HINT_RUNS, n=fixed_point(F.col("run_count") / float(window_days), 0)),
             ),
+            F.when(per_run > 1, fill(fixed.HINT_SCAN, n=fixed_point(per_run, 1))),
         )
     )
-    text = F.when(F.size(hints) > 0, F.concat_ws("; ", hints)).otherwise("Review query plan for pruning opportunities")
+    text = F.when(F.size(hints) > 0, F.concat_ws("; ", hints)).otherwise(fixed.HINT_NONE)
     return finding(
         top,
         "expensive-query",
@@ -157,17 +151,9 @@ def table_layout(tables: DataFrame, jobs: DataFrame, prices: dict, window_days:
         F.col("table"),
         F.when((branch == 1) & (monthly > 500), "high").when(branch == 1, "medium").otherwise("low"),
         F.when(branch == 1, monthly * 0.8).otherwise(monthly * 0.3),
-        F.when(
-            branch == 1,
-            F.concat(
-                F.lit("Partition by DATE("), date_col, F.lit(") and set require_partition_filter=true; estimated 80% scan reduction")
-            ),
-        )
-        .when(
-            branch == 2,
-            F.concat(F.lit("No date column to partition on; cluster by ("), listed, F.lit(") or use integer-range partitioning")),
-        )
-        .otherwise(F.concat(F.lit("Add clustering on ("), listed, F.lit(") to cut block scans within partitions"))),
+        F.when(branch == 1, fill(fixed.PARTITION_TEXT, column=date_col))
+        .when(branch == 2, fill(fixed.CLUSTER_ONLY_TEXT, columns=listed))
+        .otherwise(fill(fixed.CLUSTER_TEXT, columns=listed)),
         F.when(
             branch == 1,
             details_json(
@@ -199,13 +185,10 @@ def partition_expiration(tables: DataFrame, prices: dict, stale_days: int = 60)
         F.col("table"),
         F.when(stale, "medium").otherwise("low"),
         F.when(stale, active_cost).otherwise(long_cost),
-        F.when(
-            stale,
-            F.concat(F.lit("Not modified for "), "last_modified_days_ago", F.lit("d; set partition_expiration_days (e.g. 180) or drop")),
-        ).otherwise(
-            F.concat(
-                fmt_percent(F.try_divide(long_term.cast("double"), F.col("total_logical_bytes").cast("double"))),
-                F.lit(" of partitions are long-term; agree a retention window with owners and set partition expiration"),
+        F.when(stale, fill(fixed.STALE_TEXT, days=F.col("last_modified_days_ago"))).otherwise(
+            fill(
+                fixed.RETENTION_TEXT,
+                pct=fmt_percent(F.try_divide(long_term.cast("double"), F.col("total_logical_bytes").cast("double"))),
             )
         ),
         details_json(size=fmt_bytes(F.col("total_logical_bytes"))),
@@ -223,10 +206,7 @@ def long_term_candidates(tables: DataFrame, prices: dict) -> DataFrame:
         F.col("table"),
         F.lit("low"),
         active_gb * 0.7 * gap,
-        F.lit(
-            "Unpartitioned table is rewritten on every load so nothing ages into long-term storage; "
-            "partition it so untouched partitions convert after 90 days"
-        ),
+        F.lit(fixed.LONG_TERM_TEXT),
         details_json(active=fmt_bytes(F.col("active_logical_bytes"))),
     )
 
@@ -267,15 +247,10 @@ def slot_breakeven(jobs: DataFrame, prices: dict, window_days: int = 30) -> Data
     verdict = (
         F.when(
             on_demand > cheapest * 1.2,
-            F.concat(
-                F.lit("Move to a "),
-                "baseline",
-                F.lit("-slot reservation (autoscale above baseline); on-demand exceeds slot pricing by "),
-                fmt_percent(on_demand / cheapest - 1),
-            ),
+            fill(fixed.SLOTS_MOVE, n=F.col("baseline"), pct=fmt_percent(on_demand / cheapest - 1)),
         )
-        .when(on_demand < cheapest * 0.8, "Stay on-demand; utilisation too bursty/low for a reservation baseline")
-        .otherwise("Near break-even; reduce bytes scanned first (partition pruning), then re-evaluate")
+        .when(on_demand < cheapest * 0.8, fixed.SLOTS_STAY)
+        .otherwise(fixed.SLOTS_NEAR)
     )
     return df.select(
         F.lit(window_days).alias("window_days"),
@@ -295,11 +270,11 @@ def suggested_ddl(findings: DataFrame) -> DataFrame:
     column = F.get_json_object("details", "$.partition_column")
     cluster = F.concat_ws(", ", F.from_json(F.get_json_object("details", "$.cluster_columns"), "array<string>"))
     create = F.concat(
-        F.lit("CREATE TABLE `"), resource, F.lit("_partitioned`\nPARTITION BY DATE("), column, F.lit(")\n"),
-        F.when(cluster != "", F.concat(F.lit("CLUSTER BY "), cluster, F.lit("\n"))).otherwise(""),
-        F.lit("OPTIONS (require_partition_filter = TRUE)\nAS SELECT * FROM `"), resource, F.lit("`;"),
+        fill(fixed.DDL_HEAD, table=resource, column=column),
+        F.when(cluster != "", fill(fixed.DDL_CLUSTER, columns=cluster)).otherwise(""),
+        fill(fixed.DDL_TAIL, table=resource),
     )
-    alter = F.concat(F.lit("ALTER TABLE `"), resource, F.lit("` SET OPTIONS (partition_expiration_days = 180);"))
+    alter = fill(fixed.DDL_EXPIRE, table=resource)
     return findings.filter(F.col("category").isin("unpartitioned-table", "partition-expiration")).select(
         "category", "resource", F.when(F.col("category") == "unpartitioned-table", create).otherwise(alter).alias("ddl")
     )

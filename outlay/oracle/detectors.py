@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from outlay import fixed
 from outlay.oracle.billing import AS_OF, d, div, r
 from outlay.oracle.inventory import F_ALL, NOW, b, fbytes, money, pick
+from outlay.oracle.text import quote, say
 
 ORACLE: dict[str, str] = {}
 
@@ -41,12 +43,12 @@ s4 AS (SELECT *, CASE WHEN unsafe THEN 'under' WHEN within THEN 'ok' WHEN {cost(
 s5 AS (SELECT *, CASE WHEN status = 'ok' THEN cur_cpu ELSE rc END AS fc, CASE WHEN status = 'ok' THEN cur_mem ELSE rm END AS fm,
   NOT unsafe AND NOT within AND (rc > cur_cpu) <> (rm > cur_mem) AS mixed FROM s4),
 recs AS (SELECT *, {r(cost('fc', 'fm') + ' - ' + cost('cur_cpu', 'cur_mem'))} AS delta,
-  concat_ws(' | ', CASE WHEN oom > 0 THEN oom || ' OOMKills in window; memory raised to max+headroom' END,
-    CASE WHEN thr > 0.25 THEN 'CPU throttled ' || {pct('thr')} || ' of periods at p95; raise request/relax limit' END,
-    CASE WHEN status = 'ok' THEN 'Within tolerance; no change' END,
-    CASE WHEN mixed THEN 'Mixed change: one resource rises while the other falls' END,
-    CASE WHEN kind = 'CronJob' THEN 'Batch workload: sized to p99; consider spot node pool + toleration' END,
-    CASE WHEN kind = 'DaemonSet' THEN 'DaemonSet: replicas = node count; savings scale with cluster size' END) AS notes FROM s5)"""
+  concat_ws(' | ', CASE WHEN oom > 0 THEN {say(fixed.NOTE_OOM, n='oom')} END,
+    CASE WHEN thr > 0.25 THEN {say(fixed.NOTE_THROTTLED, pct=pct('thr'))} END,
+    CASE WHEN status = 'ok' THEN {quote(fixed.NOTE_WITHIN)} END,
+    CASE WHEN mixed THEN {quote(fixed.NOTE_MIXED)} END,
+    CASE WHEN kind = 'CronJob' THEN {quote(fixed.NOTE_BATCH)} END,
+    CASE WHEN kind = 'DaemonSet' THEN {quote(fixed.NOTE_DAEMON)} END) AS notes FROM s5)"""
 
 
 def rec_select(limit: str) -> str:
@@ -67,7 +69,7 @@ j AS (SELECT *, CASE WHEN pk % 3 = 0 THEN NULL WHEN pk % 4 = 0 THEN 77 ELSE CAST
   CASE WHEN pk % 3 = 0 THEN NULL WHEN pk % 4 = 0 THEN 177 ELSE CAST((pk * 5) % 2000 AS INTEGER) END AS vm FROM recs),
 g AS (SELECT *, CAST(ABS(fc - vc) AS DOUBLE) / GREATEST(vc, 1) AS gap FROM j)
 SELECT namespace, workload, container, fc AS rec_cpu_request_m, vc AS vpa_target_cpu_m, vm AS vpa_target_mem_mi,
-  CASE WHEN gap > 0.5 THEN CASE WHEN notes = '' THEN '' ELSE notes || ' | ' END || 'Diverges from VPA target by ' || {pct('gap')} || ' on CPU; inspect before applying' ELSE notes END AS notes
+  CASE WHEN gap > 0.5 THEN CASE WHEN notes = '' THEN '' ELSE notes || ' | ' END || {say(fixed.NOTE_VPA, pct=pct('gap'))} ELSE notes END AS notes
 FROM g"""
 ORACLE["K4_sorted_recommendations"] = f"""WITH {RECS} SELECT namespace, workload, container,
   CASE status WHEN 'under' THEN 0 WHEN 'over' THEN 1 ELSE 2 END AS status_rank, delta AS monthly_delta_estimate FROM recs ORDER BY 4, 5"""
@@ -113,11 +115,11 @@ TIB = "1099511627776.0::DOUBLE"
 ONDEMAND = f"(CAST(bytes AS DOUBLE) / {TIB} * 6.25::DOUBLE)"
 ORACLE["Q2_on_demand_cost"] = f"WITH {JOBS} SELECT query_hash, {r(ONDEMAND, 4)} AS on_demand_cost FROM jobs"
 PER_RUN = f"(CAST(bytes AS DOUBLE) / runs / {TIB})"
-HINTS = f"""concat_ws('; ', CASE WHEN contains(upper(q), 'SELECT *') THEN 'avoid SELECT *' END,
-  CASE WHEN runs >= 720 THEN 'runs ' || format('{{:.0f}}', runs / 30.0::DOUBLE) || 'x/day: materialise into a scheduled table or BI Engine' END,
-  CASE WHEN {PER_RUN} > 1 THEN format('{{:.1f}}', {PER_RUN}) || ' TiB per run: add partition filter / require_partition_filter' END)"""
+HINTS = f"""concat_ws('; ', CASE WHEN contains(upper(q), 'SELECT *') THEN {quote(fixed.HINT_STAR)} END,
+  CASE WHEN runs >= 720 THEN {say(fixed.HINT_RUNS, n="format('{:.0f}', runs / 30.0::DOUBLE)")} END,
+  CASE WHEN {PER_RUN} > 1 THEN {say(fixed.HINT_SCAN, n="format('{:.1f}', " + PER_RUN + ")")} END)"""
 EXPENSIVE = f"""SELECT 'expensive-query' AS category, query_hash AS resource, CASE WHEN {ONDEMAND} * 30.0::DOUBLE / 30 > 500 THEN 'high' WHEN {ONDEMAND} * 30.0::DOUBLE / 30 > 50 THEN 'medium' ELSE 'low' END AS severity,
-  {r(ONDEMAND + ' * 30.0::DOUBLE / 30')} AS monthly_cost_estimate, CASE WHEN {HINTS} = '' THEN 'Review query plan for pruning opportunities' ELSE {HINTS} END AS recommendation, FALSE AS excluded,
+  {r(ONDEMAND + ' * 30.0::DOUBLE / 30')} AS monthly_cost_estimate, CASE WHEN {HINTS} = '' THEN {quote(fixed.HINT_NONE)} ELSE {HINTS} END AS recommendation, FALSE AS excluded,
   '{{"user":"' || user_email || '","team":"' || team || '","runs":' || runs || ',"bytes_billed":' || bytes || ',"tables":['
     || CASE n_tables WHEN 0 THEN '' WHEN 1 THEN '"ds.t' || t || '"' ELSE '"ds.t' || t || '","ds.t' || (t + 1) || '"' END || ']}}' AS details
 FROM (SELECT * FROM jobs ORDER BY bytes DESC, query_hash LIMIT 5)"""
@@ -137,9 +139,9 @@ TABLES = """tables AS (SELECT p_partkey AS k, 'ds' || (p_partkey % 6) AS dataset
 LAYOUT = f"""SELECT CASE WHEN branch = 1 THEN 'unpartitioned-table' ELSE 'unclustered-table' END AS category, tbl AS resource,
   CASE WHEN branch = 1 AND monthly > 500 THEN 'high' WHEN branch = 1 THEN 'medium' ELSE 'low' END AS severity,
   CASE WHEN branch = 1 THEN {r('monthly * 0.8::DOUBLE')} ELSE {r('monthly * 0.3::DOUBLE')} END AS monthly_cost_estimate,
-  CASE branch WHEN 1 THEN 'Partition by DATE(' || date_col || ') and set require_partition_filter=true; estimated 80% scan reduction'
-    WHEN 2 THEN 'No date column to partition on; cluster by (' || cols || ') or use integer-range partitioning'
-    ELSE 'Add clustering on (' || cols || ') to cut block scans within partitions' END AS recommendation, FALSE AS excluded,
+  CASE branch WHEN 1 THEN {say(fixed.PARTITION_TEXT, column='date_col')}
+    WHEN 2 THEN {say(fixed.CLUSTER_ONLY_TEXT, columns='cols')}
+    ELSE {say(fixed.CLUSTER_TEXT, columns='cols')} END AS recommendation, FALSE AS excluded,
   CASE branch WHEN 1 THEN '{{"size":"' || {fbytes('total')} || '","scanned_in_window":"' || {fbytes('scan_bytes')} || '","partition_column":"' || date_col || '","cluster_columns":[' || rest || ']}}'
     WHEN 2 THEN '{{"size":"' || {fbytes('total')} || '","scanned_in_window":"' || {fbytes('scan_bytes')} || '"}}'
     ELSE '{{"scanned_in_window":"' || {fbytes('scan_bytes')} || '"}}' END AS details
@@ -152,14 +154,14 @@ ORACLE["Q5a_temporal_columns"] = f"""WITH {TABLES} SELECT tbl AS "table", date_c
   CASE k % 5 WHEN 0 THEN 'customer_id,region' WHEN 1 THEN 'tenant_id,region' ELSE '' END AS other_columns FROM tables"""
 EXPIRATION = f"""SELECT 'partition-expiration' AS category, tbl AS resource, CASE WHEN ago >= 60 THEN 'medium' ELSE 'low' END AS severity,
   CASE WHEN ago >= 60 THEN {r('active / 1e9::DOUBLE * 0.023::DOUBLE')} ELSE {r('lt / 1e9::DOUBLE * 0.016::DOUBLE * 0.5::DOUBLE')} END AS monthly_cost_estimate,
-  CASE WHEN ago >= 60 THEN 'Not modified for ' || ago || 'd; set partition_expiration_days (e.g. 180) or drop'
-    ELSE {pct('CAST(lt AS DOUBLE) / total')} || ' of partitions are long-term; agree a retention window with owners and set partition expiration' END AS recommendation,
+  CASE WHEN ago >= 60 THEN {say(fixed.STALE_TEXT, days='ago')}
+    ELSE {say(fixed.RETENTION_TEXT, pct=pct('CAST(lt AS DOUBLE) / total'))} END AS recommendation,
   FALSE AS excluded, '{{"size":"' || {fbytes('total')} || '"}}' AS details
 FROM tables WHERE part AND NOT expires AND (ago >= 60 OR total > 10995116277760)"""
 ORACLE["Q6_partition_expiration"] = f"WITH {TABLES} {EXPIRATION}"
 LONG_TERM = f"""SELECT 'long-term-storage' AS category, tbl AS resource, 'low' AS severity,
   {r(f'active / 1e9::DOUBLE * 0.7::DOUBLE * {0.023 - 0.016!r}::DOUBLE')} AS monthly_cost_estimate,
-  'Unpartitioned table is rewritten on every load so nothing ages into long-term storage; partition it so untouched partitions convert after 90 days' AS recommendation,
+  {quote(fixed.LONG_TERM_TEXT)} AS recommendation,
   FALSE AS excluded, '{{"active":"' || {fbytes('active')} || '"}}' AS details FROM tables WHERE NOT part AND active / 1e9::DOUBLE > 1000 AND ago <= 7"""
 ORACLE["Q7_long_term_storage"] = f"WITH {TABLES} {LONG_TERM}"
 BREAKEVEN = f"""t AS (SELECT CAST(SUM(slot_ms) AS DOUBLE) / 3600000.0::DOUBLE AS hours, CAST(SUM(bytes) AS DOUBLE) / {TIB} * 6.25::DOUBLE * 1.0::DOUBLE AS od FROM jobs),
@@ -167,16 +169,15 @@ bl AS (SELECT *, hours / 720.0::DOUBLE AS avg_slots, GREATEST(100, CAST(round_ev
 be AS (SELECT *, n * 0.048::DOUBLE * 730::DOUBLE AS std, n * 0.072::DOUBLE * 730::DOUBLE AS ent, n * 0.058::DOUBLE * 730::DOUBLE AS e1 FROM bl),
 breakeven AS (SELECT 30 AS window_days, {r('hours', 1)} AS total_slot_hours, {r('avg_slots', 1)} AS avg_slots_needed, {r('od')} AS on_demand_monthly, {r('std')} AS slots_standard_monthly,
   {r('ent')} AS slots_enterprise_monthly, {r('e1')} AS slots_enterprise_1y_monthly,
-  CASE WHEN od > LEAST(std, e1) * 1.2::DOUBLE THEN 'Move to a ' || n || '-slot reservation (autoscale above baseline); on-demand exceeds slot pricing by ' || {pct('od / LEAST(std, e1) - 1')}
-    WHEN od < LEAST(std, e1) * 0.8::DOUBLE THEN 'Stay on-demand; utilisation too bursty/low for a reservation baseline'
-    ELSE 'Near break-even; reduce bytes scanned first (partition pruning), then re-evaluate' END AS recommendation FROM be)"""
+  CASE WHEN od > LEAST(std, e1) * 1.2::DOUBLE THEN {say(fixed.SLOTS_MOVE, n='n', pct=pct('od / LEAST(std, e1) - 1'))}
+    WHEN od < LEAST(std, e1) * 0.8::DOUBLE THEN {quote(fixed.SLOTS_STAY)}
+    ELSE {quote(fixed.SLOTS_NEAR)} END AS recommendation FROM be)"""
 ORACLE["Q8_slot_breakeven"] = f"WITH {JOBS}, {BREAKEVEN} SELECT * FROM breakeven"
 ORACLE["Q9_suggested_ddl"] = f"""WITH {JOBS}, {SCAN}, {TABLES}
-SELECT category, resource, 'CREATE TABLE `' || resource || '_partitioned`' || chr(10) || 'PARTITION BY DATE(' || date_col || ')' || chr(10)
-  || CASE WHEN rest = '' THEN '' ELSE 'CLUSTER BY ' || replace(replace(rest, '"', ''), ',', ', ') || chr(10) END
-  || 'OPTIONS (require_partition_filter = TRUE)' || chr(10) || 'AS SELECT * FROM `' || resource || '`;' AS ddl
+SELECT category, resource, {say(fixed.DDL_HEAD, table='resource', column='date_col')} || CASE WHEN rest = '' THEN '' ELSE {say(fixed.DDL_CLUSTER, columns="replace(replace(rest, '" + '"' + "', ''), ',', ', ')")} END
+  || {say(fixed.DDL_TAIL, table='resource')} AS ddl
 FROM ({LAYOUT}) l JOIN tables ON tbl = resource WHERE category = 'unpartitioned-table'
-UNION ALL SELECT category, resource, 'ALTER TABLE `' || resource || '` SET OPTIONS (partition_expiration_days = 180);' FROM ({EXPIRATION})"""
+UNION ALL SELECT category, resource, {say(fixed.DDL_EXPIRE, table='resource')} FROM ({EXPIRATION})"""
 ORACLE["Q10_top_users"] = f"""SELECT source || '@example.com' AS user_email, COUNT(*) AS runs, {r(f'CAST(SUM(n_chars * 1000000000) AS DOUBLE) / {TIB}')} AS tib FROM documents
   WHERE {NOW} - to_days(CAST(doc_id % 40 AS INTEGER)) - INTERVAL 1 HOUR > {NOW} - INTERVAL 30 DAY AND doc_id % 10 <> 9 GROUP BY source
   ORDER BY SUM(n_chars) DESC, 1 LIMIT 20"""
@@ -232,11 +233,11 @@ plans AS (SELECT *, {r('current_monthly - proposed_monthly')} AS saving,
   '[' || concat_ws(',', {', '.join(rule_sql(i) for i in (1, 2, 3))},
     CASE WHEN {OLD} THEN '{{"action":{{"type":"Delete"}},"condition":{{"isLive":false,"daysSinceNoncurrentTime":30}}}}' END,
     CASE WHEN {OLD} THEN '{{"action":{{"type":"Delete"}},"condition":{{"isLive":false,"numNewerVersions":3}}}}' END) || ']' AS rules_text,
-  [n FOR n IN [CASE WHEN has_rules THEN '1 lifecycle rule(s) already present; proposal replaces them' END,
-    CASE WHEN {OLD} THEN {fbytes('nc')} || ' of noncurrent versions; ~80% assumed deletable after 30d/keep 3' END,
-    CASE WHEN retrieval > 0 THEN 'Retrieval fees modelled at ' || {money('retrieval')} || '/mo from ' || CAST(read_gb AS VARCHAR) || ' GB reads' END,
-    CASE WHEN heat = 0 THEN 'Hot serving bucket: no class transitions recommended; consider Cloud CDN to reduce egress' END,
-    CASE WHEN unlabelled THEN 'Missing required labels (env/team); showback attribution incomplete' END] IF n IS NOT NULL] AS note_list FROM rounded)"""
+  [n FOR n IN [CASE WHEN has_rules THEN {say(fixed.NOTE_RULES, n=quote('1'))} END,
+    CASE WHEN {OLD} THEN {say(fixed.NOTE_VERSIONS, size=fbytes('nc'), days=quote('30'), keep=quote('3'))} END,
+    CASE WHEN retrieval > 0 THEN {say(fixed.NOTE_RETRIEVAL, cost=money('retrieval'), gb='CAST(read_gb AS VARCHAR)')} END,
+    CASE WHEN heat = 0 THEN {quote(fixed.NOTE_HOT)} END,
+    CASE WHEN unlabelled THEN {quote(fixed.NOTE_UNLABELLED)} END] IF n IS NOT NULL] AS note_list FROM rounded)"""
 ORACLE["G1_band_class_plan"] = f"""WITH {BUCKETS}, b AS (SELECT bucket, UNNEST([{{'band': '0-30', 'c': t0}}, {{'band': '30-90', 'c': t1}}, {{'band': '90-365', 'c': t2}}, {{'band': '365+', 'c': t3}}]) AS e FROM targets)
 SELECT bucket AS name, e.band AS band, {pick('e.c', C4)} AS class FROM b"""
 ORACLE["G2_storage_cost"] = f"""WITH {BUCKETS}, s AS (SELECT cur, CAST(SUM(b0 + b1 + b2 + b3 + nc) AS DOUBLE) AS bytes, SUM(a_ops) AS a_ops, SUM(b_ops) AS b_ops FROM buckets GROUP BY cur)
@@ -245,7 +246,7 @@ ORACLE["G3_bucket_plans"] = f"""WITH {PLANS} SELECT bucket, {pick('cur', C4)} AS
   CAST(n_rules AS INTEGER) AS rules, array_to_string(note_list, ' | ') AS notes FROM plans"""
 ORACLE["G3a_lifecycle_rules"] = f"""WITH {PLANS} SELECT bucket, '{{"lifecycle":{{"rule":' || rules_text || '}}}}' AS lifecycle FROM plans WHERE n_rules > 0"""
 ORACLE["G4_bucket_findings"] = f"""WITH {PLANS} SELECT 'gcs-lifecycle' AS category, bucket AS resource, CASE WHEN saving > 100 THEN 'high' WHEN saving > 10 THEN 'medium' ELSE 'low' END AS severity,
-  saving AS monthly_cost_estimate, CASE WHEN n_rules > 0 THEN 'Apply ' || n_rules || ' lifecycle rule(s)' ELSE 'No change' END AS recommendation, FALSE AS excluded,
+  saving AS monthly_cost_estimate, CASE WHEN n_rules > 0 THEN {say(fixed.RULES_TEXT, n='n_rules')} ELSE {quote(fixed.RULES_NONE)} END AS recommendation, FALSE AS excluded,
   '{{"rules":' || rules_text || ',"notes":[' || array_to_string(['"' || n || '"' FOR n IN note_list], ',') || ']}}' AS details FROM plans"""
 ORACLE["G5_total_saving"] = f"WITH {PLANS} SELECT COUNT(*) AS buckets, CAST(SUM(CAST(saving AS DECIMAL(18,2))) AS DOUBLE) AS monthly_saving FROM plans"
 AGE = f"({AS_OF} - CAST(l_shipdate AS DATE))"
@@ -293,14 +294,14 @@ c2 AS (SELECT *, projected * 1.25::DOUBLE AS need, CASE WHEN g > 0 AND cur < max
 c3 AS (SELECT *, {ladder('need')} AS rec, CAST(ceil(need / 13.0::DOUBLE) AS INTEGER) AS smem, {BY_OPS} AS sops FROM c2),
 c4 AS (SELECT *, GREATEST(1, smem, sops) AS shards FROM c3),
 c5 AS (SELECT *, [a FOR a IN [
-  CASE WHEN days < 60 THEN 'At current growth (' || format('{{:.0f}}', g * 1024) || ' MiB/day) maxmemory is reached in ~' || format('{{:.0f}}', days) || ' days; resize or add eviction before then' END,
-  CASE WHEN u % 2 = 0 AND {TTL} < 0.9 THEN 'maxmemory-policy is noeviction while ' || {pct(f'(1 - {TTL})')} || ' of keys lack TTL: writes will fail at maxmemory. Switch to allkeys-lru or volatile-lru' END,
-  CASE WHEN hr < 0.8 THEN 'Hit ratio ' || {pct('hr', 1)} || ' is low for a cache; review TTLs and key design before adding memory' END,
-  CASE WHEN u % 4 <> 0 AND u % 2 <> 0 AND u * 1000 * 1048576 / {GIB} > 0.05 THEN 'Key pattern `sess:' || u || '` holds ' || format('{{:.2f}}', u * 1000 * 1048576 / {GIB}) || ' GiB with no TTL; add TTL or move to a persistent store' END,
-  CASE WHEN u % 4 <> 0 AND u % 9 = 0 THEN 'Key pattern `board` holds 0.37 GiB with no TTL; add TTL or move to a persistent store' END,
-  CASE WHEN u % 4 <> 0 THEN 'Key pattern `feed` holds 0.19 GiB with no TTL; add TTL or move to a persistent store' END,
-  CASE WHEN u % 4 <> 0 AND u % 9 = 0 THEN 'Big key detected (>100 MiB); a single sorted set blocks the event loop on range queries and cannot be sharded' END,
-  CASE WHEN shards > 1 THEN 'Throughput/memory need ' || shards || ' shards (' || smem || ' by memory, ' || sops || ' by ops); consider Memorystore for Redis Cluster or Redis Enterprise with hash-tagged keys' END
+  CASE WHEN days < 60 THEN {say(fixed.ACTION_GROWTH, rate="format('{:.0f}', g * 1024)", days="format('{:.0f}', days)")} END,
+  CASE WHEN u % 2 = 0 AND {TTL} < 0.9 THEN {say(fixed.ACTION_NOEVICTION, pct=pct(f'(1 - {TTL})'))} END,
+  CASE WHEN hr < 0.8 THEN {say(fixed.ACTION_HITS, pct=pct('hr', 1))} END,
+  CASE WHEN u % 4 <> 0 AND u % 2 <> 0 AND u * 1000 * 1048576 / {GIB} > 0.05 THEN {say(fixed.ACTION_KEYS, pattern="'sess:' || u", size="format('{:.2f}', u * 1000 * 1048576 / " + GIB + ")")} END,
+  CASE WHEN u % 4 <> 0 AND u % 9 = 0 THEN {say(fixed.ACTION_KEYS, pattern=quote('board'), size=quote('0.37'))} END,
+  CASE WHEN u % 4 <> 0 THEN {say(fixed.ACTION_KEYS, pattern=quote('feed'), size=quote('0.19'))} END,
+  CASE WHEN u % 4 <> 0 AND u % 9 = 0 THEN {quote(fixed.ACTION_BIG_KEY)} END,
+  CASE WHEN shards > 1 THEN {say(fixed.ACTION_SHARDS, n='shards', memory='smem', ops='sops')} END
   ] IF a IS NOT NULL] AS actions FROM c4)"""
 ORACLE["R1_growth"] = f"WITH {GROWTH} SELECT 'cache-' || u AS instance, n, span_days, {r('g', 6)} AS growth_per_day, {r('cur', 6)} AS current_gib FROM growth"
 ORACLE["R2_capacity_plan"] = f"""WITH {CACHE} SELECT 'cache-' || u AS instance, 'memorystore' AS provider, CASE WHEN u % 3 = 0 THEN 'BASIC' ELSE 'standard_ha' END AS tier, prov AS provisioned_gb,

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from outlay import fixed
 from outlay.oracle.billing import r
+from outlay.oracle.text import quote, say
 
 NOW = "TIMESTAMP '2000-06-24 02:00:00'"
 
@@ -56,8 +58,8 @@ def disks(ssd: float = 0.204) -> str:
     k = kept("p_partkey")
     return f"""SELECT 'unattached-disk' AS category, 'zone-' || (p_partkey % 3) || '/disks/disk-' || p_partkey AS resource,
   CASE WHEN {monthly} > 50 AND NOT {k} THEN 'high' ELSE 'medium' END AS severity, {r(monthly)} AS monthly_cost_estimate,
-  CASE WHEN {k} THEN 'Excluded by label keep=true; review owner'
-    ELSE 'Snapshot then delete (unattached ' || {idle} || 'd). Snapshot cost ~' || {money('p_size * 10 * 0.032::DOUBLE')} || '/mo' END AS recommendation,
+  CASE WHEN {k} THEN {quote(fixed.EXCLUDED_DISK)}
+    ELSE {say(fixed.DISK_TEXT, days=idle, cost=money('p_size * 10 * 0.032::DOUBLE'))} END AS recommendation,
   {k} AS excluded,
   '{{"size_gb":' || (p_size * 10) || ',"type":"' || {DISK_TYPE} || '","idle_days":' || {idle} || ',"excluded":' || {b(k)} || ',"labels":' || {labels_json('p_partkey')} || '}}' AS details
 FROM part WHERE p_partkey % 3 <> 0"""
@@ -69,7 +71,7 @@ def addresses() -> str:
     days = age(f"{NOW} - to_days(CAST(s_suppkey % 100 AS INTEGER)) - INTERVAL 3 HOUR")
     return f"""SELECT 'idle-static-ip', CASE WHEN s_suppkey % 6 = 0 THEN 'global' ELSE 'region-' || (s_nationkey % 5) END || '/addresses/addr-' || s_suppkey,
   'low', {r('0.012::DOUBLE * 730::DOUBLE')},
-  CASE WHEN {k} THEN 'Excluded by label keep=true' ELSE 'Release reserved IP ' || {ip} || ' (unused ' || {days} || 'd)' END, {k},
+  CASE WHEN {k} THEN {quote(fixed.EXCLUDED)} ELSE {say(fixed.ADDRESS_TEXT, address=ip, days=days)} END, {k},
   '{{"address":"' || {ip} || '","excluded":' || {b(k)} || '}}'
 FROM supplier WHERE s_suppkey % 3 <> 0 AND s_suppkey % 5 <> 0"""
 
@@ -83,7 +85,7 @@ def instances(min_days: int = 14, ssd: float = 0.204) -> str:
     k = kept("o_orderkey")
     return f"""SELECT 'stopped-vm-with-disks', 'zone-' || (o_custkey % 3) || '/instances/vm-' || o_orderkey,
   CASE WHEN {k} THEN 'low' ELSE 'medium' END, {r(f'(({disk(0)} + {disk(1)}) + {disk(2)})')},
-  CASE WHEN {k} THEN 'Excluded by label keep=true' ELSE 'Stopped ' || {days} || 'd; create machine image and delete, or confirm restart plan' END, {k},
+  CASE WHEN {k} THEN {quote(fixed.EXCLUDED)} ELSE {say(fixed.STOPPED_TEXT, days=days)} END, {k},
   '{{"machine_type":"n2-standard-' || (o_custkey % 8) || '","stopped_days":' || {days} || ',"excluded":' || {b(k)} || '}}'
 FROM orders WHERE o_orderstatus = 'F' AND {days} >= {min_days}"""
 
@@ -94,8 +96,8 @@ def snapshots(min_age: int = 90) -> str:
     monthly = f"(CAST({size} AS DOUBLE) / 1073741824.0::DOUBLE * 0.032::DOUBLE)"
     k = kept("c_custkey")
     return f"""SELECT 'old-snapshot', 'snapshots/snap-' || c_custkey, CASE WHEN {monthly} > 10 AND NOT {k} THEN 'medium' ELSE 'low' END,
-  {r(monthly)}, CASE WHEN {k} THEN 'Excluded by label keep=true (retention hold)'
-    ELSE {days} || 'd old (' || {fbytes(size)} || '); delete or move to a snapshot schedule with retention' END, {k},
+  {r(monthly)}, CASE WHEN {k} THEN {quote(fixed.EXCLUDED_SNAPSHOT)}
+    ELSE {say(fixed.SNAPSHOT_TEXT, days=days, size=fbytes(size))} END, {k},
   '{{"age_days":' || {days} || ',"source_disk":"disk-' || (c_custkey % 100) || '","excluded":' || {b(k)} || '}}'
 FROM customer WHERE {days} >= {min_age}"""
 
@@ -108,14 +110,14 @@ def node_pools() -> str:
     node = f"(({VCPUS} * 0.0242::DOUBLE + ({VCPUS} * 4) * 0.0032::DOUBLE) * 730::DOUBLE)"
     node = f"(CASE WHEN c_custkey % 6 = 0 THEN {node} * {1 - 0.65!r}::DOUBLE ELSE {node} END)"
     return f"""SELECT 'empty-node-pool', 'gke-' || c_nationkey || '/nodePools/pool-' || c_custkey, 'high', {r(f'{node} * (c_custkey % 5)')},
-  'No workload pods for 14d; enable autoscaling with min 0 or delete the pool', FALSE,
+  {quote(fixed.POOL_TEXT)}, FALSE,
   '{{"node_count":' || (c_custkey % 5) || ',"machine_type":"' || {MACHINE} || '","autoscaling":{{"enabled":' || {b('c_custkey % 2 = 0')} || ',"min":0,"max":' || (c_custkey % 9) || '}}}}'
 FROM customer WHERE c_custkey % 5 <> 0 AND c_custkey % 3 = 0"""
 
 
 def rules() -> str:
     return f"""SELECT 'lb-no-backends', 'region-' || (s_nationkey % 5) || '/forwardingRules/fr-' || s_suppkey, 'medium', {r('0.03::DOUBLE * 730::DOUBLE')},
-  'Forwarding rule has zero backends; delete rule, target and any reserved IP', FALSE,
+  {quote(fixed.LB_TEXT)}, FALSE,
   '{{"scheme":"' || CASE WHEN s_suppkey % 2 = 0 THEN 'EXTERNAL' ELSE 'INTERNAL' END || '","target":"target-' || (s_suppkey % 13) || '"}}'
 FROM supplier WHERE s_suppkey % 4 IN (1, 2) AND s_suppkey % 5 <> 0"""
 
@@ -128,8 +130,8 @@ TIER_MONTHLY = """((CASE c_custkey % 4 WHEN 0 THEN 4.0::DOUBLE ELSE 2.0::DOUBLE
 def sql_instances(max_connections: int = 1) -> str:
     k = kept("c_custkey")
     return f"""SELECT 'unused-cloudsql', 'region-' || (c_nationkey % 4) || '/sql/sql-' || c_custkey, CASE WHEN {k} THEN 'low' ELSE 'high' END,
-  {r(TIER_MONTHLY)}, CASE WHEN {k} THEN 'Excluded by label keep=true'
-    ELSE 'p95 connections=' || (c_custkey % 5) || ' over 14d; export, stop (activation policy NEVER) for 30d, then delete' END, {k},
+  {r(TIER_MONTHLY)}, CASE WHEN {k} THEN {quote(fixed.EXCLUDED)}
+    ELSE {say(fixed.SQL_TEXT, connections='(c_custkey % 5)')} END, {k},
   '{{"tier":"' || {TIER} || '","cpu_avg_14d":' || CAST(CAST(c_custkey % 100 AS DOUBLE) / 100 AS VARCHAR) || ',"excluded":' || {b(k)} || '}}'
 FROM customer WHERE c_custkey % 9 <> 0 AND c_custkey % 4 <> 3 AND c_custkey % 5 <= {max_connections}"""
 
