@@ -72,22 +72,26 @@ _TAX_CREDIT_TYPE = _pick(
 
 def _labels(*entries: tuple[str, str, str]) -> str:
     """Array of the label structs whose condition holds."""
-    structs = ",".join(
-        f"if({cond}, named_struct('key','{key}','value',{value}), cast(null as struct<key:string,value:string>))"
-        for key, value, cond in entries
-    )
-    return f"array_compact(array({structs}))"
+    empty = "cast(array() as array<struct<key:string,value:string>>)"
+    parts = [f"if({cond}, array(named_struct('key','{key}','value',{value})), {empty})" for key, value, cond in entries]
+    return parts[0] if len(parts) == 1 else "concat(" + ",".join(parts) + ")"
 
 
 _COST = "cast(l_extendedprice as decimal(18,4))"
 
 
-def _credit(type_sql: str, rate: str) -> str:
-    amount = f"cast(-({_COST} * cast({rate} as decimal(4,2))) as decimal(18,4))"
-    return (
-        f"if({rate} > 0, named_struct('name', {type_sql}, 'full_name', {type_sql}, 'id', {type_sql}, "
-        f"'type', {type_sql}, 'amount', {amount}), null)"
-    )
+def _credit(name: str) -> str:
+    """Credit struct over the columns ``<name>_type`` and ``<name>_amount``."""
+    kind = f"{name}_type"
+    return f"named_struct('name', {kind}, 'full_name', {kind}, 'id', {kind}, 'type', {kind}, 'amount', {name}_amount)"
+
+
+def _amount(rate: str) -> str:
+    return f"cast(-({_COST} * cast({rate} as decimal(4,2))) as decimal(18,4))"
+
+
+_CUD = _credit("cud")
+_SUD = _credit("sud")
 
 
 def billing_lines(lineitem: DataFrame, hourly: bool = False) -> DataFrame:
@@ -100,7 +104,19 @@ def billing_lines(lineitem: DataFrame, hourly: bool = False) -> DataFrame:
     if hourly:
         start = "l_shipdate + make_dt_interval(0, cast(l_orderkey % 24 as int))"
     on_cluster = "l_partkey % 6 <= 2 and l_orderkey % 3 <> 0"
-    return lineitem.selectExpr(
+    # Scalars first: they are compiled, and the nested columns are then built from plain columns.
+    scalars = lineitem.selectExpr(
+        "*",
+        f"{_SERVICE} as service_name",
+        f"{_SKU} as sku_name",
+        f"{_REGION} as region_name",
+        f"{_COST} as list_cost",
+        f"{_CREDIT_TYPE} as cud_type",
+        f"{_TAX_CREDIT_TYPE} as sud_type",
+        f"if(l_discount > 0, {_amount('l_discount')}, null) as cud_amount",
+        f"if(l_tax > 0, {_amount('l_tax')}, null) as sud_amount",
+    )
+    return scalars.selectExpr(
         "cast(date_add(to_date(l_shipdate), l_linenumber % 4) as date) as ingest_date",
         f"{start} as usage_start_time",
         f"{start} + interval 1 hour as usage_end_time",
@@ -134,18 +150,18 @@ def billing_lines(lineitem: DataFrame, hourly: bool = False) -> DataFrame:
         "named_struct('name', concat(if((l_partkey div 6) % 8 in (4,5,7), 'disk-', 'vm-'), l_partkey),"
         " 'global_name', concat('//compute.googleapis.com/projects/p/zones/z/',"
         " if((l_partkey div 6) % 8 in (4,5,7), 'disks/disk-', 'instances/vm-'), l_partkey)) as resource",
-        f"named_struct('description', {_SERVICE}) as service",
-        f"named_struct('id', concat(l_partkey % 6, '-', (l_partkey div 6) % 8), 'description', {_SKU}) as sku",
-        f"named_struct('region', {_REGION}, 'zone', concat({_REGION}, if(l_partkey % 2 = 0, '-a', '-b'))) as location",
-        f"{_COST} as cost",
-        f"if(l_discount = 0 and l_tax = 0, null, array_compact(array({_credit(_CREDIT_TYPE, 'l_discount')},"
-        f" {_credit(_TAX_CREDIT_TYPE, 'l_tax')}))) as credits",
+        "named_struct('description', service_name) as service",
+        "named_struct('id', concat(l_partkey % 6, '-', (l_partkey div 6) % 8), 'description', sku_name) as sku",
+        "named_struct('region', region_name, 'zone', concat(region_name, if(l_partkey % 2 = 0, '-a', '-b'))) as location",
+        "list_cost as cost",
+        f"case when cud_amount is not null and sud_amount is not null then array({_CUD}, {_SUD})"
+        f" when cud_amount is not null then array({_CUD}) when sud_amount is not null then array({_SUD}) end as credits",
         "if(l_linenumber = 7, 'tax', 'regular') as cost_type",
         "named_struct('amount', l_quantity * 3600, 'unit', 'seconds', 'amount_in_pricing_units', l_quantity,"
         " 'pricing_unit', if(l_partkey % 6 = 5 or (l_partkey div 6) % 8 = 6, 'gibibyte', 'hour')) as usage",
         "'USD' as currency",
         "1.0D as currency_conversion_rate",
-        f"{_COST} as cost_at_list",
+        "list_cost as cost_at_list",
         "named_struct('effective_price', l_extendedprice) as price",
     )
 

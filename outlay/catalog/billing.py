@@ -25,7 +25,7 @@ def query(name):
 
 
 def _scan_summary(df):
-    return df.groupBy(billing.SERVICE.alias("service")).agg(
+    return df.groupBy(billing.service_name().alias("service")).agg(
         F.count(F.lit(1)).alias("lines"),
         dmoney(F.sum("cost")).alias("cost"),
         F.min(scans.usage_day()).alias("first_day"),

@@ -17,12 +17,21 @@ from outlay.operators import anomalies, billing
 from outlay.operators.shares import share_of, share_within, with_grand_total
 
 AS_OF = b.AS_OF
-SERVICE = billing.SERVICE.alias("service")
-PROJECT = billing.project_or_account().alias("project_id")
-N = F.count(F.lit(1))
 QUERIES = {}
 
 
+def service():
+    return billing.service_name().alias("service")
+
+
+def project():
+    return billing.project_or_account().alias("project_id")
+
+
+def count():
+    return F.count(F.lit(1))
+
+
 def query(name):
     def register(fn):
         QUERIES[name] = lambda spark, sf: fn(b.billing(spark, sf))
@@ -33,7 +42,7 @@ def query(name):
 
 @query("P1_net_cost")
 def _(lines):
-    flat = lines.select(SERVICE, billing.line_net().alias("net"), "cost")
+    flat = lines.select(service(), billing.line_net().alias("net"), "cost")
     return flat.groupBy("service").agg(dmoney(F.sum("cost")).alias("cost"), dmoney(F.sum("net")).alias("net_cost"))
 
 
@@ -41,7 +50,7 @@ def _(lines):
 def _(lines):
     c = F.col("credits")
     flat = lines.select(
-        SERVICE, credits_of_type(c, *fixed.CUD_CREDIT_TYPES).alias("cud"), credits_of_type(c, fixed.SUD_CREDIT_TYPE).alias("sud")
+        service(), credits_of_type(c, *fixed.CUD_CREDIT_TYPES).alias("cud"), credits_of_type(c, fixed.SUD_CREDIT_TYPE).alias("sud")
     )
     return flat.groupBy("service").agg(dmoney(F.sum("cud")).alias("cud"), dmoney(F.sum("sud")).alias("sud"))
 
@@ -50,45 +59,45 @@ def _(lines):
 def _(lines):
     """Of two labels with one key the first counts."""
     team, spec = label_value(F.col("labels"), "team"), label_value(F.col("system_labels"), fixed.MACHINE_SPEC_LABEL)
-    return lines.groupBy(team.alias("team"), spec.alias("machine_spec")).agg(N.alias("lines"))
+    return lines.groupBy(team.alias("team"), spec.alias("machine_spec")).agg(count().alias("lines"))
 
 
 @query("P4_label_fallback")
 def _(lines):
     return lines.groupBy(
         billing.label_chain("env").alias("env"), billing.label_chain("cost-center", resource_fallback=False).alias("cost_center")
-    ).agg(N.alias("lines"))
+    ).agg(count().alias("lines"))
 
 
 @query("P5_label_exists")
 def _(lines):
-    return lines.filter(has_label(F.col("labels"), fixed.CLUSTER_LABEL)).groupBy(SERVICE).agg(N.alias("lines"))
+    return lines.filter(has_label(F.col("labels"), fixed.CLUSTER_LABEL)).groupBy(service()).agg(count().alias("lines"))
 
 
 @query("P6_unnest_keep_empty")
 def _(lines):
     rows = lines.select(F.explode_outer("credits").alias("c"))
-    return rows.groupBy(F.col("c.type").alias("credit_type")).agg(N.alias("rows_total"), dmoney(F.sum("c.amount")).alias("amount"))
+    return rows.groupBy(F.col("c.type").alias("credit_type")).agg(count().alias("rows_total"), dmoney(F.sum("c.amount")).alias("amount"))
 
 
 @query("P7_regex_classes")
 def _(lines):
-    flat = lines.select(billing.SKU.alias("sku")).filter(F.col("sku").rlike(fixed.RE_EGRESS))
-    return flat.groupBy(egress_class(F.col("sku")).alias("egress_class")).agg(N.alias("lines"))
+    flat = lines.select(billing.sku_text().alias("sku")).filter(F.col("sku").rlike(fixed.RE_EGRESS))
+    return flat.groupBy(egress_class(F.col("sku")).alias("egress_class")).agg(count().alias("lines"))
 
 
 @query("P8_like_filter")
 def _(lines):
-    return lines.filter(F.col("resource.global_name").like(fixed.DISK_NAME_LIKE)).groupBy(SERVICE).agg(N.alias("lines"))
+    return lines.filter(F.col("resource.global_name").like(fixed.DISK_NAME_LIKE)).groupBy(service()).agg(count().alias("lines"))
 
 
 @query("P9_predicates")
 def _(lines):
     hit = (
-        (billing.SERVICE.isin(fixed.COMPUTE_SERVICE, fixed.KUBERNETES_SERVICE) & F.to_date("usage_start_time").between(dt.date(1999, 1, 1), dt.date(1999, 12, 31)))
+        (billing.service_name().isin(fixed.COMPUTE_SERVICE, fixed.KUBERNETES_SERVICE) & F.to_date("usage_start_time").between(dt.date(1999, 1, 1), dt.date(1999, 12, 31)))
         | F.col("project.id").isNull()
     ) & ~(F.col("cost_type") == "tax")
-    return lines.filter(hit).groupBy(SERVICE, PROJECT).agg(N.alias("lines"))
+    return lines.filter(hit).groupBy(service(), project()).agg(count().alias("lines"))
 
 
 @query("P10_conditional_sum")
@@ -96,7 +105,7 @@ def _(lines):
     zero = F.lit(0).cast("decimal(18,4)")
     pick = lambda cond: dmoney(F.sum(F.when(cond, F.col("cost")).otherwise(zero)))
     tax = F.col("cost_type") == "tax"
-    return lines.groupBy(PROJECT).agg(pick(tax).alias("tax"), pick(~tax).alias("regular"))
+    return lines.groupBy(project()).agg(pick(tax).alias("tax"), pick(~tax).alias("regular"))
 
 
 @query("P11_safe_arithmetic")
@@ -114,7 +123,7 @@ def _(lines):
 
 def _by_month_service(lines):
     month = F.col("invoice.month").alias("invoice_month")
-    return lines.select(month, SERVICE, billing.line_net().alias("net")).groupBy("invoice_month", "service").agg(F.sum("net").alias("net"))
+    return lines.select(month, service(), billing.line_net().alias("net")).groupBy("invoice_month", "service").agg(F.sum("net").alias("net"))
 
 
 @query("P12_window_over_aggregate")
@@ -147,7 +156,7 @@ QUERIES["P23_json_fields"] = lambda spark, sf: (
         F.get_json_object("resource.data", "$.labels.keep").alias("keep"),
     )
     .groupBy("users", "keep")
-    .agg(N.alias("versions"))
+    .agg(count().alias("versions"))
 )
 
 
@@ -168,7 +177,7 @@ def _(lines):
 @query("P17_calendar")
 def _(lines):
     """Every day between the first and last use of each service, with the lines of the day."""
-    daily = lines.groupBy(F.to_date("usage_start_time").alias("usage_date"), SERVICE).agg(N.alias("n"))
+    daily = lines.groupBy(F.to_date("usage_start_time").alias("usage_date"), service()).agg(count().alias("n"))
     spans = daily.groupBy("service").agg(F.explode(F.sequence(F.min("usage_date"), F.max("usage_date"))).alias("usage_date"))
     return spans.join(daily, ["service", "usage_date"], "left").select("service", "usage_date", F.coalesce("n", F.lit(0)).alias("lines"))
 
@@ -176,7 +185,7 @@ def _(lines):
 @query("P18_distinct_keys")
 def _(lines):
     """Distinct keys beside a calendar of three days, expanded per key."""
-    keys = lines.select(PROJECT, SERVICE).distinct()
+    keys = lines.select(project(), service()).distinct()
     days = F.explode(F.sequence(day_lit(AS_OF - dt.timedelta(days=2)), day_lit(AS_OF)))
     return keys.select("project_id", "service", days.alias("usage_date"))
 
@@ -195,7 +204,7 @@ def _(lines):
 def _(lines):
     """Cost per project and month beside the month's list cost."""
     month = F.col("invoice.month").alias("invoice_month")
-    per_project = lines.groupBy(month, PROJECT).agg(F.sum("cost").alias("cost"))
+    per_project = lines.groupBy(month, project()).agg(F.sum("cost").alias("cost"))
     totals = lines.groupBy(month).agg(F.sum("cost").alias("listed"))
     return per_project.join(totals, "invoice_month", "inner").select(
         "invoice_month", "project_id", rounded(ratio(F.col("cost"), F.col("listed")) * 100).alias("pct")
@@ -209,21 +218,21 @@ def _(lines):
         F.min(F.unix_date(F.to_date(t))).alias("first_day_number"),
         F.max(F.date_sub(F.to_date(t), 30)).alias("window_start"),
         F.max(F.to_date(F.lit(months_back(AS_OF, 3).strftime("%Y%m%d")), "yyyyMMdd")).alias("months_start"),
-        N.alias("lines"),
+        count().alias("lines"),
     )
 
 
 @query("P22_split_first_token")
 def _(lines):
     family = first_token(label_value(F.col("system_labels"), fixed.MACHINE_SPEC_LABEL))
-    return lines.groupBy(family.alias("machine_family")).agg(N.alias("lines"))
+    return lines.groupBy(family.alias("machine_family")).agg(count().alias("lines"))
 
 
 @query("P24_code_texts")
 def _(lines):
     rows = lines.select(F.explode("credits").alias("c")).select(F.col("c.type").alias("credit_type"))
     meaning = lookup_text(F.col("credit_type"), fixed.CREDIT_MEANINGS, fixed.CREDIT_MEANING_OTHER)
-    return rows.groupBy("credit_type").agg(N.alias("credits")).withColumn("meaning", meaning)
+    return rows.groupBy("credit_type").agg(count().alias("credits")).withColumn("meaning", meaning)
 
 
 @query("P25_order_by")

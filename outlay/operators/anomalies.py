@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from outlay.functions.dates import day_lit
 from outlay.functions.money import dmoney, ratio, rounded
-from outlay.operators.billing import SERVICE, line_net, project_or_account
+from outlay.operators.billing import service_name, line_net, project_or_account
 from outlay.sources.billing import regular_only, usage_day
 
 KEYS = ["project_id", "service"]
@@ -19,7 +19,7 @@ def daily_cost(lines: DataFrame) -> DataFrame:
     """Net cost per usage day, project and service."""
     return (
         lines.select(
-            usage_day().alias("usage_date"), project_or_account().alias("project_id"), SERVICE.alias("service"), line_net().alias("net")
+            usage_day().alias("usage_date"), project_or_account().alias("project_id"), service_name().alias("service"), line_net().alias("net")
         )
         .groupBy("usage_date", *KEYS)
         .agg(F.sum("net").alias("net_cost"))

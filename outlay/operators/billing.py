@@ -15,8 +15,13 @@ from outlay.functions.text import egress_class, first_token, lookup_text
 from outlay.operators.shares import share_of, share_within, with_grand_total
 from outlay.sources.billing import asset_scan, billing_scan, billing_scan_months, usage_day
 
-SERVICE = F.col("service.description")
-SKU = F.col("sku.description")
+
+def service_name() -> Column:
+    return F.col("service.description")
+
+
+def sku_text() -> Column:
+    return F.col("sku.description")
 
 
 def line_net() -> Column:
@@ -37,7 +42,7 @@ def cost_by_service(lines: DataFrame, as_of: dt.date, window_days: int = 30) ->
     base = billing_scan(lines, as_of, 2 * window_days)
     border = day_lit(as_of - dt.timedelta(days=window_days))
     grouped = (
-        base.select(SERVICE.alias("service"), usage_day().alias("day"), line_net().alias("net"))
+        base.select(service_name().alias("service"), usage_day().alias("day"), line_net().alias("net"))
         .groupBy("service")
         .agg(
             _dsum(F.col("day") >= border, F.col("net")).alias("cur"),
@@ -92,12 +97,12 @@ def cost_by_label(lines: DataFrame, as_of: dt.date, months: int = 3) -> DataFram
 def cluster_lines(lines: DataFrame) -> DataFrame:
     """Lines that carry a cluster label, with namespace, pricing model and net cost."""
     return lines.filter(
-        SERVICE.isin(fixed.COMPUTE_SERVICE, fixed.KUBERNETES_SERVICE) & has_label(F.col("labels"), fixed.CLUSTER_LABEL)
+        service_name().isin(fixed.COMPUTE_SERVICE, fixed.KUBERNETES_SERVICE) & has_label(F.col("labels"), fixed.CLUSTER_LABEL)
     ).select(
         F.col("project.id").alias("project_id"),
         label_value(F.col("labels"), fixed.CLUSTER_LABEL).alias("cluster"),
         F.coalesce(label_value(F.col("labels"), fixed.NAMESPACE_LABEL), F.lit(fixed.UNALLOCATED)).alias("namespace"),
-        F.when(SKU.rlike(fixed.RE_SPOT), "spot").otherwise("on-demand").alias("pricing_model"),
+        F.when(sku_text().rlike(fixed.RE_SPOT), "spot").otherwise("on-demand").alias("pricing_model"),
         line_net().alias("net"),
     )
 
@@ -117,12 +122,12 @@ def cost_by_namespace(lines: DataFrame, as_of: dt.date, window_days: int = 30) -
 def commitment_lines(lines: DataFrame) -> DataFrame:
     """Compute lines marked as eligible usage or commitment fee, with their typed credits."""
     spec = label_value(F.col("system_labels"), fixed.MACHINE_SPEC_LABEL)
-    flat = lines.filter(SERVICE == fixed.COMPUTE_SERVICE).select(
+    flat = lines.filter(service_name() == fixed.COMPUTE_SERVICE).select(
         F.col("invoice.month").alias("invoice_month"),
         F.col("usage_start_time"),
         F.col("location.region").alias("region"),
         first_token(spec).alias("machine_family"),
-        SKU.alias("sku"),
+        sku_text().alias("sku"),
         "cost",
         F.col("usage.amount_in_pricing_units").alias("usage_amount"),
         "credits",
@@ -187,7 +192,7 @@ def credits_breakdown(lines: DataFrame, as_of: dt.date, months: int = 3) -> Data
         billing_scan_months(lines, as_of, months)
         .select(
             F.col("invoice.month").alias("invoice_month"),
-            SERVICE.alias("service"),
+            service_name().alias("service"),
             F.explode(F.concat(listed.cast(f"array<{entry}>"), credited.cast(f"array<{entry}>"))).alias("e"),
         )
         .groupBy("invoice_month", "service", F.col("e.type").alias("credit_type"))
@@ -237,13 +242,13 @@ def unattached_disk_cost(lines: DataFrame, assets: DataFrame, as_of: dt.date, wi
     keys = ["disk_global_name", "disk_name", "project_id", "zone", "sku"]
     cost = (
         billing_scan(lines, as_of, window_days)
-        .filter((SERVICE == fixed.COMPUTE_SERVICE) & SKU.rlike(fixed.RE_DISK_SKU) & resource.like(fixed.DISK_NAME_LIKE))
+        .filter((service_name() == fixed.COMPUTE_SERVICE) & sku_text().rlike(fixed.RE_DISK_SKU) & resource.like(fixed.DISK_NAME_LIKE))
         .select(
             resource.alias("disk_global_name"),
             F.col("resource.name").alias("disk_name"),
             F.col("project.id").alias("project_id"),
             F.col("location.zone").alias("zone"),
-            SKU.alias("sku"),
+            sku_text().alias("sku"),
             line_net().alias("net"),
         )
         .groupBy(*keys)
@@ -267,12 +272,12 @@ def egress_cost(lines: DataFrame, as_of: dt.date, window_days: int = 30) -> Data
     keys = ["project_id", "egress_class", "service"]
     grouped = (
         billing_scan(lines, as_of, window_days)
-        .filter(SKU.rlike(fixed.RE_EGRESS) & F.col("usage.pricing_unit").isin(*fixed.EGRESS_UNITS))
+        .filter(sku_text().rlike(fixed.RE_EGRESS) & F.col("usage.pricing_unit").isin(*fixed.EGRESS_UNITS))
         # Plain columns first: the class reads the text several times.
         .select(
             F.col("project.id").alias("project_id"),
-            SKU.alias("sku"),
-            SERVICE.alias("service"),
+            sku_text().alias("sku"),
+            service_name().alias("service"),
             F.col("usage.amount_in_pricing_units").alias("gib"),
             line_net().alias("net"),
         )
@@ -296,8 +301,8 @@ def v_cost_daily(lines: DataFrame, tz: str = "Asia/Kolkata") -> DataFrame:
     return lines.select(
         F.to_date(local_time(F.col("usage_start_time"), tz)).alias("usage_date"),
         F.col("project.id").alias("project_id"),
-        SERVICE.alias("service"),
-        SKU.alias("sku"),
+        service_name().alias("service"),
+        sku_text().alias("sku"),
         F.col("location.region").alias("region"),
         label_value(F.col("project.labels"), "env").alias("env"),
         label_value(F.col("project.labels"), "team").alias("team"),

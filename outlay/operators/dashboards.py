@@ -59,7 +59,7 @@ def overview(lines: DataFrame, as_of: dt.date) -> DataFrame:
 def cost_per_day(lines: DataFrame, as_of: dt.date, window_days: int = 30) -> DataFrame:
     base = billing_scan(lines, as_of, window_days)
     return (
-        base.select(usage_day().alias("usage_date"), b.SERVICE.alias("service"), b.line_net().alias("net"))
+        base.select(usage_day().alias("usage_date"), b.service_name().alias("service"), b.line_net().alias("net"))
         .groupBy("usage_date", "service")
         .agg(dmoney(F.sum("net")).alias("net_cost"))
     )

@@ -52,10 +52,15 @@ def counter_increase(samples: DataFrame, keys: list[str], step: str = STEP) -> D
 
     The increase between two samples belongs to the cell of the later one.
     """
+    return increase_of_cells(counter_cells(samples, keys, step), keys)
+
+
+def counter_cells(samples: DataFrame, keys: list[str], step: str = STEP) -> DataFrame:
+    """Increase inside each cell, with its first and last value."""
     series = ["metric", *keys]
     cell = Window.partitionBy(*series, "grid").orderBy("ts")
     value = F.col("value")
-    inside = (
+    return (
         samples.select(*series, grid(step).alias("grid"), "ts", "value")
         .withColumn("rise", _rise(value, F.lag("value").over(cell)))
         .groupBy(*series, "grid")
@@ -65,12 +70,14 @@ def counter_increase(samples: DataFrame, keys: list[str], step: str = STEP) -> D
             F.max_by("value", "ts").alias("last_value"),
         )
     )
-    cells = Window.partitionBy(*series).orderBy("grid")
-    return inside.select(
-        *series,
-        "grid",
-        (F.col("inner") + _rise(F.col("first_value"), F.lag("last_value").over(cells))).alias("increase"),
-    )
+
+
+def increase_of_cells(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """Increase inside each cell plus the step from the last value of the cell before."""
+    by_cell = Window.partitionBy("metric", *keys).orderBy("grid")
+    step_in = _rise(F.col("first_value"), F.lag("last_value").over(by_cell))
+    rest = [c for c in cells.columns if c not in ("inner", "first_value", "last_value")]
+    return cells.select(*rest, (F.col("inner") + step_in).alias("increase"))
 
 
 def counter_rate(samples: DataFrame, keys: list[str], step: str = STEP, seconds: float = STEP_SECONDS) -> DataFrame:
@@ -109,8 +116,8 @@ def nearest_rank(points: DataFrame, keys: list[str], q: float) -> DataFrame:
 def usage_from_samples(samples: DataFrame, now: dt.datetime, lookback_days: int = 14) -> DataFrame:
     """Usage summary per (namespace, workload, container), the maximum over the pods.
 
-    Series are brought onto the grid, placed side by side per pod, and reduced per pod.  One
-    repartition by pod serves the counter windows, the pivot and the percentiles.
+    All series are first reduced to grid cells.  One repartition of the cells by pod then serves
+    the steps between cells, the metrics side by side, and the percentiles.
     """
     keys = ["namespace", "pod", "container"]
     recent = between(samples, now, dt.timedelta(days=lookback_days))
@@ -126,7 +133,11 @@ def usage_from_samples(samples: DataFrame, now: dt.datetime, lookback_days: int
             metric(recent, fixed.M_CPU_REQUEST, fixed.M_MEM_REQUEST),
         ]
     )
-    points = counter_increase(counters, keys).withColumnRenamed("increase", "value").unionByName(gauge_last(gauges, keys))
+    cells = counter_cells(counters, keys).unionByName(
+        gauge_last(gauges, keys).withColumnRenamed("value", "gauge"), allowMissingColumns=True
+    )
+    increases = increase_of_cells(cells.repartition(*keys), keys)
+    points = increases.select("metric", *keys, "grid", F.coalesce("gauge", "increase").alias("value"))
 
     def of(name: str) -> Column:
         return F.max(F.when(F.col("metric") == name, F.col("value")))

@@ -13,6 +13,8 @@ def local_session(cpus: str | int = 8, partitions: int = 8) -> SparkSession:
         .appName("outlay")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
+        # Recording a call site for every column costs more than these queries' planning.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.driver.memory", os.environ.get("OUTLAY_DRIVER_MEMORY", "8g"))
         .getOrCreate()

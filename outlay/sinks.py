@@ -24,8 +24,11 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
 
 
 def overwrite_partitions(df: DataFrame, path: str, partition: str, fmt: str = "parquet") -> None:
-    """Replace only the partitions that occur in ``df``, so that a repeated run changes nothing."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).format(fmt).save(path)
+    """Replace only the partitions that occur in ``df``, so that a repeated run changes nothing.
+
+    The rebalance gathers each partition into few files and splits it where it is large.
+    """
+    df.hint("rebalance", partition).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).format(fmt).save(path)
 
 
 def write_findings(findings: DataFrame, path: str, run_date: dt.date, fmt: str = "json") -> None:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from outlay import fixed
-from outlay.operators.billing import SERVICE, line_net, project_or_account
+from outlay.operators.billing import service_name, line_net, project_or_account
 from outlay.operators.metrics import ALIGNERS, REDUCERS
 from outlay.plans.budgets import budget_alerts
 from outlay.sources.billing import regular_only
@@ -26,7 +26,7 @@ def _priced(lines: DataFrame, late: str) -> DataFrame:
         .withColumn("usage_start_time", F.col("usage_start_time").cast("timestamp"))
         .withWatermark("usage_start_time", late)
         .select(
-            "usage_start_time", project_or_account().alias("project_id"), SERVICE.alias("service"), line_net().alias("net")
+            "usage_start_time", project_or_account().alias("project_id"), service_name().alias("service"), line_net().alias("net")
         )
     )
 
