@@ -7,12 +7,16 @@ from pyspark.sql import functions as F
 
 
 def label_value(labels: Column, key: str) -> Column:
-    """Value of the first entry with this key; NULL when there is none."""
-    return F.get(F.filter(labels, lambda e: e["key"] == F.lit(key)), F.lit(0))["value"]
+    """Value of the first entry with this key; NULL when there is none.
+
+    A position lookup compiles, which a filter over the array does not.
+    """
+    return F.get(labels["value"], F.array_position(labels["key"], F.lit(key)).cast("int") - 1)
 
 
 def has_label(labels: Column, key: str) -> Column:
-    return F.coalesce(F.exists(labels, lambda e: e["key"] == F.lit(key)), F.lit(False))
+    """Whether any entry has this key; reads only the keys."""
+    return F.coalesce(F.array_contains(labels["key"], F.lit(key)), F.lit(False))
 
 
 def map_label(labels: Column, key: str) -> Column:

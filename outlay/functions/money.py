@@ -35,24 +35,22 @@ def _zero() -> Column:
     return F.expr(ZERO)
 
 
-def _fold(credits: Column, amount: Callable[[Column], Column]) -> Column:
-    """Sum of ``amount`` over the credits; NULL for a NULL array, 0 for an empty one.
+def _fold(amounts: Column, at: Callable[[int], Column], length: Column | None = None) -> Column:
+    """Sum of an array of decimals without its NULLs; NULL for a NULL array, 0 for an empty one.
 
     Higher-order functions are interpreted row by row.  Up to ``SHORT`` entries are added by plain
-    expressions, which compile; longer arrays go through ``aggregate``.
+    expressions over ``at(i)``, which compile; longer arrays go through ``aggregate``.
     """
-
-    def counted(credit: Column) -> Column:
-        return F.coalesce(amount(credit), _zero())
-
-    short = sum((counted(F.get(credits, F.lit(i))) for i in range(1, SHORT)), counted(F.get(credits, F.lit(0))))
-    every = F.aggregate(credits, _zero(), lambda acc, c: (acc + counted(c)).cast("decimal(18,4)"))
-    return F.when(credits.isNotNull() & (F.size(credits) <= SHORT), short.cast("decimal(18,4)")).otherwise(every)
+    short = sum((F.coalesce(at(i), _zero()) for i in range(1, SHORT)), F.coalesce(at(0), _zero()))
+    every = F.aggregate(amounts, _zero(), lambda acc, x: (acc + F.coalesce(x, _zero())).cast("decimal(18,4)"))
+    length = F.size(amounts) if length is None else length
+    return F.when(length.between(0, SHORT), short.cast("decimal(18,4)")).otherwise(every)
 
 
 def fold_credits(credits: Column) -> Column:
-    """Sum of all credit amounts on the line; NULL amounts are skipped."""
-    return _fold(credits, lambda c: c["amount"])
+    """Sum of all credit amounts on the line; reads only the amounts of the credits."""
+    amounts = credits["amount"]
+    return _fold(amounts, lambda i: F.get(amounts, F.lit(i)))
 
 
 def net_cost(cost: Column, credits: Column) -> Column:
@@ -61,7 +59,13 @@ def net_cost(cost: Column, credits: Column) -> Column:
 
 def credits_of_type(credits: Column, *types: str) -> Column:
     """Sum of the credits of the given types; 0 when there is none."""
-    return F.coalesce(_fold(credits, lambda c: F.when(c["type"].isin(*types), c["amount"])), _zero())
+    kinds, amounts = credits["type"], credits["amount"]
+
+    def at(i: int) -> Column:
+        return F.when(F.get(kinds, F.lit(i)).isin(*types), F.get(amounts, F.lit(i)))
+
+    chosen = F.zip_with(kinds, amounts, lambda k, x: F.when(k.isin(*types), x))
+    return F.coalesce(_fold(chosen, at, length=F.size(amounts)), _zero())
 
 
 def fmt_money(x: Column, currency: str = "USD") -> Column:

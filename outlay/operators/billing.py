@@ -184,16 +184,17 @@ def credits_breakdown(lines: DataFrame, as_of: dt.date, months: int = 3) -> Data
     entry = "struct<type:string,amount:decimal(18,4),listed:decimal(18,4)>"
     zero = F.lit(0).cast("decimal(18,4)")
     listed = F.array(F.struct(F.lit(None).cast("string").alias("type"), zero.alias("amount"), F.col("cost").alias("listed")))
-    credited = F.transform(
-        F.coalesce(F.col("credits"), F.array().cast("array<struct<name:string,full_name:string,id:string,type:string,amount:decimal(18,4)>>")),
-        lambda c: F.struct(c["type"].alias("type"), F.coalesce(c["amount"], zero).alias("amount"), zero.alias("listed")),
+    credited = F.zip_with(
+        F.col("credits")["type"],
+        F.col("credits")["amount"],
+        lambda kind, x: F.struct(kind.alias("type"), F.coalesce(x, zero).alias("amount"), zero.alias("listed")),
     )
     grouped = (
         billing_scan_months(lines, as_of, months)
         .select(
             F.col("invoice.month").alias("invoice_month"),
             service_name().alias("service"),
-            F.explode(F.concat(listed.cast(f"array<{entry}>"), credited.cast(f"array<{entry}>"))).alias("e"),
+            F.explode(F.concat(listed.cast(f"array<{entry}>"), F.coalesce(credited.cast(f"array<{entry}>"), F.array().cast(f"array<{entry}>")))).alias("e"),
         )
         .groupBy("invoice_month", "service", F.col("e.type").alias("credit_type"))
         .agg(F.sum("e.amount").alias("credited"), F.sum("e.listed").alias("listed"))
@@ -317,7 +318,7 @@ def v_cost_daily(lines: DataFrame, tz: str = "Asia/Kolkata") -> DataFrame:
 
 def fold_credits_or_null(credits: Column) -> Column:
     """Credit sum as the view shows it: NULL when the line has no credit."""
-    return F.when(F.size(credits) > 0, fold_credits(credits))
+    return F.when(F.size(credits["amount"]) > 0, fold_credits(credits))
 
 
 def export_health(lines: DataFrame) -> DataFrame:
