@@ -44,7 +44,7 @@ def _(spark, sf):
     folder = sinks.shared_folder(spark, "alerts")
     alerts = jobs.spend_alerts(b.billing_lines(stream_of(spark, sf, "lineitem")))
     jobs.finish(jobs.start_alerts(alerts, f"{folder}/table", f"{folder}/checkpoint"))
-    return spark.read.schema(alerts.schema).parquet(f"{folder}/table").drop("batch_id")
+    return spark.read.schema(alerts.schema).parquet(f"{folder}/table").select(*alerts.columns)
 
 
 @query("S3_budget_alerts_stream")
@@ -52,7 +52,8 @@ def _(spark, sf):
     folder = sinks.shared_folder(spark, "budgets")
     lines = b.billing_lines(stream_of(spark, sf, "lineitem"))
     jobs.finish(jobs.start_budget_alerts(spark, lines, 500_000.0, f"{folder}/table", f"{folder}/checkpoint"))
-    return spark.read.parquet(f"{folder}/table").drop("batch_id")
+    schema = "month string, project_id string, basis string, threshold double, actual_cost double, forecast_cost double, batch_id bigint"
+    return spark.read.schema(schema).parquet(f"{folder}/table").drop("batch_id")
 
 
 @query("S4_align_reduce_stream")

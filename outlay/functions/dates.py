@@ -37,5 +37,7 @@ def local_time(ts: Column, tz: str) -> Column:
     return F.convert_timezone(F.lit("UTC"), F.lit(tz), ts)
 
 
-def epoch_seconds(ts: Column) -> Column:
-    return F.unix_seconds(ts.cast("timestamp"))
+def utc_time(text: Column) -> Column:
+    """UTC wall-clock time of a timestamp text with Z or an offset; NULL when it is malformed."""
+    moment = F.try_to_timestamp(text).cast("timestamp_ntz")
+    return F.convert_timezone(F.current_timezone(), F.lit("UTC"), moment)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from outlay import fixed
-from outlay.functions.dates import calendar_days, day_lit, local_time
+from outlay.functions.dates import calendar_days, day_lit, local_time, utc_time
 from outlay.functions.labels import has_label, label_value
 from outlay.functions.money import credits_of_type, dmoney, fold_credits, net_cost, ratio, rounded
 from outlay.functions.text import egress_class, first_token, lookup_text
@@ -233,7 +233,7 @@ def disk_states(assets: DataFrame) -> DataFrame:
         F.col("name").alias("asset_name"),
         F.json_array_length(F.get_json_object(doc, "$.users")).alias("attached_count"),
         F.get_json_object(doc, "$.labels.keep").alias("keep_label"),
-        F.to_timestamp_ntz(F.rtrim(F.get_json_object(doc, "$.lastDetachTimestamp"), F.lit("Z"))).alias("last_detach"),
+        utc_time(F.get_json_object(doc, "$.lastDetachTimestamp")).alias("last_detach"),
     )
 
 

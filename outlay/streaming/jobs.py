@@ -14,6 +14,7 @@ from outlay import fixed
 from outlay.operators.billing import service_name, line_net, project_or_account
 from outlay.operators.metrics import ALIGNERS, REDUCERS
 from outlay.plans.budgets import budget_alerts
+from outlay.sinks import overwrite_partitions
 from outlay.sources.billing import regular_only
 
 LATE = "3 days"
@@ -105,10 +106,10 @@ def start_append(df: DataFrame, path: str, checkpoint: str, partition_by: str |
 
 
 def start_alerts(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Write each batch of alerts to its own folder, so that a repeated batch replaces itself."""
+    """Write each batch of alerts to its own partition, so that a repeated batch replaces itself."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        overwrite_partitions(batch.withColumn("batch_id", F.lit(batch_id)), path, "batch_id")
 
     return df.writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
 
@@ -119,17 +120,16 @@ def start_budget_alerts(spark: SparkSession, lines: DataFrame, budget: float, pa
     What has fired is the output table itself, read without the batch in hand, so that a repeated
     batch decides as it did the first time.
     """
-    schema = "month string, project_id string, basis string, threshold double, actual_cost double, forecast_cost double"
+    schema = "month string, project_id string, basis string, threshold double, batch_id bigint"
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
-        # The first batch creates the folder, so that the table can always be read.
-        empty = session.createDataFrame([], schema)
-        empty.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
-        fired = session.read.schema(schema + ", batch_id bigint").parquet(path).filter(F.col("batch_id") < batch_id)
-        keys = ["month", "project_id", "basis", "threshold"]
-        alerts = budget_alerts(batch, budget, fired.select(*keys))
-        alerts.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        session, fired = batch.sparkSession, None
+        if batch_id > 0:
+            table = session.read.schema(schema).parquet(path).filter(F.col("batch_id") < batch_id)
+            fired = table.select("month", "project_id", "basis", "threshold")
+        alerts = budget_alerts(batch, budget, fired)
+        # A batch without alerts writes no file, and the first one creates the folder.
+        overwrite_partitions(alerts.withColumn("batch_id", F.lit(batch_id)), path, "batch_id")
 
     return (
         month_spend(lines)

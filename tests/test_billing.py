@@ -155,6 +155,10 @@ def test_latest_asset_version_decides(spark, lines):
     row = one(billing.unattached_disk_cost(bill, assets(used, free), AS_OF))
     assert (row["days_unattached"], row["excluded_by_label"]) == (10, True)
     assert billing.unattached_disk_cost(bill, assets(free, used), AS_OF).count() == 0
+    offset = '{"lastDetachTimestamp":"2026-09-10T20:00:00.000-07:00"}'
+    assert one(billing.unattached_disk_cost(bill, assets(offset), AS_OF))["days_unattached"] == 10
+    odd = '{"lastDetachTimestamp":"soon"}'
+    assert one(billing.unattached_disk_cost(bill, assets(odd), AS_OF))["days_unattached"] is None
 
 
 def series(lines, costs, last):
