@@ -171,15 +171,15 @@ def billing(spark: SparkSession, sf_dir: str, hourly: bool = False) -> DataFrame
 
 
 def disk_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Versions of disk documents: one per stored line of a disk part.
+    """Versions of asset documents: one per stored line, disks and instances.
 
     The payload is JSON text; `users` is present only on versions returned with flag A.
     """
     return (
         stored(spark, sf_dir, "lineitem")
-        .filter("(l_partkey div 6) % 8 in (4,5,7)")
         .selectExpr(
-            "concat('//compute.googleapis.com/projects/p/zones/z/disks/disk-', l_partkey) as name",
+            "concat('//compute.googleapis.com/projects/p/zones/z/',"
+            " if((l_partkey div 6) % 8 in (4,5,7), 'disks/disk-', 'instances/vm-'), l_partkey) as name",
             # A whole number of seconds per version keeps the update times of one disk apart.
             "l_shipdate + make_dt_interval(0, 0, 0, cast((l_orderkey * 8 + l_linenumber) % 86400 as int)) as update_time",
             "named_struct('data', concat('{',"
@@ -311,9 +311,9 @@ def pool_config_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pool_autoscaling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which pools are autoscaled; pools without a row are not."""
-    return stored(spark, sf_dir, "supplier").filter("s_suppkey % 3 <> 0").selectExpr(
-        "concat('pool-', s_suppkey) as pool", "s_suppkey % 3 = 1 as autoscaling_enabled"
+    """Which pools are autoscaled; of some it is not known."""
+    return stored(spark, sf_dir, "supplier").selectExpr(
+        "concat('pool-', s_suppkey) as pool", "if(s_suppkey % 3 = 0, null, s_suppkey % 3 = 1) as autoscaling_enabled"
     )
 
 
@@ -321,7 +321,7 @@ def pool_autoscaling(spark: SparkSession, sf_dir: str) -> DataFrame:
 def container_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per-container usage summary, one row per stored part."""
     return stored(spark, sf_dir, "part").selectExpr(
-        "concat('ns-', p_partkey % 12) as namespace",
+        "concat('ns-', p_partkey div 50) as namespace",
         "concat('wl-', p_partkey div 2) as workload",
         _pick("(p_partkey div 2) % 4", ["Deployment", "CronJob", "DaemonSet", "StatefulSet"]) + " as kind",
         "concat('c', p_partkey % 2) as container",
@@ -343,18 +343,18 @@ def container_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vpa_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flattened autoscaler targets; some keys occur twice (the larger sequence wins)."""
-    base = stored(spark, sf_dir, "part").filter("p_partkey % 3 <> 0")
-    cols = [
-        "concat('ns-', p_partkey % 12) as namespace",
+    """Flattened autoscaler targets.
+
+    Some belong to other namespaces, and some keys occur twice (the larger sequence wins).
+    """
+    first = "named_struct('target_cpu_m', cast((p_partkey * 11) % 800 as int), 'target_mem_mi', cast((p_partkey * 5) % 2000 as int), 'seq', 1L)"
+    again = "named_struct('target_cpu_m', 77, 'target_mem_mi', 177, 'seq', 2L)"
+    return stored(spark, sf_dir, "part").selectExpr(
+        "if(p_partkey % 3 = 0, 'elsewhere', concat('ns-', p_partkey div 50)) as namespace",
         "concat('wl-', p_partkey div 2) as workload",
         "concat('c', p_partkey % 2) as container",
-        "cast((p_partkey * 11) % 800 as int) as target_cpu_m",
-        "cast((p_partkey * 5) % 2000 as int) as target_mem_mi",
-    ]
-    first = base.selectExpr(*cols, "1L as seq")
-    again = base.filter("p_partkey % 4 = 0").selectExpr(*cols[:3], "77 as target_cpu_m", "177 as target_mem_mi", "2L as seq")
-    return first.unionByName(again)
+        f"inline(if(p_partkey % 4 = 0, array({first}, {again}), array({first})))",
+    )
 
 
 def vpa_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -375,27 +375,33 @@ def vpa_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quotas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Namespace resource quotas; some namespaces have none."""
-    return stored(spark, sf_dir, "part").filter("p_partkey < 12 and p_partkey % 4 <> 3").selectExpr(
-        "concat('ns-', p_partkey) as namespace",
-        "cast(p_size * 8000 as bigint) as quota_cpu_m",
-        "cast(p_size * 16384 as bigint) as quota_mem_mi",
+    """Resource quota per namespace; some namespaces have none."""
+    sizes = stored(spark, sf_dir, "part").groupBy(F.expr("p_partkey div 50").alias("ns")).agg(F.sum("p_size").alias("size"))
+    return sizes.selectExpr(
+        "concat('ns-', ns) as namespace",
+        "if(ns % 4 = 3, null, size * 160) as quota_cpu_m",
+        "if(ns % 4 = 3, null, size * 400) as quota_mem_mi",
     )
 
 
 def limit_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stored(spark, sf_dir, "part").filter("p_partkey < 12 and p_partkey % 4 <> 2").selectExpr(
-        "concat('ns-', p_partkey) as namespace",
-        "100 as default_cpu_m", "256 as default_mem_mi", "512 as default_limit_mem_mi",
-        "10 as min_cpu_m", "600 as max_cpu_m", "32 as min_mem_mi", "1600 as max_mem_mi",
-        "1.0D as max_mem_limit_ratio",
+    """Resource ranges per namespace; some namespaces set none."""
+    values = {
+        "default_cpu_m": "100", "default_mem_mi": "256", "default_limit_mem_mi": "512", "min_cpu_m": "10",
+        "max_cpu_m": "600", "min_mem_mi": "32", "max_mem_mi": "1600", "max_mem_limit_ratio": "1.0D",
+    }
+    return (
+        stored(spark, sf_dir, "part")
+        .select(F.expr("p_partkey div 50").alias("ns"))
+        .distinct()
+        .selectExpr("concat('ns-', ns) as namespace", *[f"if(ns % 4 = 2, null, {v}) as {k}" for k, v in values.items()])
     )
 
 
 def container_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Declared container resources, partly missing."""
     return stored(spark, sf_dir, "part").selectExpr(
-        "concat('ns-', p_partkey % 12) as namespace",
+        "concat('ns-', p_partkey div 50) as namespace",
         "concat('wl-', p_partkey div 2) as workload",
         "concat('c', p_partkey % 2) as container",
         "if(p_partkey % 5 = 0, null, cast(p_size * 20 as int)) as cpu_request_m",
@@ -419,20 +425,20 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
         "concat('node-', user_id div 7) as node",
     ]
     spec = [
-        (fixed.M_CPU_USAGE, "value", "1=1"),
-        (fixed.M_MEM_WORKING_SET, "floor(value) * 1048576.0D", "1=1"),
-        (fixed.M_CPU_REQUEST, "(user_id % 8 + 1) * 0.25D", "1=1"),
-        (fixed.M_MEM_REQUEST, "(user_id % 4 + 1) * 268435456.0D", "1=1"),
-        (fixed.M_THROTTLED, "floor(value / 3)", "1=1"),
-        (fixed.M_PERIODS, "value", "1=1"),
-        (fixed.M_OOM_EVENTS, "floor(value / 20)", "event_id % 3 = 0"),
-        (fixed.M_OOM_TERMINATED, "floor(value / 10)", "event_id % 2 = 0"),
-        (fixed.M_ALLOC_CPU, "((user_id div 7) % 5 + 1) * 24.0D", "1=1"),
-        (fixed.M_ALLOC_MEM, "((user_id div 7) % 5 + 1) * 17179869184.0D", "1=1"),
+        (fixed.M_CPU_USAGE, "value"),
+        (fixed.M_MEM_WORKING_SET, "floor(value) * 1048576.0D"),
+        (fixed.M_CPU_REQUEST, "(user_id % 8 + 1) * 0.25D"),
+        (fixed.M_MEM_REQUEST, "(user_id % 4 + 1) * 268435456.0D"),
+        (fixed.M_THROTTLED, "floor(value / 3)"),
+        (fixed.M_PERIODS, "value"),
+        (fixed.M_OOM_EVENTS, "floor(value / 20)"),
+        (fixed.M_OOM_TERMINATED, "floor(value / 10)"),
+        (fixed.M_ALLOC_CPU, "((user_id div 7) % 5 + 1) * 24.0D"),
+        (fixed.M_ALLOC_MEM, "((user_id div 7) % 5 + 1) * 17179869184.0D"),
     ]
     out = None
-    for metric, value, cond in spec:
-        part = events.filter(cond).selectExpr(f"'{metric}' as metric", *series, "ts", f"cast({value} as double) as value")
+    for metric, value in spec:
+        part = events.selectExpr(f"'{metric}' as metric", *series, "ts", f"cast({value} as double) as value")
         out = part if out is None else out.unionByName(part)
     return out
 

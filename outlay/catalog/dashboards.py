@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from outlay.binding import tables as b
 from outlay.operators import billing
 from outlay.operators import dashboards as d

@@ -7,8 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from outlay import fixed
-
 ZERO = "cast(0 as decimal(18,4))"
 
 
@@ -100,7 +98,3 @@ def round_up(x: Column, step: int) -> Column:
 
 def price(prices: dict, section: str, key: str) -> Column:
     return F.lit(float(prices[section][key]))
-
-
-def hours_month() -> Column:
-    return F.lit(fixed.HOURS_PER_MONTH)

@@ -169,10 +169,15 @@ def commitment_columns() -> list[Column]:
     ]
 
 
-def commitment_coverage(lines: DataFrame, as_of: dt.date, window_days: int = 30) -> DataFrame:
-    keys = ["region", "machine_family"]
+def commitment_coverage(
+    lines: DataFrame, as_of: dt.date, window_days: int = 30, by: tuple[str, ...] = ("region", "machine_family")
+) -> DataFrame:
+    """Coverage and idle commitment; fees without a machine spec fall to the family ``unknown``.
+
+    ``by=("region",)`` sets fees and usage of a region against each other.
+    """
     marked = commitment_lines(billing_scan(lines, as_of, window_days))
-    return commitment_sums(marked, keys).select(*keys, *commitment_columns())
+    return commitment_sums(marked, list(by)).select(*by, *commitment_columns())
 
 
 def credits_breakdown(lines: DataFrame, as_of: dt.date, months: int = 3) -> DataFrame:
@@ -199,6 +204,7 @@ def credits_breakdown(lines: DataFrame, as_of: dt.date, months: int = 3) -> Data
         .groupBy("invoice_month", "service", F.col("e.type").alias("credit_type"))
         .agg(F.sum("e.amount").alias("credited"), F.sum("e.listed").alias("listed"))
     )
+    # A month has as many rows here as services times credit types, so its window is small.
     month_list = F.sum("listed").over(Window.partitionBy("invoice_month"))
     return (
         grouped.withColumn("month_list", month_list)
@@ -316,6 +322,13 @@ def v_cost_daily(lines: DataFrame, tz: str = "Asia/Kolkata") -> DataFrame:
     )
 
 
+def register_cost_view(lines: DataFrame, name: str = "v_cost_daily", tz: str = "Asia/Kolkata") -> DataFrame:
+    """The dashboard view under a name for SQL."""
+    view = v_cost_daily(lines, tz)
+    view.createOrReplaceTempView(name)
+    return view
+
+
 def fold_credits_or_null(credits: Column) -> Column:
     """Credit sum as the view shows it: NULL when the line has no credit."""
     return F.when(F.size(credits["amount"]) > 0, fold_credits(credits))

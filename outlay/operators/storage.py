@@ -14,16 +14,13 @@ from pyspark.sql import functions as F
 from outlay import fixed
 from outlay.functions.dates import calendar_days, day_lit
 from outlay.functions.labels import map_label
-from outlay.functions.money import dmoney, fmt_bytes, fmt_money, price, rounded
+from outlay.functions.money import fmt_bytes, fmt_money, price, rounded
 from outlay.functions.template import fill
 from outlay.operators.findings import finding
 
 GB = float(fixed.GB)
 CLASSES = fixed.STORAGE_CLASSES
 BANDS = fixed.AGE_BANDS
-RULE = """array<struct<action:struct<type:string,storageClass:string>,
-    condition:struct<age:int,matchesStorageClass:array<string>,isLive:boolean,
-        daysSinceNoncurrentTime:int,numNewerVersions:int>>>"""
 
 
 def class_price(prices: dict, cls: str) -> Column:

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from outlay import fixed
-from outlay.oracle.billing import AS_OF, d, div, r
-from outlay.oracle.inventory import F_ALL, NOW, b, fbytes, money, pick
+from outlay.oracle.billing import AS_OF, div, r
+from outlay.oracle.inventory import F_ALL, NOW, fbytes, money, pick
 from outlay.oracle.text import quote, say
 
 ORACLE: dict[str, str] = {}
@@ -15,7 +15,7 @@ def pct(x: str, digits: int = 0) -> str:
 
 
 # ------------------------------------------------------------------ rightsizing
-USAGE = """usage AS (SELECT p_partkey AS pk, 'ns-' || (p_partkey % 12) AS namespace, 'wl-' || (p_partkey // 2) AS workload,
+USAGE = """usage AS (SELECT p_partkey AS pk, 'ns-' || (p_partkey // 50) AS namespace, 'wl-' || (p_partkey // 2) AS workload,
   CASE (p_partkey // 2) % 4 WHEN 0 THEN 'Deployment' WHEN 1 THEN 'CronJob' WHEN 2 THEN 'DaemonSet' ELSE 'StatefulSet' END AS kind,
   'c' || (p_partkey % 2) AS container, CAST(p_partkey % 9 + 1 AS INTEGER) AS replicas, CAST(p_size * 20 AS INTEGER) AS cur_cpu,
   CAST((p_partkey % 40) * 64 AS INTEGER) AS cur_mem, CAST((p_partkey * 7) % 900 AS DOUBLE) AS p95,
@@ -88,13 +88,14 @@ FROM g"""
 ORACLE["D8_quota_sizing"] = f"""WITH {RECS},
 g AS (SELECT namespace, CAST(SUM(fc * replicas) AS BIGINT) AS recommended_cpu_m, CAST(SUM(fm * replicas) AS BIGINT) AS recommended_mem_mi FROM recs GROUP BY namespace),
 s AS (SELECT *, CAST(ceil(recommended_cpu_m * 1.3::DECIMAL(4,2)) AS BIGINT) AS sized_cpu_m, CAST(ceil(recommended_mem_mi * 1.3::DECIMAL(4,2)) AS BIGINT) AS sized_mem_mi FROM g),
-q AS (SELECT 'ns-' || p_partkey AS namespace, CAST(p_size * 8000 AS BIGINT) AS quota_cpu_m, CAST(p_size * 16384 AS BIGINT) AS quota_mem_mi FROM part WHERE p_partkey < 12 AND p_partkey % 4 <> 3)
+q AS (SELECT 'ns-' || ns AS namespace, CASE WHEN ns % 4 <> 3 THEN size * 160 END AS quota_cpu_m, CASE WHEN ns % 4 <> 3 THEN size * 400 END AS quota_mem_mi
+  FROM (SELECT p_partkey // 50 AS ns, CAST(SUM(p_size) AS BIGINT) AS size FROM part GROUP BY ALL))
 SELECT s.*, quota_cpu_m, quota_mem_mi, COALESCE(sized_cpu_m > quota_cpu_m OR sized_mem_mi > quota_mem_mi, FALSE) AS breach FROM s LEFT JOIN q USING (namespace)"""
-ORACLE["D12_range_conformance"] = """WITH c AS (SELECT 'ns-' || (p_partkey % 12) AS namespace, 'wl-' || (p_partkey // 2) AS workload, 'c' || (p_partkey % 2) AS container,
-  p_partkey % 12 IN (2, 6, 10) AS free,
-  CASE WHEN p_partkey % 5 <> 0 THEN CAST(p_size * 20 AS INTEGER) WHEN p_partkey % 12 NOT IN (2, 6, 10) THEN 100 END AS cpu,
-  CASE WHEN p_partkey % 6 <> 0 THEN CAST(p_partkey % 40 * 64 AS INTEGER) WHEN p_partkey % 12 NOT IN (2, 6, 10) THEN 256 END AS mem,
-  CASE WHEN p_partkey % 7 <> 0 THEN CAST(p_partkey % 40 * 64 + p_partkey % 3 * 16 AS INTEGER) WHEN p_partkey % 12 NOT IN (2, 6, 10) THEN 512 END AS lim FROM part)
+ORACLE["D12_range_conformance"] = """WITH c AS (SELECT 'ns-' || (p_partkey // 50) AS namespace, 'wl-' || (p_partkey // 2) AS workload, 'c' || (p_partkey % 2) AS container,
+  (p_partkey // 50) % 4 = 2 AS free,
+  CASE WHEN p_partkey % 5 <> 0 THEN CAST(p_size * 20 AS INTEGER) WHEN (p_partkey // 50) % 4 <> 2 THEN 100 END AS cpu,
+  CASE WHEN p_partkey % 6 <> 0 THEN CAST(p_partkey % 40 * 64 AS INTEGER) WHEN (p_partkey // 50) % 4 <> 2 THEN 256 END AS mem,
+  CASE WHEN p_partkey % 7 <> 0 THEN CAST(p_partkey % 40 * 64 + p_partkey % 3 * 16 AS INTEGER) WHEN (p_partkey // 50) % 4 <> 2 THEN 512 END AS lim FROM part)
 SELECT namespace, workload, container, cpu AS effective_cpu_m, mem AS effective_mem_mi, lim AS effective_limit_mem_mi,
   NOT free AND cpu < 10 AS cpu_below_min, NOT free AND cpu > 600 AS cpu_above_max, NOT free AND mem < 32 AS mem_below_min,
   NOT free AND lim > 1600 AS mem_above_max, NOT free AND mem > 0 AND lim > mem AS ratio_exceeded FROM c"""

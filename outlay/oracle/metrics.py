@@ -26,16 +26,15 @@ MEM = "floor(value) * 1048576.0"
 CPU_REQ = "(user_id % 8 + 1) * 0.25"
 MEM_REQ = "(user_id % 4 + 1) * 268435456.0"
 COUNTS = [
-    ("container_cpu_usage_seconds_total", "TRUE"), ("container_memory_working_set_bytes", "TRUE"), ("kube_pod_container_resource_requests_cpu", "TRUE"),
-    ("kube_pod_container_resource_requests_memory", "TRUE"), ("container_cpu_cfs_throttled_periods_total", "TRUE"), ("container_cpu_cfs_periods_total", "TRUE"),
-    ("container_oom_events_total", "event_id % 3 = 0"), ("kube_pod_container_status_last_terminated_reason", "event_id % 2 = 0"),
-    ("kube_node_status_allocatable_cpu", "TRUE"), ("kube_node_status_allocatable_memory", "TRUE"),
+    "container_cpu_usage_seconds_total", "container_memory_working_set_bytes", "kube_pod_container_resource_requests_cpu",
+    "kube_pod_container_resource_requests_memory", "container_cpu_cfs_throttled_periods_total", "container_cpu_cfs_periods_total",
+    "container_oom_events_total", "kube_pod_container_status_last_terminated_reason", "kube_node_status_allocatable_cpu", "kube_node_status_allocatable_memory",
 ]
 ORACLE["SRC7_metric_samples"] = " UNION ALL ".join(
-    f"SELECT '{n}' AS metric, COUNT(*) AS samples, MIN(ts) AS first_ts, MAX(ts) AS last_ts FROM events WHERE {w}" for n, w in COUNTS
+    f"SELECT '{n}' AS metric, COUNT(*) AS samples, MIN(ts) AS first_ts, MAX(ts) AS last_ts FROM events" for n in COUNTS
 )
 ORACLE["T_rate"] = f"WITH {BASE}, {rises('c', 'value', 'real')} SELECT {S}, grid, {r('SUM(rise) / 300.0::DOUBLE', 6)} AS value FROM c GROUP BY ALL"
-ORACLE["T_incr"] = f"WITH {BASE}, {rises('c', 'floor(value / 20)', 'event_id % 3 = 0')} SELECT {S}, {r('SUM(rise)', 4)} AS increase FROM c GROUP BY ALL"
+ORACLE["T_incr"] = f"WITH {BASE}, {rises('c', 'floor(value / 20)')} SELECT {S}, {r('SUM(rise)', 4)} AS increase FROM c GROUP BY ALL"
 _MEMP = last("g", MEM, S, "real")
 ORACLE["T_qot"] = f"WITH {BASE}, {_MEMP} SELECT {S}, {r('quantile_cont(v, 0.95)', 4)} AS value FROM g GROUP BY ALL"
 ORACLE["T_mot"] = f"WITH {BASE}, {_MEMP} SELECT {S}, MAX(v) AS value FROM g GROUP BY ALL"
@@ -73,7 +72,7 @@ tg AS (SELECT {S}, grid, SUM(rise) AS v FROM t GROUP BY ALL), pg AS (SELECT {S},
 q AS (SELECT namespace, pod, container, {r('quantile_cont(tg.v / NULLIF(pg.v, 0), 0.95)', 6)} AS throttled_p95 FROM tg JOIN pg USING ({S}, grid)
   WHERE grid >= {NOW} - INTERVAL 2 DAY GROUP BY ALL)
 SELECT * FROM q WHERE throttled_p95 IS NOT NULL ORDER BY throttled_p95 DESC, namespace, pod, container LIMIT 15"""
-ORACLE["T9_oom_counts"] = f"""WITH {BASE}, {rises('t', 'floor(value / 10)', f"event_id % 2 = 0 AND ts >= {NOW} - INTERVAL 5 DAY AND ts < {NOW}")}
+ORACLE["T9_oom_counts"] = f"""WITH {BASE}, {rises('t', 'floor(value / 10)', f"ts >= {NOW} - INTERVAL 5 DAY AND ts < {NOW}")}
 SELECT namespace, container, {r('SUM(rise)', 4)} AS oom_kills FROM t GROUP BY ALL"""
 ORACLE["T12_spot_share"] = """WITH n AS (SELECT DISTINCT user_id FROM events) SELECT CASE user_id % 4 WHEN 0 THEN 'true' WHEN 1 THEN 'false' END AS spot, COUNT(*) AS nodes FROM n GROUP BY ALL"""
 _PDB = """b AS (SELECT 'main' AS cluster, event_type AS namespace, 'pdb-' || user_id AS pdb, arg_max(event_id % 3, ts) AS allowed FROM events GROUP BY ALL)"""
@@ -91,7 +90,7 @@ n AS (SELECT node, {r('SUM(c) / ((node_no % 5 + 1) * 24.0)', 4)} AS cpu_ratio, {
 SELECT * FROM n WHERE cpu_ratio < 0.5 AND mem_ratio < 0.5"""
 _IN = f"ts >= {NOW} - INTERVAL 14 DAY AND ts < {NOW}"
 K = "namespace, pod, container"
-ORACLE["K1_usage_from_samples"] = f"""WITH {BASE}, {rises('c', 'value', f'real AND {_IN}')}, {rises('t', 'floor(value / 3)', _IN)}, {rises('p', 'value', _IN)}, {rises('o', 'floor(value / 20)', f'event_id % 3 = 0 AND {_IN}')},
+ORACLE["K1_usage_from_samples"] = f"""WITH {BASE}, {rises('c', 'value', f'real AND {_IN}')}, {rises('t', 'floor(value / 3)', _IN)}, {rises('p', 'value', _IN)}, {rises('o', 'floor(value / 20)', _IN)},
 cg AS (SELECT {K}, grid, SUM(rise) / 300.0::DOUBLE AS v FROM c GROUP BY ALL), tg AS (SELECT {K}, grid, SUM(rise) AS v FROM t GROUP BY ALL), pg AS (SELECT {K}, grid, SUM(rise) AS v FROM p GROUP BY ALL),
 {last('mg', MEM, K, f'real AND {_IN}')},
 cs AS (SELECT {K}, quantile_cont(v, 0.95) AS p95, quantile_cont(v, 0.99) AS p99, MAX(v) AS mx FROM cg GROUP BY ALL),

@@ -72,6 +72,11 @@ def test_view_uses_the_local_day(lines):
     assert row["usage_date"] == dt.date(2026, 9, 21)
 
 
+def test_view_by_name(spark, lines):
+    billing.register_cost_view(lines(line(labels=label(app="a"))))
+    assert spark.sql("SELECT app, k8s_namespace FROM v_cost_daily").first() == ("a", None)
+
+
 def test_scan_bounds(lines):
     d = lambda n: AS_OF - dt.timedelta(days=n)
     kept = [line(day=d(30)), line(day=d(0)), line(day=d(30), ingest=d(27))]
@@ -111,18 +116,19 @@ def test_share_with_null_group_key(lines):
     ]
 
 
+USED_AND_FEE = [
+    line(cost="100", credits=[("COMMITTED_USAGE_DISCOUNT", "-60")], slabels=[{"key": "compute.googleapis.com/machine_spec", "value": "n2-standard-4"}]),
+    line(cost="80", sku="Commitment v1: Cpu for 1 Year"),
+]
+
+
 def test_commitment_fee_without_machine_spec(lines):
-    rows = billing.commitment_coverage(
-        lines(
-            line(cost="100", credits=[("COMMITTED_USAGE_DISCOUNT", "-60")], slabels=[{"key": "compute.googleapis.com/machine_spec", "value": "n2-standard-4"}]),
-            line(cost="80", sku="Commitment v1: Cpu for 1 Year"),
-            line(cost="0.001", sku="Something else"),
-        ),
-        AS_OF,
-    ).collect()
+    rows = billing.commitment_coverage(lines(*USED_AND_FEE, line(cost="0.001", sku="Something else")), AS_OF).collect()
     by = {r["machine_family"]: r for r in rows}
     assert by["n2"]["cud_coverage_pct"] == 60.0 and by["n2"]["idle_cud_cost"] == 0.0
     assert by["unknown"]["commitment_fees"] == 80.0 and by["unknown"]["idle_cud_cost"] == 80.0
+    region = one(billing.commitment_coverage(lines(*USED_AND_FEE), AS_OF, by=("region",)))
+    assert (region["commitment_fees"], region["idle_cud_cost"]) == (80.0, 20.0)
 
 
 def test_credit_share_is_not_fanned_out(lines):

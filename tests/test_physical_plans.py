@@ -22,7 +22,8 @@ def plan(df):
 @pytest.fixture(scope="module")
 def export(spark, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("export"))
-    rows = [line(day=AS_OF - dt.timedelta(days=d), sku="Egress", unit="gibibyte") for d in range(0, 200, 10)]
+    cluster = [{"key": "goog-k8s-cluster-name", "value": "c"}]
+    rows = [line(day=AS_OF - dt.timedelta(days=d), sku="Egress", unit="gibibyte", labels=cluster) for d in range(0, 200, 10)]
     spark.createDataFrame(rows, schemas.BILLING_LINE).write.partitionBy("ingest_date").mode("overwrite").parquet(path)
     return spark.read.schema(schemas.BILLING_LINE).parquet(path)
 
@@ -45,8 +46,8 @@ def lines_with_key(lines):
     return lines.filter(has_label(lines["labels"], "x")).select("cost")
 
 
-def test_grand_total_reuses_the_shuffle(export):
-    for run in (billing.cost_by_service, billing.egress_cost):
+def test_totals_reuse_the_shuffle(export):
+    for run in (billing.cost_by_service, billing.egress_cost, billing.cost_by_label, billing.cost_by_namespace):
         df = run(export, AS_OF)
         df.collect()
         text = df._jdf.queryExecution().executedPlan().toString()
