@@ -261,7 +261,9 @@ def unattached_disk_cost(lines: DataFrame, assets: DataFrame, as_of: dt.date, wi
         .groupBy(*keys)
         .agg(F.sum("net").alias("net"))
     )
-    idle = disk_states(assets).filter(F.coalesce(F.col("attached_count"), F.lit(0)) == 0)
+    # Only names of this form can join, so other assets leave before their versions are compared.
+    disks = assets.filter(F.col("name").like(fixed.DISK_NAME_LIKE))
+    idle = disk_states(disks).filter(F.coalesce(F.col("attached_count"), F.lit(0)) == 0)
     return cost.join(idle, cost.disk_global_name == idle.asset_name, "inner").select(
         "project_id",
         "zone",
