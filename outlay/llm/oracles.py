@@ -26,3 +26,22 @@ select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(hw.n, 0) as bigi
   coalesce(hw.n, 0) > 0 and 20 * coalesce(hw.n, 0) >= len(w) as contaminated
 from d left join hit_words hw using (r) left join hit_items hi using (r)
 """
+
+# Every pair with a common shingle is compared; the classes of equal sets stand for their copies.
+NEAR_DUPLICATES = rf"""
+with recursive d as (
+  select doc_id, coalesce(regexp_extract_all({LOWER.format('text')}, '[^\x20\x09-\x0D]+'), []::varchar[]) as w from documents),
+s as (
+  select doc_id, list_sort(list_distinct(case when len(w) = 0 then []::varchar[] when len(w) < 4 then [array_to_string(w, ' ')]
+    else list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) end)) as g from d),
+c as (select min(doc_id) as id, g, len(g) as n from s where len(g) > 0 group by g),
+e as (select id, n, unnest(g) as h from c),
+p as (select x.id as a, y.id as b, x.n as na, y.n as nb, count(*) as i from e x join e y on x.h = y.h and x.id < y.id group by all),
+links as (select a, b from p where 100 * i >= 80 * (na + nb - i)),
+both_ways as (select a, b from links union select b, a from links),
+reach(id, r) as (select id, id from c union select reach.id, both_ways.b from reach join both_ways on reach.r = both_ways.a),
+comp as (select id, min(r) as component_id from reach group by id)
+select s.doc_id, cast(len(s.g) as bigint) as n_shingles, coalesce(comp.component_id, s.doc_id) as component_id,
+  s.doc_id = coalesce(comp.component_id, s.doc_id) as kept
+from s left join c on s.g = c.g left join comp on comp.id = c.id
+"""

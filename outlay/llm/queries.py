@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from outlay.llm import decontaminate, oracles
+from outlay.llm import decontaminate, minhash, oracles
 from outlay.llm.common import read
 
 
@@ -12,9 +12,15 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read(spark, sf_dir, "documents"), k=4)
+
+
 QUERIES = {
+    "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 ORACLES = {
+    "op8_minhash_near_dedup": oracles.NEAR_DUPLICATES,
     "op10_benchmark_decontamination": oracles.DECONTAMINATION,
 }
