@@ -45,3 +45,21 @@ select s.doc_id, cast(len(s.g) as bigint) as n_shingles, coalesce(comp.component
   s.doc_id = coalesce(comp.component_id, s.doc_id) as kept
 from s left join c on s.g = c.g left join comp on comp.id = c.id
 """
+
+# Runs along the diagonals of all pairs of equal lines.
+LINE_DEDUP = r"""
+with d as (select doc_id, text, row_number() over (order by doc_id nulls last, text) as dn, string_split(text, chr(10)) as ls from documents),
+l as (select dn, unnest(ls) as s, unnest(range(0, len(ls))) as p from d where text is not null),
+w as (select *, len(regexp_extract_all(s, '[^\x20\x09-\x0D]+')) as n from l),
+eq as (select a.dn as da, a.p as pa, b.dn as db, b.p as pb from l a join l b on a.s = b.s and (b.dn < a.dn or b.dn = a.dn and b.p < a.p)),
+diag as (select *, pa - row_number() over (partition by da, db, pa - pb order by pa) as island from eq),
+runs as (select da, pa, max(pa) over (partition by da, db, pa - pb, island) as hi from diag),
+best as (select da as dn, pa as lo, max(hi) as hi from runs group by da, pa),
+heavy as (select best.dn, lo, hi from best join w on w.dn = best.dn and w.p between lo and hi group by best.dn, lo, hi having sum(n) >= 50),
+gone as (select distinct w.dn, w.p from w join heavy on w.dn = heavy.dn and w.p between lo and hi),
+kept as (select w.dn, string_agg(s, chr(10) order by w.p) as t from w anti join gone on w.dn = gone.dn and w.p = gone.p group by w.dn),
+lost as (select dn, count(*) as n from gone group by dn)
+select doc_id, cast(coalesce(len(ls), 0) as bigint) as n_lines, cast(coalesce(lost.n, 0) as bigint) as n_deleted,
+  md5(case when text is null then null else coalesce(t, '') end) as text_md5
+from d left join kept using (dn) left join lost using (dn)
+"""

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from outlay.llm import decontaminate, minhash, oracles
+from outlay.llm import decontaminate, linededup, minhash, oracles
 from outlay.llm.common import read
 
 
@@ -16,11 +17,18 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read(spark, sf_dir, "documents"), k=4)
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clean = linededup.dedup_lines(read(spark, sf_dir, "documents"))
+    return clean.select("doc_id", "n_lines", "n_deleted", F.md5("text").alias("text_md5"))
+
+
 QUERIES = {
+    "op7_line_dedup": op7_line_dedup,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 ORACLES = {
+    "op7_line_dedup": oracles.LINE_DEDUP,
     "op8_minhash_near_dedup": oracles.NEAR_DUPLICATES,
     "op10_benchmark_decontamination": oracles.DECONTAMINATION,
 }
