@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from outlay.llm import decontaminate, linededup, minhash, oracles
+from outlay.llm import decontaminate, langid, linededup, minhash, oracles
 from outlay.llm.common import read
 
 
@@ -22,7 +22,12 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.select("doc_id", "n_lines", "n_deleted", F.md5("text").alias("text_md5"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op9_language_id": op9_language_id,
     "op7_line_dedup": op7_line_dedup,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
