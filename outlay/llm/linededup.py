@@ -112,8 +112,8 @@ def deleted_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
     return gone.select(*KEYS, F.lit(False).alias("whole"), "gone").union(copies.select(*KEYS, F.lit(True).alias("whole"), nothing.alias("gone")))
 
 
-def dedup_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
-    """``docs`` with ``text`` cleaned and ``n_lines``, ``n_deleted`` added.
+def dedup_lines(docs: DataFrame, min_words: int = 50, counts: tuple[str, str] = ("n_lines", "n_deleted")) -> DataFrame:
+    """``docs`` with ``text`` cleaned and its numbers of lines and of deleted lines added.
 
     A document that loses all its lines has the text ``''``.
     """
@@ -121,14 +121,14 @@ def dedup_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
     lost = materialise(deleted_lines(docs, min_words), "deleted")
     lost = lost.select(F.col("id").alias("__id"), F.col("body").alias("__body"), F.col("whole").alias("__whole"), F.col("gone").alias("__gone"))
     marked = docs.withColumns({"__id": F.coalesce("doc_id", F.lit(LAST)).cast("bigint"), "__body": F.md5("text")})
-    joined = marked.join(lost, ["__id", "__body"], "left").withColumn("__lines", _lines(F.col("text")))
-    n = F.coalesce(F.size("__lines"), F.lit(0))
-    stay = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), "__gone")
+    joined = marked.join(lost, ["__id", "__body"], "left").withColumn("__split", _lines(F.col("text")))
+    n = F.coalesce(F.size("__split"), F.lit(0))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("__split") - 1), "__gone")
     text = (
         F.when(F.col("__whole"), F.lit(""))
-        .when(F.col("__gone").isNotNull(), F.array_join(F.transform(stay, lambda i: F.get("__lines", i)), "\n"))
+        .when(F.col("__gone").isNotNull(), F.array_join(F.transform(stay, lambda i: F.get("__split", i)), "\n"))
         .otherwise(F.col("text"))
     )
     lost_lines = F.when(F.col("__whole"), n).otherwise(F.coalesce(F.size("__gone"), F.lit(0)))
-    out = joined.withColumns({"__text": text, "n_lines": F.when(F.col("text").isNull(), 0).otherwise(n).cast("bigint"), "n_deleted": lost_lines.cast("bigint")})
-    return out.withColumn("text", F.col("__text")).select(*docs.columns, "n_lines", "n_deleted")
+    out = joined.withColumns({"__text": text, counts[0]: F.when(F.col("text").isNull(), 0).otherwise(n).cast("bigint"), counts[1]: lost_lines.cast("bigint")})
+    return out.withColumn("text", F.col("__text")).select(*docs.columns, *counts)

@@ -14,13 +14,14 @@ Steps, all between Spark shuffles:
 2. Sub-keys that no second class has are dropped before pairs of sub-keys are formed; most documents
    end here. Tables hold the rest; tables with the same members count once.
 3. Rounds: each table member is verified against a pivot of its table, on the full sets. Members that
-   are connected by now need no further test. In a table whose members are still in several components
-   the members outside its largest one go on, until every pair is connected or has been tested. A group
-   of near copies thus costs about a test for each member, and no link between components is lost.
+   are connected by then need no further test; the others are tried against all members of other
+   components in their tables that an exact bound does not rule out. A group of near copies thus costs
+   about a test for each member, and no link between components is lost.
 
 Defined cases: NULL and empty texts and texts without words have an empty set and are linked with
-nothing; with fewer words than a shingle the whole sequence is the only one. Rows with one doc_id are
-one document. Rows without doc_id are documents, too; a component of such rows only has a NULL id.
+nothing; with fewer words than a shingle the whole sequence is the only one. Rows with one doc_id are one
+document and stay or go together. Rows without doc_id are named by their texts, after all ids; a
+component of such rows only has a NULL id.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,7 +39,7 @@ from outlay.llm.common import materialise
 from outlay.llm.components import components
 from outlay.llm.shingles import MULTIPLIER, WordHashes, as_signed, mix, shingle_set, words_of
 
-NAMELESS = 1 << 62  # nodes of classes in which no document has an id
+NAMELESS = 1 << 62  # names of documents without an id begin here
 
 
 def _multipliers(n: int) -> np.ndarray:
@@ -81,7 +82,7 @@ def signatures(docs: DataFrame, k: int, per_side: int, rows: int) -> DataFrame:
                     ["doc_id", "n_shingles", "cls", "keys"],
                 )
 
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, "doc_id bigint, n_shingles bigint, cls bigint, keys array<bigint>")
+    return docs.mapInArrow(run, "doc_id bigint, n_shingles bigint, cls bigint, keys array<bigint>")
 
 
 def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
@@ -135,80 +136,109 @@ def tables(classes: DataFrame, per_side: int) -> DataFrame:
     return members.join(once, "table")
 
 
-def near_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``a, b``: verified links that connect whatever the links within the tables connect."""
-    tested = links = None
-    round_no = 0
-    while True:
-        if links is None:
-            labelled = members.withColumn("component", F.col("node"))
-        else:
-            found = materialise(components(links), "components")
-            labelled = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        labelled = materialise(labelled.select("table", "node", "component"), "labelled")
-        mixed = labelled.groupBy("table").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("table")
-        if round_no < 2:
-            # One pivot for each table: its smallest node. At first each member takes only its smallest pivot.
-            open_ = labelled.join(mixed, "table") if round_no else labelled
-            pivots = open_.groupBy("table").agg(F.min("node").alias("a"))
-            pairs = open_.join(pivots, "table").where("a < node").select("a", F.col("node").alias("b"), "component")
-            if round_no == 0:
-                pairs = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-            else:
-                at = labelled.groupBy(F.col("node").alias("a")).agg(F.min("component").alias("other"))
-                pairs = pairs.join(at, "a").where("other <> component").select("a", "b").distinct()
-        else:
-            # Members outside a table's largest component try each other component in it, one untested
-            # pair for each; a table of near copies with a few strangers costs rows for the strangers only.
-            open_ = labelled.join(mixed, "table")
-            sizes = open_.groupBy("table", "component").agg(F.count("*").alias("n"))
-            largest = sizes.groupBy("table").agg(F.max_by("component", "n").alias("largest"))
-            strangers = open_.join(largest, "table").where("component <> largest").select("table", F.col("node").alias("x"), F.col("component").alias("own"))
-            other = open_.select("table", F.col("node").alias("y"), "component")
-            left = strangers.join(other, "table").where("own <> component").select("x", "component", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-            left = left.join(tested, ["a", "b"], "left_anti")
-            pairs = left.groupBy("x", "component").agg(F.min("a").alias("a"), F.min_by("b", "a").alias("b")).select("a", "b").distinct()
-        if tested is not None and round_no < 2:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        new = materialise(verified(pairs, sets, percent), "verified")
-        if round_no >= 2 and new.isEmpty():
-            return links
-        fresh = new.where("linked").select("a", "b")
-        links = fresh if links is None else links.union(fresh)
-        tested = new.select("a", "b") if tested is None else tested.union(new.select("a", "b"))
-        round_no += 1
+def shared_sizes(sets: DataFrame) -> DataFrame:
+    """``node, n, shared``: how many shingles of a set occur in another set of the table, too."""
 
+    def items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 200):
+                part = batch.slice(start, 200)
+                found = [np.frombuffer(x.as_py(), np.int64) for x in part.column("items")]
+                nodes = np.repeat(part.column("node").to_numpy(zero_copy_only=False), [len(x) for x in found])
+                yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(np.concatenate([np.empty(0, np.int64), *found]))], ["node", "item"])
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, per_side: int = 16, rows: int = 4) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` of every row of ``docs`` (``doc_id, text``).
+    rows = sets.mapInArrow(items, "node bigint, item bigint")
+    single = rows.groupBy("item").agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1")
+    alone = single.groupBy("node").agg(F.count("*").alias("alone"))
+    return sets.select("node", "n").join(alone, "node", "left").select("node", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("shared"))
 
-    Linked: at least ``percent`` per cent of the union of the two shingle sets is in both. The component
-    is named by the smallest doc_id that links reach, and that document is kept.
+
+def near_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: verified links that connect whatever the links within the tables connect.
+
+    The pivot of a table is its member with the most tables. Round 1 tries each node against the best
+    of its pivots, round 2 against those of all its tables that it is not connected with yet. Round 3 tries what is left between
+    different components of a table, if a link is possible at all: shingles that only one of the sets
+    has cannot be common, which leaves ``shared`` of ``n`` and thereby a bound for each pair.
     """
+
+    def labelled(links: DataFrame) -> DataFrame:
+        found = materialise(components(links), "components")
+        named = members.join(found, "node", "left").select("table", "node", F.coalesce("component", "node").alias("component"))
+        mixed = named.groupBy("table").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
+        return materialise(named.join(mixed.select("table"), "table"), "labelled")
+
+    def ordered(pairs: DataFrame, x: str, y: str) -> DataFrame:
+        return pairs.where(F.col(x) != F.col(y)).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
+
+    # A node that meets others in many tables is close to many, as the origin of a group of copies is.
+    degree = members.groupBy("node").agg(F.count("*").alias("degree"))
+    ranked = members.join(degree, "node").withColumn("rank", F.struct("degree", (-F.col("node")).alias("low")))
+    pivots = ranked.groupBy("table").agg(F.max("rank").alias("rank"))
+    pivots = materialise(pivots.select("table", (-F.col("rank.low")).alias("pivot"), "rank"), "pivots")
+    tried = members.join(pivots, "table").groupBy("node").agg(F.max("rank").alias("rank"))
+    done = materialise(verified(ordered(tried.select("node", (-F.col("rank.low")).alias("pivot")), "node", "pivot"), sets, percent), "verified")
+    links = done.where("linked").select("a", "b")
+
+    open_ = labelled(links)
+    own = open_.join(pivots.select("table", F.col("pivot").alias("node")), ["table", "node"]).select("table", F.col("node").alias("pivot"), F.col("component").alias("own"))
+    tried = ordered(open_.join(own, "table").where("component <> own"), "node", "pivot")
+    more = materialise(verified(tried.join(done, ["a", "b"], "left_anti"), sets, percent), "verified")
+    links, done = links.union(more.where("linked").select("a", "b")), done.union(more).select("a", "b")
+
+    open_ = labelled(links)
+    bounds = shared_sizes(sets.join(open_.select("node").distinct(), "node", "left_semi"))
+    able = materialise(open_.join(bounds, "node").where(100 * F.col("shared") >= percent * F.col("n")), "able")
+    sizes = able.groupBy("table", "component").agg(F.count("*").alias("n"))
+    largest = sizes.groupBy("table").agg(F.max_by("component", "n").alias("largest"))
+    # One side lies outside the largest component, so that a table of near copies gives few rows.
+    x = able.join(largest, "table").where("component <> largest").select("table", *[F.col(c).alias(f"{c}_x") for c in ("node", "component", "n", "shared")])
+    y = able.select("table", *[F.col(c).alias(f"{c}_y") for c in ("node", "component", "n", "shared")])
+    most = F.least("shared_x", "shared_y")
+    left = x.join(y, "table").where("component_x <> component_y").where(100 * most >= percent * (F.col("n_x") + F.col("n_y") - most))
+    left = left.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
+    rest = materialise(verified(left.join(done, ["a", "b"], "left_anti"), sets, percent), "verified")
+    return links.union(rest.where("linked").select("a", "b"))
+
+
+def identity() -> Column:
+    """The doc_id; for a row without one a number beyond all ids that its text decides."""
+    hashed = F.shiftrightunsigned(F.xxhash64("text"), 3) + NAMELESS
+    return F.coalesce(F.col("doc_id").cast("bigint"), hashed).alias("doc_id")
+
+
+def grouped(docs: DataFrame, k: int, percent: int, per_side: int, rows: int) -> DataFrame:
+    """``doc_id, n_shingles, component`` of every row of ``docs``, whose ids are not NULL."""
     signed = materialise(signatures(docs, k, per_side, rows), "signatures")
     named = signed.where("cls is not null")
-    classes = named.groupBy("cls").agg(F.coalesce(F.min("doc_id"), F.shiftrightunsigned(F.col("cls"), 3) + NAMELESS).alias("node"))
-    classes = materialise(classes, "classes")
-    firsts = named.join(classes, "cls").where("doc_id <=> node or (doc_id is null and node >= {})".format(NAMELESS))
+    classes = materialise(named.groupBy("cls").agg(F.min("doc_id").alias("node")), "classes")
+    firsts = named.join(classes, "cls").where("doc_id = node")
     # One row for each class, also where a document is repeated.
     firsts = firsts.groupBy("cls", "node").agg(F.any_value("keys").alias("keys"))
     members = materialise(tables(firsts, per_side), "members")
-
-    wanted = members.select("node").distinct()
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("node"), F.col("text").cast("string").alias("text"))
-    if classes.where(F.col("node") >= NAMELESS).isEmpty():
-        texts = texts.where("node is not null")
-    else:
-        own = signatures(docs.where("doc_id is null").select(F.xxhash64("text").alias("doc_id"), "text"), k, 1, 1).where("cls is not null")
-        own = own.select("doc_id", (F.shiftrightunsigned(F.col("cls"), 3) + NAMELESS).alias("own")).distinct()
-        texts = texts.withColumn("doc_id", F.when(F.col("node").isNull(), F.xxhash64("text"))).join(own, "doc_id", "left")
-        texts = texts.select(F.coalesce("node", "own").alias("node"), "text")
-    sets = materialise(shingle_sets(texts.join(wanted, "node", "left_semi"), k), "sets")
-
-    links = near_links(members, sets, percent)
-    found = materialise(components(links), "components")
+    wanted = materialise(members.select("node").distinct(), "wanted")
+    texts = docs.select(F.col("doc_id").alias("node"), "text").join(wanted, "node", "left_semi")
+    sets = materialise(shingle_sets(texts, k), "sets")
+    found = materialise(components(near_links(members, sets, percent)), "components")
     # Classes that share a doc_id are one document, and so one node.
     by_class = classes.join(found, "node", "left").select("cls", F.coalesce("component", "node").alias("component"))
     out = signed.drop("keys").join(by_class, "cls", "left")
-    component = F.when(F.col("cls").isNull(), F.col("doc_id")).when(F.col("component") < NAMELESS, F.col("component"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component"))
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, per_side: int = 16, rows: int = 4) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` of every row of ``docs`` (``doc_id, text``).
+
+    Linked: at least ``percent`` per cent of the union of the two shingle sets is in both. The component
+    is named by the smallest doc_id that links reach, and that document is kept.
+    """
+    out = grouped(docs.select(identity(), F.col("text").cast("string")), k, percent, per_side, rows)
+    named = [F.when(F.col(c) < NAMELESS, F.col(c)).alias(n) for c, n in (("doc_id", "doc_id"), ("component", "component_id"))]
+    return out.select(named[0], "n_shingles", named[1], (F.col("doc_id") == F.col("component")).alias("kept"))
+
+
+def keep_firsts(docs: DataFrame, k: int = 5, percent: int = 80, per_side: int = 16, rows: int = 4) -> DataFrame:
+    """``docs`` without the documents that have a near copy with a smaller id in their component."""
+    out = grouped(docs.select(identity(), F.col("text").cast("string")), k, percent, per_side, rows)
+    gone = materialise(out.where("doc_id <> component").select(F.col("doc_id").alias("__id")).distinct(), "near-copies")
+    return docs.withColumn("__id", identity()).join(gone, "__id", "left_anti").select(*docs.columns)

@@ -63,3 +63,38 @@ select doc_id, cast(coalesce(len(ls), 0) as bigint) as n_lines, cast(coalesce(lo
   md5(case when text is null then null else coalesce(t, '') end) as text_md5
 from d left join kept using (dn) left join lost using (dn)
 """
+
+# Halvings as a recursion over the list of shares, then one running sum for each source and epoch.
+MIXING = r"""
+with recursive t as (
+  select doc_id, coalesce(source, '') as source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) + 1 as n, md5(coalesce(text, '')) as h from documents),
+s as (select source, sum(n) as tokens from t group by source),
+g as (select sum(tokens) as total, count(*) as k from s),
+l as (select list(cast(tokens as double) / total) as ps, any_value(k) as k, any_value(total) as total from s, g),
+e(i, lo, hi) as (
+  select 0, 0.0::double, 1.0::double union all
+  select i + 1, case when up then m else lo end, case when up then hi else m end from (
+    select i, lo, hi, m, ln(z) - m * list_sum(list_transform(ps, lambda p: pow(p, m) * ln(p))) / z >= 0.99 * ln(k) as up from (
+      select i, lo, hi, (lo + hi) / 2 as m, ps, k, list_sum(list_transform(ps, lambda p: pow(p, (lo + hi) / 2))) as z from e, l where i < 40))),
+r(i, lo, hi) as (
+  select 0, 0.0::double, 1.0::double union all
+  select i + 1, case when up then m else lo end, case when up then hi else m end from (
+    select i, lo, hi, m, list_max(list_transform(ps, lambda p: pow(p, m) / p)) / z > 4 as up from (
+      select i, lo, hi, (lo + hi) / 2 as m, ps, list_sum(list_transform(ps, lambda p: pow(p, (lo + hi) / 2))) as z from r, l where i < 40))),
+a as (select round(greatest((select max(lo) from e), (select min(hi) from r)), 9) as x),
+z as (select list_sum(list_transform(ps, lambda p: pow(p, x))) as z from l, a),
+plan as (
+  select source, cast(tokens as bigint) as tokens, cast(total as bigint) as total,
+    cast(floor(round(pow(cast(tokens as double) / total, x) / z, 9) * total + 0.5) as bigint) as wanted from s, g, a, z),
+ex as (
+  select t.*, tokens, wanted, total, epoch, md5(concat_ws('|', 'order', 1, epoch, coalesce(cast(doc_id as varchar), ''), h)) as key
+  from (select *, unnest(range(0, cast(wanted // tokens as bigint) + 1)) as epoch from plan) join t using (source)),
+placed as (
+  select *, sum(n) over (partition by source, epoch order by key, doc_id, n rows unbounded preceding) - n as start, greatest(1, ceil(total / 262144.0)) as blocks from ex),
+cut as (
+  select *, cast(least(blocks - 1, floor(cast(epoch * tokens + start as double) * cast(blocks as double) / wanted)) as bigint) as block
+  from placed where epoch < wanted // tokens or start < wanted % tokens)
+select doc_id, source, cast(n as bigint) as n_tokens, cast(epoch as bigint) as epoch, block,
+  row_number() over (partition by block order by md5(concat_ws('|', 'block', 1, epoch, coalesce(cast(doc_id as varchar), ''), h)), doc_id, source, n) as position
+from cut
+"""
