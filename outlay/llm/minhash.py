@@ -15,7 +15,7 @@ Steps, all between Spark shuffles:
    end here. Tables hold the rest; tables with the same members count once.
 3. Rounds: each table member is verified against a pivot of its table, on the full sets. Members that
    are connected by then need no further test; the others are tried against all members of other
-   components in their tables that an exact bound does not rule out. A group of near copies thus costs
+   components that a prefix filter, which is exact, does not rule out. A group of near copies thus costs
    about a test for each member, and no link between components is lost.
 
 Defined cases: NULL and empty texts and texts without words have an empty set and are linked with
@@ -32,6 +32,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -136,8 +137,8 @@ def tables(classes: DataFrame, per_side: int) -> DataFrame:
     return members.join(once, "table")
 
 
-def shared_sizes(sets: DataFrame) -> DataFrame:
-    """``node, n, shared``: how many shingles of a set occur in another set of the table, too."""
+def set_items(sets: DataFrame) -> DataFrame:
+    """``node, item`` for every shingle of every set."""
 
     def items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -147,19 +148,45 @@ def shared_sizes(sets: DataFrame) -> DataFrame:
                 nodes = np.repeat(part.column("node").to_numpy(zero_copy_only=False), [len(x) for x in found])
                 yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(np.concatenate([np.empty(0, np.int64), *found]))], ["node", "item"])
 
-    rows = sets.mapInArrow(items, "node bigint, item bigint")
-    single = rows.groupBy("item").agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1")
+    return sets.mapInArrow(items, "node bigint, item bigint")
+
+
+def within_reach(sets: DataFrame, percent: int) -> DataFrame:
+    """``node, n`` of the sets that have enough shingles in common with others to have a link at all."""
+    single = set_items(sets).groupBy("item").agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1")
     alone = single.groupBy("node").agg(F.count("*").alias("alone"))
-    return sets.select("node", "n").join(alone, "node", "left").select("node", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("shared"))
+    return sets.join(alone, "node", "left").where(100 * (F.col("n") - F.coalesce("alone", F.lit(0))) >= percent * F.col("n")).select("node", "n")
+
+
+def prefix_pairs(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: the pairs of different components that the prefix filter lets pass, among them all links.
+
+    Shingles are ordered by rarity. Linked sets have their first common shingle early in both: behind it
+    there must be room for the overlap that a link needs. ``labels`` has ``node, component, stranger``;
+    one node of a pair is a stranger. Rare shingles come first, so a common passage gives no pairs.
+    """
+    rows = materialise(set_items(sets), "items")
+    shared = rows.groupBy("item").agg(F.count("*").alias("df")).where("df > 1")
+    known = rows.join(shared, "item")
+    sizes = sets.select("node", "n").join(known.groupBy("node").agg(F.count("*").alias("m")), "node")
+    order = W.partitionBy("node").orderBy("df", "item")
+    placed = known.withColumn("i", F.row_number().over(order)).join(sizes, "node").withColumn("at", F.col("n") - F.col("m") + F.col("i"))
+    prefix = placed.where(100 * (F.col("at") - 1) <= (100 - percent) * F.col("n")).join(labels, "node")
+    prefix = materialise(prefix.select("node", "item", "n", "at", "component", "stranger"), "prefixes")
+    x = prefix.where("stranger").select("item", *[F.col(c).alias(f"{c}_x") for c in ("node", "n", "at", "component")])
+    y = prefix.select("item", *[F.col(c).alias(f"{c}_y") for c in ("node", "n", "at", "component")])
+    most = 1 + F.least(F.col("n_x") - F.col("at_x"), F.col("n_y") - F.col("at_y"))
+    met = x.join(y, "item").where("component_x <> component_y").where((100 + percent) * most >= percent * (F.col("n_x") + F.col("n_y")))
+    return met.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
 
 
 def near_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """``a, b``: verified links that connect whatever the links within the tables connect.
 
     The pivot of a table is its member with the most tables. Round 1 tries each node against the best
-    of its pivots, round 2 against those of all its tables that it is not connected with yet. Round 3 tries what is left between
-    different components of a table, if a link is possible at all: shingles that only one of the sets
-    has cannot be common, which leaves ``shared`` of ``n`` and thereby a bound for each pair.
+    of its pivots, round 2 against those of all its tables that it is not connected with yet. Round 3
+    tries what is left between different components, of tables that still have several, as far as
+    exact bounds allow a link.
     """
 
     def labelled(links: DataFrame) -> DataFrame:
@@ -187,16 +214,12 @@ def near_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     links, done = links.union(more.where("linked").select("a", "b")), done.union(more).select("a", "b")
 
     open_ = labelled(links)
-    bounds = shared_sizes(sets.join(open_.select("node").distinct(), "node", "left_semi"))
-    able = materialise(open_.join(bounds, "node").where(100 * F.col("shared") >= percent * F.col("n")), "able")
-    sizes = able.groupBy("table", "component").agg(F.count("*").alias("n"))
-    largest = sizes.groupBy("table").agg(F.max_by("component", "n").alias("largest"))
-    # One side lies outside the largest component, so that a table of near copies gives few rows.
-    x = able.join(largest, "table").where("component <> largest").select("table", *[F.col(c).alias(f"{c}_x") for c in ("node", "component", "n", "shared")])
-    y = able.select("table", *[F.col(c).alias(f"{c}_y") for c in ("node", "component", "n", "shared")])
-    most = F.least("shared_x", "shared_y")
-    left = x.join(y, "table").where("component_x <> component_y").where(100 * most >= percent * (F.col("n_x") + F.col("n_y") - most))
-    left = left.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
+    largest = open_.groupBy("table", "component").agg(F.count("*").alias("n")).groupBy("table").agg(F.max_by("component", "n").alias("largest"))
+    # One node of a pair lies outside a table's largest component; a table of near copies has few of those.
+    labels = open_.join(largest, "table").groupBy("node", "component").agg(F.max(F.col("component") != F.col("largest")).alias("stranger"))
+    labels = materialise(labels, "labels")
+    able = materialise(within_reach(sets.join(labels.select("node"), "node", "left_semi"), percent), "able")
+    left = prefix_pairs(sets.join(able.select("node"), "node", "left_semi"), labels, percent)
     rest = materialise(verified(left.join(done, ["a", "b"], "left_anti"), sets, percent), "verified")
     return links.union(rest.where("linked").select("a", "b"))
 
