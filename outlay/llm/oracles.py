@@ -98,3 +98,43 @@ select doc_id, source, cast(n as bigint) as n_tokens, cast(epoch as bigint) as e
   row_number() over (partition by block order by md5(concat_ws('|', 'block', 1, epoch, coalesce(cast(doc_id as varchar), ''), h)), doc_id, source, n) as position
 from cut
 """
+
+# The same bins, counted by list functions; windows by joining each text with itself.
+QUALITY = r"""
+with d as (
+  select row_number() over () as r, doc_id, lang, source, text,
+    coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []::varchar[]) as w,
+    list_filter(coalesce(string_split(text, chr(10)), []::varchar[]), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as ls from documents),
+win as (select r, s, w[s:s + 4] as g from (select r, w, unnest(range(1, len(w) - 3)) as s from d where len(w) > 4)),
+twice as (select r, g from win group by r, g having count(*) > 1),
+rep as (select r, count(distinct p) as n from (select r, unnest(range(s, s + 5)) as p from win join twice using (r, g)) group by r),
+f as (
+  select d.*, len(w) as n_words, length(array_to_string(w, '')) as word_chars,
+    coalesce(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')), 0) as n_symbols, coalesce(length(regexp_replace(text, '[^\p{Lu}]', '', 'g')), 0) as n_upper,
+    len(ls) as n_lines, len(ls) - len(list_distinct(ls)) as n_dup_lines, coalesce(rep.n, 0) as n_repeat_words
+  from d left join rep using (r)),
+v as (
+  select *, 1000 * n_symbols // greatest(word_chars, 1) as symbol_rate, 1000 * n_dup_lines // greatest(n_lines, 1) as dup_line_rate,
+    1000 * n_repeat_words // greatest(n_words, 1) as repeat_rate, 1000 * n_upper // greatest(word_chars, 1) as upper_rate, 100 * word_chars // greatest(n_words, 1) as word_length from f),
+long as (
+  select r, lang, source, rate, value from v unpivot (value for rate in (symbol_rate, dup_line_rate, repeat_rate, upper_rate, word_length))),
+low as (select *, case when value < 64 then value else (value >> (length(bin(value)) - 7)) << (length(bin(value)) - 7) end as b from long),
+q0 as (select lang, source, rate, count(*) as n, quantile_disc(b, 0.25) as q1, quantile_disc(b, 0.75) as q3 from low group by all),
+q1 as (select lang, rate, count(*) as n, quantile_disc(b, 0.25) as q1, quantile_disc(b, 0.75) as q3 from low group by all),
+q2 as (select rate, quantile_disc(b, 0.25) as q1, quantile_disc(b, 0.75) as q3 from low group by all),
+slack(rate, s) as (values ('symbol_rate', 20), ('dup_line_rate', 100), ('repeat_rate', 50), ('upper_rate', 60), ('word_length', 60)),
+lim as (
+  select q0.lang, q0.source, q0.rate, s, case when q0.n >= 200 then q0.q1 when q1.n >= 200 then q1.q1 else q2.q1 end as a,
+    case when q0.n >= 200 then q0.q3 when q1.n >= 200 then q1.q3 else q2.q3 end as b
+  from q0 join q1 on q0.lang is not distinct from q1.lang and q0.rate = q1.rate join q2 on q2.rate = q0.rate join slack on slack.rate = q0.rate),
+bad as (
+  select low.r, string_agg(low.rate, ',' order by list_position(['symbol_rate', 'dup_line_rate', 'repeat_rate', 'upper_rate', 'word_length'], low.rate)) as failed
+  from low join lim on low.lang is not distinct from lim.lang and low.source is not distinct from lim.source and low.rate = lim.rate
+  where value > lim.b + 3 * greatest(lim.b - lim.a, s) or low.rate = 'word_length' and value < lim.a - 3 * greatest(lim.b - lim.a, s)
+  group by low.r)
+select doc_id, cast(n_words as bigint) as n_words, cast(word_chars as bigint) as word_chars, cast(n_symbols as bigint) as n_symbols,
+  cast(n_dup_lines as bigint) as n_dup_lines, cast(n_repeat_words as bigint) as n_repeat_words,
+  n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed, coalesce(failed, '') as failed,
+  not (n_words < 10 or 100 * n_repeat_words > 20 * n_words) and failed is null as kept
+from v left join bad using (r)
+"""

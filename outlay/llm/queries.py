@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from outlay.llm import decontaminate, langid, linededup, minhash, mixing, oracles
+from outlay.llm import decontaminate, langid, linededup, minhash, mixing, oracles, quality
 from outlay.llm.common import read
 
 
@@ -21,6 +21,10 @@ def op1_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(read(spark, sf_dir, "documents"))
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(read(spark, sf_dir, "documents"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     clean = linededup.dedup_lines(read(spark, sf_dir, "documents"))
     return clean.select("doc_id", "n_lines", "n_deleted", F.md5("text").alias("text_md5"))
@@ -33,12 +37,14 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_temperature_mixing": op1_temperature_mixing,
     "op9_language_id": op9_language_id,
+    "op2_quality_rules": op2_quality_rules,
     "op7_line_dedup": op7_line_dedup,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 ORACLES = {
     "op1_temperature_mixing": oracles.MIXING,
+    "op2_quality_rules": oracles.QUALITY,
     "op7_line_dedup": oracles.LINE_DEDUP,
     "op8_minhash_near_dedup": oracles.NEAR_DUPLICATES,
     "op10_benchmark_decontamination": oracles.DECONTAMINATION,
