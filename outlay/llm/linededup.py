@@ -83,12 +83,14 @@ def repeated_runs(positions: DataFrame) -> DataFrame:
         block = levels[k].select("doc", F.col("pos").alias("then"), "rank")
         looked = materialise(state.withColumn("then", F.col("pos") + F.col("length")).join(block, ["doc", "then"], "left").drop("then"), "looked")
         groups = looked.where("rank is not null").groupBy("interval", "length", "rank").agg(F.count("*").alias("n"), F.min("at").alias("first")).where("n > 1").drop("n")
-        met = looked.join(groups, ["interval", "length", "rank"], "left")
+        met = looked.where("rank is not null").join(groups, ["interval", "length", "rank"], "left")
         deep, first = F.col("first").isNotNull(), F.col("at") == F.col("first")
         below = F.struct((F.col("length") + step).alias("length"), F.col("first").alias("interval"), (F.col("open") & ~first).alias("open"))
         here = F.struct("length", "interval", "open")
         fates = F.when(deep & first, F.array(below, here)).when(deep, F.array(below)).otherwise(F.array(here))
-        state = met.select("doc", "pos", "at", F.explode(fates).alias("fate")).select("doc", "pos", "at", "fate.*")
+        moved = met.select("doc", "pos", "at", F.explode(fates).alias("fate")).select("doc", "pos", "at", "fate.*")
+        # Positions without a repeated block here need no group; joined, they would all meet at one NULL key.
+        state = moved.union(looked.where("rank is null").select(*moved.columns))
     return state.where("open and length > 0").select("doc", "pos", "length")
 
 
@@ -117,8 +119,7 @@ def dedup_lines(docs: DataFrame, min_words: int = 50, counts: tuple[str, str] =
 
     A document that loses all its lines has the text ``''``.
     """
-    # The table is written first: Spark then knows its size and broadcasts it only where it is small.
-    lost = materialise(deleted_lines(docs, min_words), "deleted")
+    lost = deleted_lines(docs, min_words).hint("merge")
     lost = lost.select(F.col("id").alias("__id"), F.col("body").alias("__body"), F.col("whole").alias("__whole"), F.col("gone").alias("__gone"))
     marked = docs.withColumns({"__id": F.coalesce("doc_id", F.lit(LAST)).cast("bigint"), "__body": F.md5("text")})
     joined = marked.join(lost, ["__id", "__body"], "left").withColumn("__split", _lines(F.col("text")))
