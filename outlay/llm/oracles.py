@@ -138,3 +138,37 @@ select doc_id, cast(n_words as bigint) as n_words, cast(word_chars as bigint) as
   not (n_words < 10 or 100 * n_repeat_words > 20 * n_words) and failed is null as kept
 from v left join bad using (r)
 """
+
+# Every url against every rule.
+URL_RULES = rf"""
+with u as (
+  select page_id, case when position('://' in url) > 0 then substr(url, position('://' in url) + 3) end as rest from pages),
+h as (
+  select page_id, {LOWER.format("regexp_extract(coalesce(rest, ''), '^[^/?#]*')")} as host,
+    regexp_extract(substr(coalesce(rest, ''), length(regexp_extract(coalesce(rest, ''), '^[^/?#]*')) + 1), '^[^?#]*') as path from u),
+rules(host, path, verdict) as (values ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+m as (
+  select h.*, rules.host || rules.path as rule, rules.verdict as v,
+    row_number() over (partition by page_id order by length(rules.host) + length(rules.path) desc nulls last, length(rules.host) desc) as k
+  from h left join rules on (h.host = rules.host or h.host like '%.' || rules.host) and starts_with(h.path, rules.path))
+select page_id, host, path, rule, coalesce(v, 'allow') as verdict from m where k = 1
+"""
+
+# Record against record, without trees.
+FIXITY = r"""
+with p as (
+  select 'part-' || lpad(cast(page_id // 256 as varchar), 8, '0') || '.warc' as file, page_id,
+    'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10)
+      || 'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) as payload
+  from pages),
+r as (select *, cast(coalesce(sum(strlen(payload)) over (partition by file order by page_id rows between unbounded preceding and 1 preceding), 0) as bigint) as off from p),
+a as (select distinct file, off, sha256('+' || payload) as hash from r),
+b as (
+  select distinct file, off, sha256('+' || case when page_id % 101 = 7 then left(payload, 19) || 'X' || substr(payload, 21) else payload end) as hash from r where page_id % 97 <> 11
+  union select file, off + 1, sha256('+' || payload) from r where page_id % 499 = 3),
+oa as (select * from a except select * from b),
+ob as (select * from b except select * from a)
+select coalesce(oa.file, ob.file) as file, coalesce(oa.off, ob.off) as "offset",
+  case when ob.hash is null then 'missing' when oa.hash is null then 'extra' else 'changed' end as kind, oa.hash as hash_first, ob.hash as hash_second
+from oa full join ob on oa.file = ob.file and oa.off = ob.off
+"""

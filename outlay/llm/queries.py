@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from outlay.llm import decontaminate, langid, linededup, minhash, mixing, oracles, quality
+from outlay.llm import decontaminate, fixity, langid, linededup, minhash, mixing, oracles, quality, urlrules
 from outlay.llm.common import read
 
 
@@ -25,6 +25,20 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(read(spark, sf_dir, "documents"))
 
 
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+    return urlrules.judge(read(spark, sf_dir, "pages"), spark.createDataFrame(rules, "host string, path string, verdict string"))
+
+
+def op5_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages as WARC files against a replica of them with flipped, lost and added records."""
+    records = fixity.warc_records(read(spark, sf_dir, "pages"))
+    payload, page = F.col("payload"), F.col("page_id")
+    replica = records.where(page % 97 != 11).withColumn("payload", F.when(page % 101 == 7, F.overlay("payload", F.lit("X").cast("binary"), F.lit(20))).otherwise(payload))
+    added = records.where(page % 499 == 3).select("file", (F.col("offset") + 1).alias("offset"), "page_id", "payload")
+    return fixity.audit(records, replica.union(added))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     clean = linededup.dedup_lines(read(spark, sf_dir, "documents"))
     return clean.select("doc_id", "n_lines", "n_deleted", F.md5("text").alias("text_md5"))
@@ -38,6 +52,8 @@ QUERIES = {
     "op1_temperature_mixing": op1_temperature_mixing,
     "op9_language_id": op9_language_id,
     "op2_quality_rules": op2_quality_rules,
+    "op4_url_filters": op4_url_filters,
+    "op5_warc_fixity": op5_warc_fixity,
     "op7_line_dedup": op7_line_dedup,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
@@ -45,6 +61,8 @@ QUERIES = {
 ORACLES = {
     "op1_temperature_mixing": oracles.MIXING,
     "op2_quality_rules": oracles.QUALITY,
+    "op4_url_filters": oracles.URL_RULES,
+    "op5_warc_fixity": oracles.FIXITY,
     "op7_line_dedup": oracles.LINE_DEDUP,
     "op8_minhash_near_dedup": oracles.NEAR_DUPLICATES,
     "op10_benchmark_decontamination": oracles.DECONTAMINATION,
