@@ -53,14 +53,20 @@ def joined_hash(order: Column, hash_: Column) -> Column:
     return F.sha2(F.array_join(parts, "\n"), 256)
 
 
-def tree(hashes: DataFrame, leaf_bytes: int, fanout: int, top: int) -> list[DataFrame]:
+def leaf_of(leaf_bytes: int, last: int) -> Column:
+    """The leaf of a record; records without an offset are spread over all leaves by their hashes."""
+    spread = F.pmod(F.xxhash64("hash"), F.lit(last + 1))
+    return F.when(F.col("offset") >= 0, F.floor(F.col("offset") / leaf_bytes)).otherwise(spread).cast("bigint")
+
+
+def tree(hashes: DataFrame, leaf_bytes: int, fanout: int, last: int) -> list[DataFrame]:
     """``file, node, hash`` of each level, leaves first; the last one has the root of every file, node 0.
 
-    ``top`` is the largest offset in either replica, so that both trees have the same height.
+    ``last`` is the largest leaf of either replica, so that both trees have the same height.
     """
-    node = F.floor(F.greatest(F.col("offset"), F.lit(0)) / leaf_bytes).cast("bigint")
+    node = leaf_of(leaf_bytes, last)
     levels = [materialise(hashes.groupBy("file", node.alias("node")).agg(joined_hash(F.col("offset"), F.col("hash")).alias("hash")), "leaves")]
-    widest = top // leaf_bytes
+    widest = last
     while widest > 0:
         below = levels[-1]
         above = below.groupBy("file", F.expr(f"node div {fanout}").alias("parent")).agg(joined_hash(F.col("node"), F.col("hash")).alias("hash"))
@@ -81,15 +87,16 @@ def audit(first: DataFrame, second: DataFrame, leaf_bytes: int = 1 << 16, fanout
     ``first`` and ``second`` have ``file, offset, payload``; missing and extra are seen from ``second``.
     """
     a, b = materialise(record_hashes(first), "hashes"), materialise(record_hashes(second), "hashes")
-    top = a.union(b).agg(F.max("offset")).first()[0] or 0
-    trees = [tree(x, leaf_bytes, fanout, top) for x in (a, b)]
+    size = a.union(b).agg(F.max("offset").alias("top"), F.count(F.when(F.col("offset") < 0, 1)).alias("placeless")).first()
+    last = max((size["top"] or 0) // leaf_bytes, size["placeless"] // fanout)
+    trees = [tree(x, leaf_bytes, fanout, last) for x in (a, b)]
     bad = differing(trees[0][-1], trees[1][-1], ["file", "node"])
     for level in reversed(range(len(trees[0]) - 1)):
         bad = materialise(bad, "differing").withColumnRenamed("node", "parent")
         sides = [t[level].withColumn("parent", F.expr(f"node div {fanout}")).join(bad, ["file", "parent"], "left_semi").drop("parent") for t in trees]
         bad = differing(*sides, ["file", "node"])
     bad = materialise(bad, "differing")
-    node = F.floor(F.greatest(F.col("offset"), F.lit(0)) / leaf_bytes).cast("bigint")
+    node = leaf_of(leaf_bytes, last)
     found = [x.withColumn("node", node).join(bad, ["file", "node"], "left_semi").select("file", "offset", "hash") for x in (a, b)]
     only = [found[0].join(found[1], ["file", "offset", "hash"], "left_anti"), found[1].join(found[0], ["file", "offset", "hash"], "left_anti")]
     both = only[0].withColumnRenamed("hash", "hash_first").join(only[1].withColumnRenamed("hash", "hash_second"), ["file", "offset"], "full")

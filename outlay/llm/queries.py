@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from outlay.llm import decontaminate, fixity, langid, linededup, minhash, mixing, oracles, quality, urlrules
+from outlay.llm import decontaminate, fixity, langid, linededup, minhash, mixing, oracles, quality, tokencount, urlrules
 from outlay.llm.common import read
 
+# A public SentencePiece file; its pieces and whole-number scores serve as a unigram vocabulary.
+VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
+
 
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
@@ -39,6 +42,10 @@ def op5_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixity.audit(records, replica.union(added))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABULARY) -> DataFrame:
+    return tokencount.count_tokens(read(spark, sf_dir, "documents"), tokencount.load_vocabulary(vocabulary))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     clean = linededup.dedup_lines(read(spark, sf_dir, "documents"))
     return clean.select("doc_id", "n_lines", "n_deleted", F.md5("text").alias("text_md5"))
@@ -54,6 +61,7 @@ QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op4_url_filters": op4_url_filters,
     "op5_warc_fixity": op5_warc_fixity,
+    "op6_token_counts": op6_token_counts,
     "op7_line_dedup": op7_line_dedup,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
