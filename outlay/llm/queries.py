@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from outlay.llm import decontaminate, fixity, langid, linededup, minhash, mixing, oracles, quality, tokencount, urlrules
+from outlay.llm import decontaminate, fixity, kneserney, langid, linededup, minhash, mixing, oracles, quality, tokencount, urlrules
 from outlay.llm.common import read
 
 # A public SentencePiece file; its pieces and whole-number scores serve as a unigram vocabulary.
@@ -28,6 +28,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(read(spark, sf_dir, "documents"))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneserney.score_corpus(read(spark, sf_dir, "documents"))
+
+
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
     return urlrules.judge(read(spark, sf_dir, "pages"), spark.createDataFrame(rules, "host string, path string, verdict string"))
@@ -59,6 +63,7 @@ QUERIES = {
     "op1_temperature_mixing": op1_temperature_mixing,
     "op9_language_id": op9_language_id,
     "op2_quality_rules": op2_quality_rules,
+    "op3_lm_scoring": op3_lm_scoring,
     "op4_url_filters": op4_url_filters,
     "op5_warc_fixity": op5_warc_fixity,
     "op6_token_counts": op6_token_counts,
