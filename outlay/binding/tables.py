@@ -77,7 +77,8 @@ def _labels(*entries: tuple[str, str, str]) -> str:
     return parts[0] if len(parts) == 1 else "concat(" + ",".join(parts) + ")"
 
 
-_COST = "cast(l_extendedprice as decimal(18,4))"
+# Prices with a tail far below a hundredth, as a detailed export has them.
+_COST = "cast(cast(l_extendedprice as decimal(18,4)) + (l_orderkey % 9) * 0.0000137BD as decimal(28,10))"
 
 
 def _credit(name: str) -> str:
@@ -87,7 +88,14 @@ def _credit(name: str) -> str:
 
 
 def _amount(rate: str) -> str:
-    return f"cast(-({_COST} * cast({rate} as decimal(4,2))) as decimal(18,4))"
+    return f"cast(-({_COST} * cast({rate} as decimal(4,2))) as decimal(28,10))"
+
+
+def _split_credit() -> str:
+    """The ``cud`` credit in five entries of one type, four of them tiny."""
+    tiny = _credit("cud").replace("cud_amount)", "cast(-0.00004 as decimal(28,10)))")
+    rest = _credit("cud").replace("cud_amount)", "cast(cud_amount + 0.00016BD as decimal(28,10)))")
+    return f"array({tiny}, {tiny}, {tiny}, {tiny}, {rest})"
 
 
 _CUD = _credit("cud")
@@ -154,7 +162,10 @@ def billing_lines(lineitem: DataFrame, hourly: bool = False) -> DataFrame:
         "named_struct('id', concat(l_partkey % 6, '-', (l_partkey div 6) % 8), 'description', sku_name) as sku",
         "named_struct('region', region_name, 'zone', concat(region_name, if(l_partkey % 2 = 0, '-a', '-b'))) as location",
         "list_cost as cost",
-        f"case when cud_amount is not null and sud_amount is not null then array({_CUD}, {_SUD})"
+        # Up to six credits: every fourth order has its first one split.
+        f"case when cud_amount is not null and l_orderkey % 4 = 0 then"
+        f" concat({_split_credit()}, if(sud_amount is not null, array({_SUD}), array()))"
+        f" when cud_amount is not null and sud_amount is not null then array({_CUD}, {_SUD})"
         f" when cud_amount is not null then array({_CUD}) when sud_amount is not null then array({_SUD}) end as credits",
         "if(l_linenumber = 7, 'tax', 'regular') as cost_type",
         "named_struct('amount', l_quantity * 3600, 'unit', 'seconds', 'amount_in_pricing_units', l_quantity,"

@@ -12,7 +12,7 @@ from outlay.operators import anomalies, billing
 from outlay.sources import billing as scans
 
 AS_OF = b.AS_OF
-SINCE = dt.date(1995, 1, 1)
+SINCE = dt.date(2000, 3, 1)
 QUERIES = {}
 
 

@@ -12,6 +12,10 @@ from outlay.functions.money import dmoney, rounded
 from outlay.operators import billing, metrics as m
 
 NOW = b.METRIC_NOW
+# The stored events are days apart where scrapes are seconds apart: gaps are bridged, and a series
+# counts as alive for some days.
+SPARSE = dt.timedelta(days=10_000)
+ALIVE = dt.timedelta(days=3)
 CPU_HOUR = fixed.DEFAULT_PRICES["kubernetes"]["vcpu_hour"]
 GB_HOUR = fixed.DEFAULT_PRICES["kubernetes"]["gb_hour"]
 QUERIES = {}
@@ -42,7 +46,7 @@ def _(spark, sf):
 
 @query("K1_usage_from_samples")
 def _(spark, sf):
-    usage = m.usage_from_samples(b.samples(spark, sf), NOW)
+    usage = m.usage_from_samples(b.samples(spark, sf), NOW, staleness=ALIVE, max_gap=SPARSE)
     numbers = [c for c in usage.columns if c.endswith(("_m", "_mi", "_p95", "_14d")) and c != "mem_limit_mi"]
     return _r(usage, *numbers).drop("kind", "mem_limit_mi")
 
@@ -50,7 +54,7 @@ def _(spark, sf):
 @query("T_rate")
 def _(spark, sf):
     usage = m.real_containers(m.metric(b.samples(spark, sf), fixed.M_CPU_USAGE))
-    return _r(m.counter_rate(usage, m.SERIES), "value", digits=6).drop("metric")
+    return _r(m.counter_rate(usage, m.SERIES, max_gap=SPARSE), "value", digits=6).drop("metric")
 
 
 @query("T_incr")
@@ -75,7 +79,7 @@ def _(spark, sf):
 
 @query("T1_cpu_totals")
 def _(spark, sf):
-    return _r(m.cluster_totals(b.samples(spark, sf), "cpu"), "allocatable", "requested", "used")
+    return _r(m.cluster_totals(b.samples(spark, sf), "cpu", max_gap=SPARSE), "allocatable", "requested", "used")
 
 
 @query("T2_memory_totals")
@@ -85,11 +89,11 @@ def _(spark, sf):
 
 @query("T3_requested_unused_cpu")
 def _(spark, sf):
-    return _r(m.requested_unused(m.cluster_totals(b.samples(spark, sf), "cpu")), "unused")
+    return _r(m.requested_unused(m.cluster_totals(b.samples(spark, sf), "cpu", max_gap=SPARSE)), "unused")
 
 
 def _usage(spark, sf):
-    return m.namespace_usage(b.samples(spark, sf))
+    return m.namespace_usage(b.samples(spark, sf), max_gap=SPARSE)
 
 
 @query("T4_unused_cpu_by_namespace")
@@ -114,7 +118,7 @@ def _(spark, sf):
 
 @query("T8_throttling_top")
 def _(spark, sf):
-    return m.throttling_top(b.samples(spark, sf), NOW, lookback=dt.timedelta(days=2), reach=dt.timedelta(days=7))
+    return m.throttling_top(b.samples(spark, sf), NOW, lookback=dt.timedelta(days=2), reach=dt.timedelta(days=7), max_gap=SPARSE)
 
 
 @query("T9_oom_counts")
@@ -134,17 +138,17 @@ def _(spark, sf):
 
 @query("T12_spot_share")
 def _(spark, sf):
-    return m.spot_share(b.node_labels(spark, sf))
+    return m.spot_share(b.node_labels(spark, sf), NOW, ALIVE)
 
 
 @query("T13_blocking_budgets")
 def _(spark, sf):
-    return m.blocking_budgets(b.disruption_budgets(spark, sf))
+    return m.blocking_budgets(b.disruption_budgets(spark, sf), NOW, ALIVE)
 
 
 @query("T13_blocking_budget_count")
 def _(spark, sf):
-    return m.blocking_budgets(b.disruption_budgets(spark, sf)).agg(F.count(F.lit(1)).alias("blocking"))
+    return m.blocking_budgets(b.disruption_budgets(spark, sf), NOW, ALIVE).agg(F.count(F.lit(1)).alias("blocking"))
 
 
 @query("T14_label_values")
@@ -157,13 +161,13 @@ def _(spark, sf):
 
 @query("T15_rightsizing_candidates")
 def _(spark, sf):
-    usage = m.namespace_usage(b.samples(spark, sf), step="1 hour", seconds=3600.0)
+    usage = m.namespace_usage(b.samples(spark, sf), step="1 hour", seconds=3600.0, max_gap=SPARSE)
     return m.rightsizing_candidates(usage, NOW)
 
 
 @query("D13_scale_down_nodes")
 def _(spark, sf):
-    return m.scale_down_nodes(b.samples(spark, sf))
+    return m.scale_down_nodes(b.samples(spark, sf), NOW, staleness=ALIVE)
 
 
 # ------------------------------------------------------------------ align and reduce

@@ -11,7 +11,7 @@ from outlay import fixed
 from outlay.binding import tables as b
 from outlay.functions.dates import calendar_days, day_lit, months_back
 from outlay.functions.labels import has_label, label_value
-from outlay.functions.money import credits_of_type, dmoney, ratio, rounded
+from outlay.functions.money import MONEY, credits_of_type, dmoney, ratio, rounded
 from outlay.functions.text import egress_class, first_token, lookup_text
 from outlay.operators import anomalies, billing
 from outlay.operators.shares import share_of, share_within, with_grand_total
@@ -102,7 +102,7 @@ def _(lines):
 
 @query("P10_conditional_sum")
 def _(lines):
-    zero = F.lit(0).cast("decimal(18,4)")
+    zero = F.lit(0).cast(MONEY)
     pick = lambda cond: dmoney(F.sum(F.when(cond, F.col("cost")).otherwise(zero)))
     tax = F.col("cost_type") == "tax"
     return lines.groupBy(project()).agg(pick(tax).alias("tax"), pick(~tax).alias("regular"))
@@ -113,10 +113,10 @@ def _(lines):
     sums = lines.groupBy(F.to_date("usage_start_time").alias("day")).agg(
         F.sum("cost").alias("cost"), F.sum(F.when(F.col("cost_type") == "tax", F.col("cost"))).alias("tax")
     )
-    tax0 = F.coalesce("tax", F.lit(0).cast("decimal(28,4)"))
+    tax0 = F.coalesce("tax", F.lit(0).cast(MONEY))
     return sums.select(
         "day",
-        rounded(ratio(F.col("cost"), F.nullif(tax0, F.lit(0).cast("decimal(28,4)")))).alias("cost_per_tax"),
+        rounded(ratio(F.col("cost"), F.nullif(tax0, F.lit(0).cast(MONEY)))).alias("cost_per_tax"),
         dmoney(F.abs(F.greatest(tax0, F.col("cost") / 10) - F.col("cost")), 1).alias("distance"),
     )
 

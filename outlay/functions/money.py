@@ -7,7 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-ZERO = "cast(0 as decimal(18,4))"
+# Export amounts carry tiny fractions per line; nothing is rounded before it is summed.
+MONEY = "decimal(28,10)"
+# Of a whole array of amounts, in every step.
+SUM = "decimal(30,10)"
+ZERO = f"cast(0 as {MONEY})"
 
 
 def rounded(x: Column, digits: int = 2) -> Column:
@@ -37,12 +41,13 @@ def _fold(amounts: Column, at: Callable[[int], Column], length: Column | None =
     """Sum of an array of decimals without its NULLs; NULL for a NULL array, 0 for an empty one.
 
     Higher-order functions are interpreted row by row.  Up to ``SHORT`` entries are added by plain
-    expressions over ``at(i)``, which compile; longer arrays go through ``aggregate``.
+    expressions over ``at(i)``, which compile; longer arrays go through ``aggregate``.  Both are exact,
+    so the result does not depend on the length.
     """
     short = sum((F.coalesce(at(i), _zero()) for i in range(1, SHORT)), F.coalesce(at(0), _zero()))
-    every = F.aggregate(amounts, _zero(), lambda acc, x: (acc + F.coalesce(x, _zero())).cast("decimal(18,4)"))
+    every = F.aggregate(amounts, _zero().cast(SUM), lambda acc, x: (acc + F.coalesce(x, _zero())).cast(SUM))
     length = F.size(amounts) if length is None else length
-    return F.when(length.between(0, SHORT), short.cast("decimal(18,4)")).otherwise(every)
+    return F.when(length.between(0, SHORT), short.cast(SUM)).otherwise(every)
 
 
 def fold_credits(credits: Column) -> Column:
@@ -52,7 +57,7 @@ def fold_credits(credits: Column) -> Column:
 
 
 def net_cost(cost: Column, credits: Column) -> Column:
-    return (cost + F.coalesce(fold_credits(credits), _zero())).cast("decimal(18,4)")
+    return cost + F.coalesce(fold_credits(credits), _zero())
 
 
 def credits_of_type(credits: Column, *types: str) -> Column:

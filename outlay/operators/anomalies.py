@@ -47,7 +47,7 @@ def densify_daily(daily: DataFrame, keys: list[str], first: Column, last: Column
         .select(
             "usage_date",
             *keys,
-            F.when(F.col("usage_date") == F.col("own_day"), F.col("own_value")).otherwise(F.lit(0)).cast("decimal(28,4)").alias(value),
+            F.when(F.col("usage_date") == F.col("own_day"), F.col("own_value")).otherwise(F.lit(0)).cast("decimal(38,10)").alias(value),
         )
     )
 
@@ -80,21 +80,17 @@ def daily_anomalies(
     """Days whose cost leaves the baseline by ``z_threshold`` deviations and ``min_abs_delta``.
 
     Only the day ``as_of - settle_days`` is scored.  With ``score_since`` every day from that date
-    on is scored (back-fill).  A constant baseline has no z-score and never alerts unless
+    on is scored (back-fill), each against the whole baseline before it.  A constant baseline has no z-score and never alerts unless
     ``flag_zero_variance`` is set.
     """
     target = as_of - dt.timedelta(days=settle_days)
-    base = regular_only(lines).filter((F.col("ingest_date") <= day_lit(as_of)) & (usage_day() <= day_lit(target)))
-    if score_since is None:
-        first = target - dt.timedelta(days=baseline_days + 1)
-        reach = as_of - dt.timedelta(days=baseline_days + settle_days + 5)
-        base = base.filter(F.col("ingest_date") >= day_lit(reach))
-    else:
-        first = score_since
+    first = (score_since or target) - dt.timedelta(days=baseline_days + 1)
+    # Lines of a day arrive on that day at the earliest; the days before allow for clocks.
+    reach = first - dt.timedelta(days=4)
+    base = regular_only(lines).filter(F.col("ingest_date").between(day_lit(reach), day_lit(as_of)) & (usage_day() <= day_lit(target)))
     daily = daily_cost(base.filter(usage_day() >= day_lit(first)))
     scored = score(densify_daily(daily, KEYS, day_lit(first), day_lit(target)), baseline_days)
-    if score_since is None:
-        scored = scored.filter(F.col("usage_date") == day_lit(target))
+    scored = scored.filter(F.col("usage_date") >= day_lit(score_since or target))
     delta = F.col("net_cost").cast("double") - F.col("baseline_mean")
     z = ratio(delta, F.nullif(F.col("baseline_stddev"), F.lit(0.0)))
     unusual = F.abs(z) >= z_threshold

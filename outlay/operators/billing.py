@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from outlay import fixed
 from outlay.functions.dates import calendar_days, day_lit, local_time, utc_time
 from outlay.functions.labels import has_label, label_value
-from outlay.functions.money import credits_of_type, dmoney, fold_credits, net_cost, ratio, rounded
+from outlay.functions.money import MONEY, credits_of_type, dmoney, fold_credits, net_cost, ratio, rounded
 from outlay.functions.text import egress_class, first_token, lookup_text
 from outlay.operators.shares import share_of, share_within, with_grand_total
 from outlay.sources.billing import asset_scan, billing_scan, billing_scan_months, usage_day
@@ -34,7 +34,7 @@ def project_or_account() -> Column:
 
 def _dsum(cond: Column, value: Column) -> Column:
     """Conditional sum of a decimal."""
-    return F.sum(F.when(cond, value).otherwise(F.lit(0).cast("decimal(18,4)")))
+    return F.sum(F.when(cond, value).otherwise(F.lit(0).cast(MONEY)))
 
 
 def cost_by_service(lines: DataFrame, as_of: dt.date, window_days: int = 30) -> DataFrame:
@@ -158,7 +158,7 @@ def commitment_sums(marked: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def commitment_columns() -> list[Column]:
-    zero = F.lit(0).cast("decimal(28,4)")
+    zero = F.lit(0).cast(MONEY)
     return [
         dmoney(F.col("eligible")).alias("eligible_on_demand_cost"),
         dmoney(F.col("cud")).alias("cud_credit_applied"),
@@ -186,8 +186,8 @@ def credits_breakdown(lines: DataFrame, as_of: dt.date, months: int = 3) -> Data
     Each line is exploded into its list cost (NULL type) and its credits, so one aggregation
     gives both the credit sums and, summed over the month, the list cost without fan-out.
     """
-    entry = "struct<type:string,amount:decimal(18,4),listed:decimal(18,4)>"
-    zero = F.lit(0).cast("decimal(18,4)")
+    entry = f"struct<type:string,amount:{MONEY},listed:{MONEY}>"
+    zero = F.lit(0).cast(MONEY)
     listed = F.array(F.struct(F.lit(None).cast("string").alias("type"), zero.alias("amount"), F.col("cost").alias("listed")))
     credited = F.zip_with(
         F.col("credits")["type"],

@@ -11,13 +11,13 @@ from pyspark.sql import functions as F
 from outlay import fixed
 from outlay.functions.dates import calendar_days, day_lit, local_time, months_back
 from outlay.functions.labels import label_value
-from outlay.functions.money import dmoney, fold_credits, ratio, rounded
+from outlay.functions.money import MONEY, dmoney, fold_credits, ratio, rounded
 from outlay.operators import billing as b
 from outlay.sources.billing import billing_scan, billing_scan_months, regular_only, usage_day
 
 
 def _zero() -> Column:
-    return F.lit(0).cast("decimal(18,4)")
+    return F.lit(0).cast(MONEY)
 
 
 def _if(cond: Column, value: Column) -> Column:

@@ -23,6 +23,8 @@ from outlay.operators.findings import union_all
 SERIES = ["cluster", "namespace", "pod", "container"]
 STEP = "5 minutes"
 STEP_SECONDS = 300.0
+# A series whose last sample is older than this is gone, as in an instant query.
+STALENESS = dt.timedelta(minutes=5)
 
 
 def metric(samples: DataFrame, *names: str) -> DataFrame:
@@ -38,6 +40,11 @@ def between(samples: DataFrame, now: dt.datetime, lookback: dt.timedelta) -> Dat
     return samples.filter((F.col("ts") >= ts_lit(now - lookback)) & (F.col("ts") < ts_lit(now)))
 
 
+def alive(samples: DataFrame, now: dt.datetime, staleness: dt.timedelta = STALENESS) -> DataFrame:
+    """The samples an instant query at ``now`` can see."""
+    return between(samples, now, staleness)
+
+
 def grid(step: str = STEP) -> Column:
     return F.window("ts", step)["start"]
 
@@ -47,12 +54,12 @@ def _rise(now: Column, before: Column) -> Column:
     return F.when(before.isNull(), 0.0).when(now < before, now).otherwise(now - before)
 
 
-def counter_increase(samples: DataFrame, keys: list[str], step: str = STEP) -> DataFrame:
+def counter_increase(samples: DataFrame, keys: list[str], step: str = STEP, max_gap: dt.timedelta | None = None) -> DataFrame:
     """Reset-aware increase per metric, series and grid cell.
 
-    The increase between two samples belongs to the cell of the later one.
+    The increase between two samples belongs to the cell of the later one. See ``increase_of_cells``.
     """
-    return increase_of_cells(counter_cells(samples, keys, step), keys)
+    return increase_of_cells(counter_cells(samples, keys, step), keys, max_gap)
 
 
 def counter_cells(samples: DataFrame, keys: list[str], step: str = STEP) -> DataFrame:
@@ -68,22 +75,39 @@ def counter_cells(samples: DataFrame, keys: list[str], step: str = STEP) -> Data
             F.sum("rise").alias("inner"),
             F.min_by("value", "ts").alias("first_value"),
             F.max_by("value", "ts").alias("last_value"),
+            F.count("value").alias("scrapes"),
         )
     )
 
 
-def increase_of_cells(cells: DataFrame, keys: list[str]) -> DataFrame:
-    """Increase inside each cell plus the step from the last value of the cell before."""
+def increase_of_cells(cells: DataFrame, keys: list[str], max_gap: dt.timedelta | None = None, bridged: tuple[str, ...] = ()) -> DataFrame:
+    """Increase inside each cell plus the step from the last value of the cell before.
+
+    With ``max_gap`` the step over a longer gap between cells is unknown and left out; a cell with a
+    single sample then has no increase (NULL). The counters named in ``bridged`` step over any gap.
+    """
     by_cell = Window.partitionBy("metric", *keys).orderBy("grid")
     step_in = _rise(F.col("first_value"), F.lag("last_value").over(by_cell))
-    rest = [c for c in cells.columns if c not in ("inner", "first_value", "last_value")]
-    return cells.select(*rest, (F.col("inner") + step_in).alias("increase"))
-
+    rest = [c for c in cells.columns if c not in ("inner", "first_value", "last_value", "scrapes")]
+    increase = F.col("inner") + step_in
+    if max_gap is not None:
+        seconds = F.unix_seconds(F.col("grid").cast("timestamp"))
+        gone = seconds - F.lag(seconds).over(by_cell) > max_gap.total_seconds()
+        short = F.when(F.col("scrapes") > 1, F.col("inner"))
+        increase = F.when(F.coalesce(gone, F.lit(False)) & ~F.col("metric").isin(*bridged), short).otherwise(increase)
+    return cells.select(*rest, increase.alias("increase"))
+
+
+def counter_rate(
+    samples: DataFrame, keys: list[str], step: str = STEP, seconds: float = STEP_SECONDS, max_gap: dt.timedelta | None = None
+) -> DataFrame:
+    """Per-second rate per series and cell: the increase over the length of the cell.
 
-def counter_rate(samples: DataFrame, keys: list[str], step: str = STEP, seconds: float = STEP_SECONDS) -> DataFrame:
-    """Per-second rate per series and cell: the increase over the length of the cell."""
-    increase = counter_increase(samples, keys, step)
-    return increase.select("metric", *keys, "grid", (F.col("increase") / seconds).alias("value"))
+    A gap beyond ``max_gap``, twice the cell by default, has no rate.
+    """
+    increase = counter_increase(samples, keys, step, dt.timedelta(seconds=2 * seconds) if max_gap is None else max_gap)
+    rate = increase.select("metric", *keys, "grid", (F.col("increase") / seconds).alias("value"))
+    return rate.filter(F.col("value").isNotNull())
 
 
 def gauge_last(samples: DataFrame, keys: list[str], step: str = STEP) -> DataFrame:
@@ -113,13 +137,25 @@ def nearest_rank(points: DataFrame, keys: list[str], q: float) -> DataFrame:
 
 
 # ------------------------------------------------------------------ usage for rightsizing
-def usage_from_samples(samples: DataFrame, now: dt.datetime, lookback_days: int = 14) -> DataFrame:
-    """Usage summary per (namespace, workload, container), the maximum over the pods.
+def usage_from_samples(
+    samples: DataFrame,
+    now: dt.datetime,
+    lookback_days: int = 14,
+    staleness: dt.timedelta = STALENESS,
+    max_gap: dt.timedelta = 2 * dt.timedelta(seconds=STEP_SECONDS),
+    cluster: str | None = None,
+) -> DataFrame:
+    """Usage summary per (namespace, workload, container), the maximum over the pods of all clusters or one.
+
+    A pod counts as a replica with its request if that is alive at ``now``; usage covers the lookback,
+    also of pods that are gone. Rates leave out gaps beyond ``max_gap``; kills are counted over them.
 
     All series are first reduced to grid cells.  One repartition of the cells by pod then serves
     the steps between cells, the metrics side by side, and the percentiles.
     """
-    keys = ["namespace", "pod", "container"]
+    keys = SERIES
+    if cluster is not None:
+        samples = samples.filter(F.col("cluster") == cluster)
     recent = between(samples, now, dt.timedelta(days=lookback_days))
     counters = union_all(
         [
@@ -130,13 +166,13 @@ def usage_from_samples(samples: DataFrame, now: dt.datetime, lookback_days: int
     gauges = union_all(
         [
             metric(real_containers(recent), fixed.M_MEM_WORKING_SET),
-            metric(recent, fixed.M_CPU_REQUEST, fixed.M_MEM_REQUEST),
+            metric(alive(recent, now, staleness), fixed.M_CPU_REQUEST, fixed.M_MEM_REQUEST),
         ]
     )
     cells = counter_cells(counters, keys).unionByName(
         gauge_last(gauges, keys).withColumnRenamed("value", "gauge"), allowMissingColumns=True
     )
-    increases = increase_of_cells(cells.repartition(*keys), keys)
+    increases = increase_of_cells(cells.repartition(*keys), keys, max_gap, bridged=(fixed.M_OOM_EVENTS,))
     points = increases.select("metric", *keys, "grid", F.coalesce("gauge", "increase").alias("value"))
 
     def of(name: str) -> Column:
@@ -184,11 +220,13 @@ def usage_from_samples(samples: DataFrame, now: dt.datetime, lookback_days: int
 
 
 # ------------------------------------------------------------------ cluster panels
-def cluster_totals(samples: DataFrame, resource: str, step: str = STEP, seconds: float = STEP_SECONDS) -> DataFrame:
+def cluster_totals(
+    samples: DataFrame, resource: str, step: str = STEP, seconds: float = STEP_SECONDS, max_gap: dt.timedelta | None = None
+) -> DataFrame:
     """Allocatable, requested and used per cluster and grid cell; ``resource`` is cpu or memory."""
     if resource == "cpu":
         names = (fixed.M_ALLOC_CPU, fixed.M_CPU_REQUEST)
-        used = counter_rate(metric(real_containers(samples), fixed.M_CPU_USAGE), SERIES, step, seconds)
+        used = counter_rate(metric(real_containers(samples), fixed.M_CPU_USAGE), SERIES, step, seconds, max_gap)
         used_name = fixed.M_CPU_USAGE
     else:
         names = (fixed.M_ALLOC_MEM, fixed.M_MEM_REQUEST)
@@ -211,12 +249,16 @@ def requested_unused(totals: DataFrame) -> DataFrame:
 
 
 def namespace_usage(
-    samples: DataFrame, step: str = STEP, seconds: float = STEP_SECONDS, cluster: str | None = None
+    samples: DataFrame,
+    step: str = STEP,
+    seconds: float = STEP_SECONDS,
+    cluster: str | None = None,
+    max_gap: dt.timedelta | None = None,
 ) -> DataFrame:
     """CPU and memory requested and used per namespace and grid cell, in one aggregation."""
     if cluster is not None:
         samples = samples.filter(F.col("cluster") == cluster)
-    used = counter_rate(metric(real_containers(samples), fixed.M_CPU_USAGE), SERIES, step, seconds)
+    used = counter_rate(metric(real_containers(samples), fixed.M_CPU_USAGE), SERIES, step, seconds, max_gap)
     working = gauge_last(metric(real_containers(samples), fixed.M_MEM_WORKING_SET), SERIES, step)
     requests = gauge_last(metric(samples, fixed.M_CPU_REQUEST, fixed.M_MEM_REQUEST), SERIES, step)
     points = union_all([used, working, requests])
@@ -270,14 +312,15 @@ def throttling_top(
     lookback: dt.timedelta = dt.timedelta(hours=1),
     reach: dt.timedelta = dt.timedelta(minutes=5),
     top: int = 15,
+    max_gap: dt.timedelta = 2 * dt.timedelta(seconds=STEP_SECONDS),
 ) -> DataFrame:
     """The containers with the highest 95th percentile of throttled to all scheduling periods.
 
     ``reach`` is how far before the lookback the first previous sample is looked for.
     """
-    keys = ["namespace", "pod", "container"]
+    keys = SERIES
     recent = between(metric(samples, fixed.M_THROTTLED, fixed.M_PERIODS), now, lookback + reach)
-    cells = counter_increase(recent, keys).filter(F.col("grid") >= ts_lit(now - lookback))
+    cells = counter_increase(recent, keys, max_gap=max_gap).filter(F.col("grid") >= ts_lit(now - lookback))
 
     def of(name: str) -> Column:
         return F.sum(F.when(F.col("metric") == name, F.col("increase")))
@@ -303,15 +346,15 @@ def oom_counts(
     )
 
 
-def spot_share(nodes: DataFrame) -> DataFrame:
-    """Nodes by their latest spot label."""
-    latest = nodes.groupBy("cluster", "node").agg(F.max_by("spot", "ts").alias("spot"))
+def spot_share(nodes: DataFrame, now: dt.datetime, staleness: dt.timedelta = STALENESS) -> DataFrame:
+    """Nodes alive at ``now`` by their latest spot label."""
+    latest = alive(nodes, now, staleness).groupBy("cluster", "node").agg(F.max_by("spot", "ts").alias("spot"))
     return latest.groupBy("spot").agg(F.count(F.lit(1)).alias("nodes"))
 
 
-def blocking_budgets(budgets: DataFrame) -> DataFrame:
-    """Disruption budgets whose latest value allows no eviction."""
-    latest = budgets.groupBy("cluster", "namespace", "pdb").agg(F.max_by("value", "ts").alias("allowed"))
+def blocking_budgets(budgets: DataFrame, now: dt.datetime, staleness: dt.timedelta = STALENESS) -> DataFrame:
+    """Disruption budgets alive at ``now`` whose latest value allows no eviction."""
+    latest = alive(budgets, now, staleness).groupBy("cluster", "namespace", "pdb").agg(F.max_by("value", "ts").alias("allowed"))
     return latest.filter(F.col("allowed") == 0).select("cluster", "namespace", "pdb")
 
 
@@ -351,19 +394,20 @@ def rightsizing_candidates(usage: DataFrame, now: dt.datetime, days: int = 7, be
     )
 
 
-def scale_down_nodes(samples: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Nodes whose latest requests stay below a share of what they can allocate."""
+def scale_down_nodes(samples: DataFrame, now: dt.datetime, threshold: float = 0.5, staleness: dt.timedelta = STALENESS) -> DataFrame:
+    """Nodes whose requests alive at ``now`` stay below a share of what they can allocate."""
+    samples = alive(samples, now, staleness)
     requests = metric(samples, fixed.M_CPU_REQUEST, fixed.M_MEM_REQUEST)
     latest = requests.groupBy("metric", "node", *SERIES).agg(F.max_by("value", "ts").alias("value"))
     capacity = metric(samples, fixed.M_ALLOC_CPU, fixed.M_ALLOC_MEM)
-    allocatable = capacity.groupBy("metric", "node").agg(F.max_by("value", "ts").alias("value"))
-    points = latest.select("metric", "node", "value").unionByName(allocatable)
+    allocatable = capacity.groupBy("metric", "cluster", "node").agg(F.max_by("value", "ts").alias("value"))
+    points = latest.select("metric", "cluster", "node", "value").unionByName(allocatable)
 
     def total(name: str) -> Column:
         return F.sum(F.when(F.col("metric") == name, F.col("value")))
 
     return (
-        points.groupBy("node")
+        points.groupBy("cluster", "node")
         .agg(
             rounded(ratio(total(fixed.M_CPU_REQUEST), total(fixed.M_ALLOC_CPU)), 4).alias("cpu_ratio"),
             rounded(ratio(total(fixed.M_MEM_REQUEST), total(fixed.M_ALLOC_MEM)), 4).alias("mem_ratio"),

@@ -6,6 +6,8 @@ from outlay.oracle.billing import LINES, d, r
 
 ORACLE: dict[str, str] = {}
 NOW = "TIMESTAMP '2024-01-31 00:00:00'"
+# What an instant query at that time sees.
+ALIVE = f"ts >= {NOW} - INTERVAL 3 DAY AND ts < {NOW}"
 BASE = """ev AS (SELECT event_id, ts, user_id, 'main' AS cluster, event_type AS namespace, 'svc' || (user_id % 10) || '-rs' || (user_id % 3) || '-p' || user_id AS pod,
   'svc' || (user_id % 10) AS workload, CASE user_id % 25 WHEN 24 THEN 'POD' WHEN 23 THEN '' ELSE 'app' END AS container, 'node-' || (user_id // 7) AS node, user_id // 7 AS node_no, value,
   time_bucket(INTERVAL 5 MINUTE, ts) AS grid, user_id % 25 NOT IN (23, 24) AS real FROM events)"""
@@ -71,11 +73,11 @@ ORACLE["T8_throttling_top"] = f"""WITH {BASE}, {rises('t', 'floor(value / 3)', f
 tg AS (SELECT {S}, grid, SUM(rise) AS v FROM t GROUP BY ALL), pg AS (SELECT {S}, grid, SUM(rise) AS v FROM p GROUP BY ALL),
 q AS (SELECT namespace, pod, container, {r('quantile_cont(tg.v / NULLIF(pg.v, 0), 0.95)', 6)} AS throttled_p95 FROM tg JOIN pg USING ({S}, grid)
   WHERE grid >= {NOW} - INTERVAL 2 DAY GROUP BY ALL)
-SELECT * FROM q WHERE throttled_p95 IS NOT NULL ORDER BY throttled_p95 DESC, namespace, pod, container LIMIT 15"""
+SELECT 'main' AS cluster, * FROM q WHERE throttled_p95 IS NOT NULL ORDER BY throttled_p95 DESC, namespace, pod, container LIMIT 15"""
 ORACLE["T9_oom_counts"] = f"""WITH {BASE}, {rises('t', 'floor(value / 10)', f"ts >= {NOW} - INTERVAL 5 DAY AND ts < {NOW}")}
 SELECT namespace, container, {r('SUM(rise)', 4)} AS oom_kills FROM t GROUP BY ALL"""
-ORACLE["T12_spot_share"] = """WITH n AS (SELECT DISTINCT user_id FROM events) SELECT CASE user_id % 4 WHEN 0 THEN 'true' WHEN 1 THEN 'false' END AS spot, COUNT(*) AS nodes FROM n GROUP BY ALL"""
-_PDB = """b AS (SELECT 'main' AS cluster, event_type AS namespace, 'pdb-' || user_id AS pdb, arg_max(event_id % 3, ts) AS allowed FROM events GROUP BY ALL)"""
+ORACLE["T12_spot_share"] = f"""WITH n AS (SELECT DISTINCT user_id FROM events WHERE {ALIVE}) SELECT CASE user_id % 4 WHEN 0 THEN 'true' WHEN 1 THEN 'false' END AS spot, COUNT(*) AS nodes FROM n GROUP BY ALL"""
+_PDB = f"""b AS (SELECT 'main' AS cluster, event_type AS namespace, 'pdb-' || user_id AS pdb, arg_max(event_id % 3, ts) AS allowed FROM events WHERE {ALIVE} GROUP BY ALL)"""
 ORACLE["T13_blocking_budgets"] = f"WITH {_PDB} SELECT cluster, namespace, pdb FROM b WHERE allowed = 0"
 ORACLE["T13_blocking_budget_count"] = f"WITH {_PDB} SELECT COUNT(*) AS blocking FROM b WHERE allowed = 0"
 ORACLE["T14_label_values"] = """SELECT 'cluster' AS label, 'main' AS label_value FROM (SELECT 1 FROM events LIMIT 1) UNION ALL SELECT DISTINCT 'namespace', event_type FROM events"""
@@ -85,8 +87,8 @@ dly AS (SELECT namespace, CAST(grid AS DATE) AS day, MAX(100 * cu.v / cr.v) AS c
   WHERE grid >= {NOW} - INTERVAL 7 DAY AND grid < {NOW} GROUP BY ALL),
 n AS (SELECT namespace, {r('MAX(cpu)', 4)} AS cpu_max_pct, {r('MAX(mem)', 4)} AS mem_max_pct, COUNT(cpu) = 7 AND MAX(cpu) < 40 AS cpu_candidate, COUNT(mem) = 7 AND MAX(mem) < 40 AS mem_candidate FROM dly GROUP BY namespace)
 SELECT * FROM n WHERE cpu_candidate OR mem_candidate"""
-ORACLE["D13_scale_down_nodes"] = f"""WITH {BASE}, req AS (SELECT node, node_no, {S}, {CPU_REQ} AS c, {MEM_REQ} AS m FROM ev GROUP BY ALL),
-n AS (SELECT node, {r('SUM(c) / ((node_no % 5 + 1) * 24.0)', 4)} AS cpu_ratio, {r('SUM(m) / ((node_no % 5 + 1) * 17179869184.0)', 4)} AS mem_ratio FROM req GROUP BY node, node_no)
+ORACLE["D13_scale_down_nodes"] = f"""WITH {BASE}, req AS (SELECT node, node_no, {S}, {CPU_REQ} AS c, {MEM_REQ} AS m FROM ev WHERE {ALIVE} GROUP BY ALL),
+n AS (SELECT 'main' AS cluster, node, {r('SUM(c) / ((node_no % 5 + 1) * 24.0)', 4)} AS cpu_ratio, {r('SUM(m) / ((node_no % 5 + 1) * 17179869184.0)', 4)} AS mem_ratio FROM req GROUP BY node, node_no)
 SELECT * FROM n WHERE cpu_ratio < 0.5 AND mem_ratio < 0.5"""
 _IN = f"ts >= {NOW} - INTERVAL 14 DAY AND ts < {NOW}"
 K = "namespace, pod, container"
@@ -97,11 +99,12 @@ cs AS (SELECT {K}, quantile_cont(v, 0.95) AS p95, quantile_cont(v, 0.99) AS p99,
 ts AS (SELECT {K}, quantile_cont(tg.v / NULLIF(pg.v, 0), 0.95) AS thr FROM tg JOIN pg USING ({K}, grid) GROUP BY ALL),
 ms AS (SELECT {K}, quantile_cont(v, 0.99) AS m99, MAX(v) AS mx FROM mg GROUP BY ALL),
 os AS (SELECT {K}, SUM(rise) AS oom FROM o GROUP BY ALL),
-rq AS (SELECT DISTINCT {K}, workload, {CPU_REQ} AS cr, {MEM_REQ} AS mr FROM ev WHERE {_IN})
-SELECT namespace, workload, container, CAST(COUNT(*) AS INTEGER) AS replicas, {r('MAX(p95) * 1000', 4)} AS cpu_p95_m, {r('MAX(p99) * 1000', 4)} AS cpu_p99_m, {r('MAX(cs.mx) * 1000', 4)} AS cpu_max_m,
+now AS (SELECT DISTINCT {K}, {CPU_REQ} AS cr, {MEM_REQ} AS mr FROM ev WHERE {ALIVE}),
+rq AS (SELECT * FROM (SELECT DISTINCT {K}, workload FROM ev WHERE {_IN}) LEFT JOIN now USING ({K}))
+SELECT namespace, workload, container, CAST(COUNT(cr) AS INTEGER) AS replicas, {r('MAX(p95) * 1000', 4)} AS cpu_p95_m, {r('MAX(p99) * 1000', 4)} AS cpu_p99_m, {r('MAX(cs.mx) * 1000', 4)} AS cpu_max_m,
   {r('MAX(m99) / 1048576.0::DOUBLE', 4)} AS mem_p99_mi, {r('MAX(ms.mx) / 1048576.0::DOUBLE', 4)} AS mem_max_mi, {r('MAX(cr) * 1000', 4)} AS cpu_request_m, {r('MAX(mr) / 1048576.0::DOUBLE', 4)} AS mem_request_mi,
   {r('COALESCE(MAX(thr), 0)', 4)} AS throttled_ratio_p95, {r('COALESCE(MAX(oom), 0)', 4)} AS oom_kills_14d
-FROM rq LEFT JOIN cs USING ({K}) LEFT JOIN ts USING ({K}) LEFT JOIN ms USING ({K}) LEFT JOIN os USING ({K}) GROUP BY ALL HAVING MAX(p95) IS NOT NULL"""
+FROM rq LEFT JOIN cs USING ({K}) LEFT JOIN ts USING ({K}) LEFT JOIN ms USING ({K}) LEFT JOIN os USING ({K}) GROUP BY ALL HAVING MAX(p95) IS NOT NULL AND MAX(cr) > 0"""
 
 AGG = {"min": "MIN(value)", "max": "MAX(value)", "mean": "AVG(value)", "p50": "quantile_cont(value, 0.5)", "delta": "SUM(value)", "rate": "SUM(value) / 3600.0::DOUBLE"}
 RED = {"max": "MAX(v)", "mean": "AVG(v)", "sum": "SUM(v)"}

@@ -8,7 +8,8 @@ PID = "COALESCE(project_id, '(account)')"
 W = f"WITH {LINES}"
 DAILY = f"daily AS (SELECT usage_date, {PID} AS project_id, service, SUM(net) AS net_cost FROM lines GROUP BY ALL)"
 G = "g AS (SELECT invoice_month, service, SUM(net) AS net FROM lines GROUP BY ALL)"
-CREDITS = """credit AS (SELECT c1_type AS t, c1_amount AS a FROM lines WHERE c1_type IS NOT NULL UNION ALL SELECT c2_type, c2_amount FROM lines WHERE c2_type IS NOT NULL)"""
+CREDITS = """credit AS (SELECT c1_type AS t, c1_amount AS a FROM lines WHERE c1_type IS NOT NULL UNION ALL SELECT c2_type, c2_amount FROM lines WHERE c2_type IS NOT NULL
+  UNION ALL SELECT c1_type, 0 FROM lines, range(4) WHERE c1_type IS NOT NULL AND l_orderkey % 4 = 0)"""
 MEANING = meaning("t")
 SPEC = "CASE WHEN family = 'n2' THEN 'n2-standard-4' WHEN family = 'e2' THEN 'e2-standard-2' WHEN family = 'c2' THEN 'c2-standard-8' END"
 ORACLE: dict[str, str] = {

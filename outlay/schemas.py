@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from outlay.functions.money import MONEY
+
 LABELS = "array<struct<key:string,value:string>>"
 
 BILLING_LINE = f"""
@@ -14,11 +16,11 @@ BILLING_LINE = f"""
   service struct<description:string>,
   sku struct<id:string,description:string>,
   location struct<region:string,zone:string>,
-  cost decimal(18,4),
-  credits array<struct<name:string,full_name:string,id:string,type:string,amount:decimal(18,4)>>,
+  cost {MONEY},
+  credits array<struct<name:string,full_name:string,id:string,type:string,amount:{MONEY}>>,
   cost_type string,
   usage struct<amount:double,unit:string,amount_in_pricing_units:double,pricing_unit:string>,
-  currency string, currency_conversion_rate double, cost_at_list decimal(18,4),
+  currency string, currency_conversion_rate double, cost_at_list {MONEY},
   price struct<effective_price:double>
 """
 

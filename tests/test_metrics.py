@@ -60,7 +60,7 @@ def test_usage_from_samples(frame):
         rows += [sample(fixed.M_CPU_REQUEST, pod, 0, request), sample(fixed.M_MEM_REQUEST, pod, 0, 2**28)]
     rows += [sample(fixed.M_CPU_USAGE, "web-rs-1", i * 300, i * 900, container="POD") for i in range(20)]
     rows += [sample(fixed.M_CPU_USAGE, "old-rs-1", -86400 * 20, 5), sample(fixed.M_CPU_USAGE, "norequest-rs-1", 5, 5)]
-    got = m.usage_from_samples(frame(SAMPLE, *rows), T0 + dt.timedelta(days=1)).collect()
+    got = m.usage_from_samples(frame(SAMPLE, *rows), T0 + dt.timedelta(days=1), staleness=dt.timedelta(days=2)).collect()
     assert len(got) == 1
     r = got[0]
     assert (r["workload"], r["container"], r["replicas"], r["cpu_request_m"], r["mem_request_mi"]) == ("web", "app", 2, 500.0, 256.0)
@@ -86,7 +86,7 @@ def test_candidates_need_every_day(frame):
         for d in range(days):
             at = d * 86400
             rows += [sample(fixed.M_CPU_REQUEST, "p", at, 1, ns=ns), sample(fixed.M_CPU_USAGE, "p", at, d * 30, ns=ns)]
-    usage = m.namespace_usage(frame(SAMPLE, *rows))
+    usage = m.namespace_usage(frame(SAMPLE, *rows), max_gap=dt.timedelta(days=2))
     got = m.rightsizing_candidates(usage, T0 + dt.timedelta(days=7)).collect()
     assert [(r["namespace"], r["cpu_candidate"], r["mem_candidate"]) for r in got] == [("week", True, False)]
 
@@ -111,12 +111,58 @@ def test_nearest_rank(frame):
 
 def test_budget_and_node_panels(frame):
     pdb = frame("cluster string, namespace string, pdb string, ts timestamp_ntz, value double", ("c", "n", "a", T0, 0.0), ("c", "n", "a", T0 + dt.timedelta(hours=1), 1.0), ("c", "n", "b", T0, 0.0))
-    assert [r["pdb"] for r in m.blocking_budgets(pdb).collect()] == ["b"]
+    assert [r["pdb"] for r in m.blocking_budgets(pdb, T0 + dt.timedelta(hours=2), dt.timedelta(hours=3)).collect()] == ["b"]
     rows = [
         sample(fixed.M_ALLOC_CPU, "", 0, 4), sample(fixed.M_ALLOC_MEM, "", 0, 2**34),
         sample(fixed.M_CPU_REQUEST, "a", 0, 1), sample(fixed.M_MEM_REQUEST, "a", 0, 2**30), sample(fixed.M_CPU_REQUEST, "b", 0, 0.9),
         sample(fixed.M_ALLOC_CPU, "", 0, 4, node="full"), sample(fixed.M_ALLOC_MEM, "", 0, 2**34, node="full"),
         sample(fixed.M_CPU_REQUEST, "z", 0, 2, node="full"), sample(fixed.M_MEM_REQUEST, "z", 0, 2**30, node="full"),
     ]
-    got = m.scale_down_nodes(frame(SAMPLE, *rows)).collect()
+    got = m.scale_down_nodes(frame(SAMPLE, *rows), T0 + dt.timedelta(minutes=1)).collect()
     assert [(r["node"], r["cpu_ratio"]) for r in got] == [("node-1", 0.475)]
+
+
+def busy(pod, cores, seconds, cluster="c", gap=()):
+    """Scrapes of a steady series every 30 seconds, but none within ``gap``."""
+    rows = [sample(fixed.M_CPU_USAGE, pod, at, at * cores) for at in range(0, seconds, 30) if not (gap and gap[0] <= at < gap[1])]
+    return [(r[0], cluster, *r[2:]) for r in rows]
+
+
+def requests(pod, at, cluster="c"):
+    rows = [sample(fixed.M_CPU_REQUEST, pod, at, 1), sample(fixed.M_MEM_REQUEST, pod, at, 2**28)]
+    return [(r[0], cluster, *r[2:]) for r in rows]
+
+
+def test_dead_pods_are_no_replicas(frame):
+    rows = [x for i, end in enumerate((3600, 7200, 86_400)) for x in (*busy(f"web-rs-{i}", 0.1, end), *requests(f"web-rs-{i}", end - 30))]
+    (r,) = m.usage_from_samples(frame(SAMPLE, *rows), T0 + dt.timedelta(days=1)).collect()
+    assert r["replicas"] == 1 and r["cpu_p95_m"] == pytest.approx(100)
+
+
+def test_clusters_are_kept_apart(frame):
+    rows = [x for c, cores in (("a", 0.1), ("b", 0.9)) for x in (*busy("redis-0", cores, 86_400, c), *requests("redis-0", 86_370, c))]
+    df, now = frame(SAMPLE, *rows), T0 + dt.timedelta(days=1)
+    (r,) = m.usage_from_samples(df, now).collect()
+    assert r["cpu_p95_m"] == pytest.approx(900) and r["replicas"] == 2
+    (r,) = m.usage_from_samples(df, now, cluster="a").collect()
+    assert r["cpu_p95_m"] == pytest.approx(100) and r["replicas"] == 1
+
+
+def test_a_scrape_gap_is_no_peak(frame):
+    rows = [*busy("web-rs-1", 0.5, 86_400, gap=(20_000, 34_400)), *requests("web-rs-1", 86_370)]
+    df, now = frame(SAMPLE, *rows), T0 + dt.timedelta(days=1)
+    (r,) = m.usage_from_samples(df, now).collect()
+    assert r["cpu_max_m"] == pytest.approx(500)
+    (r,) = m.usage_from_samples(df, now, max_gap=dt.timedelta(days=1)).collect()
+    assert r["cpu_max_m"] > 20_000
+    alone = frame(SAMPLE, sample(fixed.M_CPU_USAGE, "p", 0, 0), sample(fixed.M_CPU_USAGE, "p", 9000, 99))
+    assert [r["value"] for r in m.counter_rate(alone, m.SERIES).collect()] == [0.0]
+
+
+def test_gone_series_do_not_hold_a_node(frame):
+    rows = [
+        sample(fixed.M_ALLOC_CPU, "", 0, 4), sample(fixed.M_ALLOC_MEM, "", 0, 2**34), sample(fixed.M_CPU_REQUEST, "a", 0, 0.5), sample(fixed.M_MEM_REQUEST, "a", 0, 2**30),
+        sample(fixed.M_CPU_REQUEST, "gone", -86_400 * 200, 3.5), sample(fixed.M_ALLOC_CPU, "", -86_400, 4, node="old"), sample(fixed.M_ALLOC_MEM, "", -86_400, 2**34, node="old"),
+    ]
+    got = m.scale_down_nodes(frame(SAMPLE, *rows), T0 + dt.timedelta(minutes=1)).collect()
+    assert [(r["cluster"], r["node"], r["cpu_ratio"]) for r in got] == [("c", "node-1", 0.125)]
