@@ -317,14 +317,19 @@ def pool_config_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         "case when s_suppkey % 10 = 8 then '# comment' when s_suppkey % 10 = 9 then '   '"
         " else concat(if(s_suppkey % 2 = 0, '  ', ''), if(s_suppkey % 4 = 0, 'example-prod-', 'example-dev-'), s_suppkey,"
         " '   ', if(s_suppkey % 7 = 0, 'prod-gke', 'dev-gke'), '\\t', 'region-', s_nationkey,"
-        " ' pool-', s_suppkey, '  ', s_suppkey % 4) end as value"
+        # Pool names repeat between clusters.
+        " ' pool-', s_suppkey % 5, '  ', s_suppkey % 4) end as value"
     )
 
 
 def pool_autoscaling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which pools are autoscaled; of some it is not known."""
     return stored(spark, sf_dir, "supplier").selectExpr(
-        "concat('pool-', s_suppkey) as pool", "if(s_suppkey % 3 = 0, null, s_suppkey % 3 = 1) as autoscaling_enabled"
+        "concat(if(s_suppkey % 4 = 0, 'example-prod-', 'example-dev-'), s_suppkey) as project",
+        "if(s_suppkey % 7 = 0, 'prod-gke', 'dev-gke') as cluster",
+        "concat('region-', s_nationkey) as location",
+        "concat('pool-', s_suppkey % 5) as pool",
+        "if(s_suppkey % 3 = 0, null, s_suppkey % 3 = 1) as autoscaling_enabled"
     )
 
 

@@ -53,7 +53,10 @@ def _(spark, sf):
 
 
 def _view(spark, sf):
-    view = billing.v_cost_daily(b.billing(spark, sf, hourly=True))
+    return _doubles(billing.v_cost_daily(b.billing(spark, sf, hourly=True)))
+
+
+def _doubles(view):
     return view.withColumn("cost", F.col("cost").cast("double")).withColumn("credits", F.col("credits").cast("double"))
 
 
@@ -69,7 +72,7 @@ def _(spark, sf):
 
 @query("V3_cost_between")
 def _(spark, sf):
-    return billing.cost_between(_view(spark, sf), "20000501", "20000531")
+    return _doubles(billing.cost_between(b.billing(spark, sf, hourly=True), "20000501", "20000531"))
 
 
 @query("B1_cost_by_service")

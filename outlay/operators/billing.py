@@ -344,10 +344,17 @@ def export_health(lines: DataFrame) -> DataFrame:
     )
 
 
-def cost_between(view: DataFrame, start_yyyymmdd: str, end_yyyymmdd: str) -> DataFrame:
-    """Rows of the view between two days given as text, both included."""
+def cost_between(lines: DataFrame, start_yyyymmdd: str, end_yyyymmdd: str, tz: str = "Asia/Kolkata") -> DataFrame:
+    """Rows of the dashboard view between two local days given as text, both included.
 
-    def parse(text: str) -> Column:
-        return F.to_date(F.lit(text), "yyyyMMdd")
-
-    return view.filter(F.col("usage_date").between(parse(start_yyyymmdd), parse(end_yyyymmdd)))
+    The local days decide. What they imply for the stored times, within a day for any time zone, bounds
+    the scan: lines arrive on their day at the earliest.
+    """
+    start, end = (dt.datetime.strptime(x, "%Y%m%d").date() for x in (start_yyyymmdd, end_yyyymmdd))
+    day = dt.timedelta(days=1)
+    near = lines.filter(
+        (F.col("usage_start_time") >= F.lit(dt.datetime.combine(start - day, dt.time())).cast(lines.schema["usage_start_time"].dataType))
+        & (F.col("usage_start_time") < F.lit(dt.datetime.combine(end + 2 * day, dt.time())).cast(lines.schema["usage_start_time"].dataType))
+        & (F.col("ingest_date") >= F.lit(start - day))
+    )
+    return v_cost_daily(near, tz).filter(F.col("usage_date").between(F.lit(start), F.lit(end)))

@@ -55,10 +55,9 @@ def query_rollup(log: DataFrame, now: dt.datetime, window_days: int = 30, top: i
             F.min("job_id").alias("job_id"),
         )
     )
-    texts = log.select("job_id", "user_email", F.col("query").alias("sample_sql"))
+    texts = jobs.select("job_id", "user_email", F.col("query").alias("sample_sql"))
     if top is not None:
         rolled = rolled.orderBy(F.col("total_bytes_billed").desc(), "query_hash", "label_team").limit(top)
-        rolled = F.broadcast(rolled)  # at most ``top`` rows of numbers
     return texts.join(rolled, "job_id", "inner").drop("job_id")
 
 

@@ -221,7 +221,7 @@ FROM ({plan_disks()} UNION ALL {plan_snapshots()} UNION ALL {plan_addresses()})
 
 POOLS = """pools AS (SELECT s_suppkey AS s, CASE WHEN s_suppkey % 4 = 0 THEN 'example-prod-' ELSE 'example-dev-' END || s_suppkey AS project,
   CASE WHEN s_suppkey % 7 = 0 THEN 'prod-gke' ELSE 'dev-gke' END AS cluster, 'region-' || s_nationkey AS location,
-  'pool-' || s_suppkey AS pool, CAST(s_suppkey % 4 AS INTEGER) AS day_count FROM supplier WHERE s_suppkey % 10 < 8)"""
+  'pool-' || (s_suppkey % 5) AS pool, CAST(s_suppkey % 4 AS INTEGER) AS day_count FROM supplier WHERE s_suppkey % 10 < 8)"""
 
 
 def schedule(size: str) -> str:

@@ -94,7 +94,8 @@ def plan_counts(plan: DataFrame) -> DataFrame:
 def schedule_plan(pools: DataFrame, action: str, autoscaling: DataFrame | None = None) -> DataFrame:
     """Scale non-production pools down in the evening or up in the morning.
 
-    Anything that looks like production is refused.  ``autoscaling`` tells by pool whether the
+    Anything that looks like production is refused.  ``autoscaling`` tells by project, cluster, location
+    and pool, since pool names repeat between clusters, whether the
     autoscaler bounds must move too: 0/0 at night, n/4n by day.
     """
     if action not in ("up", "down"):
@@ -102,7 +103,7 @@ def schedule_plan(pools: DataFrame, action: str, autoscaling: DataFrame | None =
     if autoscaling is None:
         df = pools.withColumn("autoscaling_enabled", F.lit(False))
     else:
-        df = pools.join(autoscaling, "pool", "left")
+        df = pools.join(autoscaling, ["project", "cluster", "location", "pool"], "left")
     refused = F.col("project").contains("prod") | F.col("cluster").contains("prod")
     scaled = F.coalesce("autoscaling_enabled", F.lit(False)) & ~refused
     size = F.lit(0) if action == "down" else F.col("day_count")

@@ -9,15 +9,18 @@ from pyspark.sql import functions as F
 
 from outlay import fixed, schemas
 
+# A document that is not what its schema says stops the job; it must not look like an empty one.
+STRICT = {"mode": "FAILFAST"}
+
 
 def parse_inventory(docs: DataFrame) -> dict[str, DataFrame]:
     """The named lists of inventory documents (column ``value``, one JSON object per row).
 
-    Each list becomes a relation of its own; a missing list gives no rows.
+    Each list becomes a relation of its own; a missing list gives no rows, a broken document an error.
     """
     out = {}
     for name, list_type in schemas.INVENTORY.items():
-        parsed = docs.select(F.from_json("value", f"{name} {list_type}").alias("doc"))
+        parsed = docs.select(F.from_json("value", f"{name} {list_type}", STRICT).alias("doc"))
         out[name] = parsed.select(F.inline(F.col(f"doc.{name}")))
     return out
 
@@ -41,8 +44,10 @@ def load_price_book(spark: SparkSession, path: str | None = None) -> dict:
     """
     if path is None:
         return fixed.DEFAULT_PRICES
-    text = spark.read.text(path, wholetext=True).first()["value"]
-    return {k: v for k, v in json.loads(text).items() if isinstance(v, dict)}
+    files = spark.read.text(path, wholetext=True).take(2)
+    if len(files) != 1:
+        raise ValueError(f"{path}: a price book is one file")
+    return {k: v for k, v in json.loads(files[0]["value"]).items() if isinstance(v, dict)}
 
 
 def flatten_vpa(docs: DataFrame) -> DataFrame:
@@ -50,7 +55,7 @@ def flatten_vpa(docs: DataFrame) -> DataFrame:
 
     Quantities carry the suffix m (CPU) or Mi (memory); any other form gives NULL.
     """
-    items = docs.select(F.explode(F.from_json("value", schemas.VPA_ITEMS)["items"]).alias("item"))
+    items = docs.select(F.explode(F.from_json("value", schemas.VPA_ITEMS, STRICT)["items"]).alias("item"))
     recs = items.select(
         F.col("item.metadata.namespace").alias("namespace"),
         F.col("item.spec.targetRef.name").alias("workload"),

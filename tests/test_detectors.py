@@ -318,8 +318,14 @@ def test_cleanup_plans(frame, now):
 def test_schedule_plan(frame):
     lines = frame("value string", ("# project cluster", ), ("", ), ("p-dev  dev\tloc  pool 2",), ("p-prod dev loc other 3",))
     pools = documents.parse_pools(lines)
-    auto = frame("pool string, autoscaling_enabled boolean", ("pool", True))
+    auto = frame("project string, cluster string, location string, pool string, autoscaling_enabled boolean", ("p-dev", "dev", "loc", "pool", True), ("p-dev", "other", "loc", "pool", False))
     up = by(cleanup.schedule_plan(pools, "up", auto), "pool")
     assert (up["pool"]["target_nodes"], up["pool"]["autoscale_min"], up["pool"]["autoscale_max"]) == (2, 2, 8)
     assert (up["other"]["decision"], up["other"]["target_nodes"]) == ("REFUSE", None)
     assert by(cleanup.schedule_plan(pools, "down"), "pool")["pool"]["target_nodes"] == 0
+
+
+def test_broken_documents_stop_the_job(frame):
+    for text in ('{"disks": [{"name": "d", "size_gb": 10', '{"disks": [{"name": "d", "size_gb": "100"}]}'):
+        with pytest.raises(Exception, match="(?i)malformed|failfast"):
+            documents.parse_inventory(frame("value string", (text,)))["disks"].collect()
