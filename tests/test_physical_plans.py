@@ -36,7 +36,7 @@ def test_partition_and_column_pruning(export):
     schema = re.findall(r"ReadSchema: (.*)", text)[0]
     assert "service" in schema and "labels" not in schema and "resource" not in schema
     # Of the credits only the amounts are read.
-    assert "credits:array<struct<amount:decimal(18,4)>>" in schema
+    assert "credits:array<struct<amount:decimal(28,10)>>" in schema
     for run in (billing.credits_breakdown, billing.commitment_coverage):
         assert "credits:array<struct<type:string,amount:decimal(18,4)>>" in plan(run(export, AS_OF))
     assert "labels:array<struct<key:string>>" in plan(lines_with_key(export))
@@ -71,3 +71,22 @@ def test_no_python_and_no_single_task_window(spark, name):
     # The only nested-loop join is the one with a one-row total.
     if "BroadcastNestedLoopJoin" in text:
         assert name.split("_")[0] in ("B1", "B7", "P13"), name
+
+
+def test_view_between_days_prunes(export):
+    text = plan(billing.cost_between(export, "20260801", "20260803"))
+    assert all("2026-07-31" in f for f in re.findall(r"PartitionFilters: \[(.*?)\]\n", text))
+    assert "GreaterThanOrEqual(usage_start_time" in text and "LessThan(usage_start_time" in text
+
+
+def test_back_fill_bounds_its_partitions(export):
+    from outlay.operators import anomalies
+
+    text = plan(anomalies.daily_anomalies(export, AS_OF, score_since=dt.date(2026, 9, 1)))
+    filters = re.findall(r"PartitionFilters: \[(.*?)\]\n", text)
+    assert filters and all("2026-07-27" in f for f in filters)
+
+
+def test_every_scan_of_the_query_log_is_bounded(spark):
+    text = plan(queries()["Q1_query_rollup"](spark, SF))
+    assert text.count("isnotnull(job_id)") == 0 or "creation_time" in text
