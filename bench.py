@@ -37,15 +37,21 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = local_session(cpus, partitions=int(cpus) if cpus.isdigit() else 8)
-    queries, timings = all_queries(), {}
+    queries, timings, split = all_queries(), {}, {}
     for name in HEADLINE:
         runs = []
         for i in range(RUNS + 1):
             start = time.perf_counter()
-            queries[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+            df = queries[name](spark, sf_dir)
+            built = time.perf_counter()
+            df._jdf.queryExecution().executedPlan()
+            planned = time.perf_counter()
+            df.write.format("noop").mode("overwrite").save()
             if i:  # the first run warms up
-                runs.append(time.perf_counter() - start)
-        timings[name] = round(statistics.median(runs), 3)
+                runs.append((built - start, planned - built, time.perf_counter() - planned))
+        parts = [round(statistics.median(x), 3) for x in zip(*runs)]
+        split[name] = dict(zip(("build", "plan", "run"), parts))
+        timings[name] = round(sum(parts), 3)
     print(
         json.dumps(
             {
@@ -53,6 +59,7 @@ def main() -> None:
                 "value": round(sum(timings.values()), 3),
                 "unit": "sec",
                 "queries": timings,
+                "parts": split,
                 "sf": sf_dir.rstrip("/").rsplit("sf", 1)[-1],
                 "cpus": cpus,
                 "runs": RUNS,
