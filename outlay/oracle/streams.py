@@ -1,4 +1,4 @@
-"""Oracle SQL of the streaming and sink queries: the closed windows of the whole input."""
+"""Oracle SQL of the streaming and sink queries: over the whole input; rollups of its closed windows."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ CLOSED = "usage_date + 1 <= (SELECT MAX(usage_date) FROM reg) - 3"
 REG = "reg AS (SELECT *, COALESCE(project_id, '(account)') AS pid FROM lines WHERE cost_type = 'regular')"
 ORACLE: dict[str, str] = {
     "S1_daily_rollup_stream": f"WITH {LINES}, {REG} SELECT usage_date, pid AS project_id, service, {d('SUM(net)')} AS net_cost FROM reg WHERE {CLOSED} GROUP BY ALL",
-    "S2_spend_alerts_stream": f"WITH {LINES}, {REG} SELECT usage_date, pid AS project_id, {d('SUM(net)')} AS net_cost FROM reg WHERE {CLOSED} GROUP BY ALL HAVING SUM(net) > 500",
+    "S2_spend_alerts_stream": f"WITH {LINES}, {REG} SELECT usage_date, pid AS project_id, {d('SUM(net)')} AS net_cost FROM reg GROUP BY ALL HAVING SUM(net) > 500",
     "S3_budget_alerts_stream": f"""WITH {LINES}, {REG},
 s AS (SELECT invoice_month AS month, pid AS project_id, SUM(net) AS actual, CAST(SUM(net) AS DOUBLE) / day(MAX(usage_date)) * day(last_day(MAX(usage_date))) AS forecast FROM reg GROUP BY ALL)
 SELECT month, project_id, basis, threshold, {d('actual')} AS actual_cost, {r('forecast')} AS forecast_cost

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from outlay import fixed
@@ -45,7 +46,10 @@ def daily_rollup(lines: DataFrame, late: str = LATE) -> DataFrame:
 
 
 def spend_alerts(lines: DataFrame, threshold: float = fixed.DAILY_SPEND_ALERT, late: str = LATE) -> DataFrame:
-    """Projects whose cost of a closed day is above the threshold."""
+    """Projects whose cost of a day is above the threshold, for update mode: as soon as it is.
+
+    The watermark bounds the state to the days that may still change.
+    """
     day = F.window("usage_start_time", "1 day")
     grouped = _priced(lines, late).groupBy(day.alias("day"), "project_id").agg(F.sum("net").alias("net"))
     return grouped.filter(F.col("net") > threshold).select(
@@ -105,13 +109,21 @@ def start_append(df: DataFrame, path: str, checkpoint: str, partition_by: str |
     return writer.trigger(availableNow=True).start(path)
 
 
-def start_alerts(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Write each batch of alerts to its own partition, so that a repeated batch replaces itself."""
+def start_alerts(df: DataFrame, path: str, checkpoint: str, keys: tuple[str, ...] = ("usage_date", "project_id")) -> StreamingQuery:
+    """Fire each alert once, in the batch that crosses the limit.
+
+    Each batch is a partition of its own, so that a repeated batch replaces itself; what has fired is
+    read from the partitions of earlier batches only.
+    """
+    schema = T.StructType([*df.schema.fields, T.StructField("batch_id", T.LongType())])
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        if batch_id > 0:
+            fired = batch.sparkSession.read.schema(schema).parquet(path).filter(F.col("batch_id") < batch_id)
+            batch = batch.join(fired.select(*keys), list(keys), "left_anti").select(*batch.columns)
         overwrite_partitions(batch.withColumn("batch_id", F.lit(batch_id)), path, "batch_id")
 
-    return df.writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
+    return df.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
 
 
 def start_budget_alerts(spark: SparkSession, lines: DataFrame, budget: float, path: str, checkpoint: str) -> StreamingQuery:

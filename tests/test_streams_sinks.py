@@ -53,6 +53,22 @@ def test_spend_alerts(spark, feed, tmp_path):
     assert [(r["project_id"], r["net_cost"]) for r in spark.read.parquet(out).collect()] == [("p1", 501.0)]
 
 
+def test_spend_alerts_fire_once_and_at_once(spark, feed, tmp_path):
+    out, check = str(tmp_path / "out"), str(tmp_path / "c")
+    run = lambda: jobs.finish(jobs.start_alerts(jobs.spend_alerts(feed.stream()), out, check))
+    schema = "usage_date date, project_id string, net_cost double"
+    fired = lambda: [(r["project_id"], r["net_cost"]) for r in spark.read.schema(schema).parquet(out).collect()]
+    feed.add(day(0, cost="499"))
+    run()
+    assert fired() == []
+    feed.add(day(0, cost="2"))
+    run()
+    assert fired() == [("p1", 501.0)]
+    feed.add(day(0, cost="50"), day(1, cost="700", project="p2"))
+    run()
+    assert sorted(fired()) == [("p1", 501.0), ("p2", 700.0)]
+
+
 def test_budget_alerts_fire_once(spark, feed, tmp_path):
     out, check = str(tmp_path / "out"), str(tmp_path / "check")
     run = lambda: jobs.finish(jobs.start_budget_alerts(spark, feed.stream(), 1000.0, out, check))
