@@ -8,7 +8,6 @@ and are listed in their natural order.
 from __future__ import annotations
 
 # ---------------------------------------------------------------- units
-KIB = 1024
 GIB = 1024**3
 TIB = 1024**4
 GB = 1_000_000_000  # decimal gigabyte: warehouse and object storage
@@ -145,8 +144,6 @@ M_OOM_EVENTS = "container_oom_events_total"
 M_OOM_TERMINATED = "kube_pod_container_status_last_terminated_reason"
 M_ALLOC_CPU = "kube_node_status_allocatable_cpu"
 M_ALLOC_MEM = "kube_node_status_allocatable_memory"
-M_NODE_LABELS = "kube_node_labels"
-M_PDB_ALLOWED = "kube_poddisruptionbudget_status_pod_disruptions_allowed"
 
 # ---------------------------------------------------------------- report texts
 # Texts of findings, notes and actions.  Names in braces are filled from columns.
