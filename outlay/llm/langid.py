@@ -254,7 +254,7 @@ def identify(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     return predict(marked, model, ["doc_id", "held_out"])
 
 
-def reject_unknown(docs: DataFrame, min_score: float = 0.5, s: Settings = Settings()) -> DataFrame:
+def reject_unknown(docs: DataFrame, min_score: float = 0.3, s: Settings = Settings()) -> DataFrame:
     """``docs`` without the rows that have no letter or whose best language is less likely than ``min_score``."""
     model = train(docs.where(F.coalesce(fold(F.col("doc_id"), 3) != 1, F.lit(True))), s)
     # The text travels once, under the name that ``predict`` reads.
