@@ -7,6 +7,12 @@ n-gram (its count one order down) and the followers of each context (how many, a
 twice, more often). One shuffle for each order does both. A frequent word is no hot key: shards cut by
 the hash of the whole n-gram, and contexts arrive as one partial sum for each shard.
 
+Packing loses nothing. A blob has its words once, the most frequent first, and its rows as sorted numbers
+of them, byte by byte. A context is an n-gram of the order below and shares its row in the arrays. Counts
+take a byte, those from 255 on are kept beside them.
+
+The text counts of shorter n-grams come along, so that the models of shorter orders need no second pass.
+
 Scoring. Workers map the arrays of all shards into memory, so that a process holds no copy and the
 nodes share the pages they read, and look up sorted blocks of hashes. A document's score is the sum of
 log10 probabilities of its words and one end, each given the ``order - 1`` tokens before it:
@@ -40,7 +46,8 @@ from outlay.llm.shingles import MULTIPLIER, WordHashes, mix, words_of
 
 START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
 RAW, STATS = 0, 99  # kinds of packed rows; n is an n-gram, -n a context of n-grams
-SCHEMA = "kind int, shard int, blob binary, stats array<bigint>"
+WHOLE = 50  # added to n where shorter n-grams count as often as in the text, not by their left neighbours
+SCHEMA = "level int, kind int, shard int, blob binary, stats array<bigint>"
 EMPTY = np.empty(0, np.uint64)
 
 
@@ -61,14 +68,39 @@ class Model:
         return np.clip(d, 0, [0, 1, 2, 3])
 
 
-def pack(*arrays: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(a.astype("<u8").tobytes() for a in arrays))
-
-
-def unpack(blobs: list[bytes], n: int) -> list[np.ndarray]:
-    """``n`` columns from packed blobs of as many equally long columns each."""
-    parts = [np.frombuffer(zstandard.ZstdDecompressor().decompress(b), "<u8").reshape(n, -1) for b in blobs]
-    return list(np.concatenate(parts, axis=1))
+def pack(words: list[np.ndarray], counts: list[np.ndarray]) -> bytes:
+    """Rows of word hashes and counts, in another order."""
+    known, number, often = np.unique(np.concatenate(words), return_inverse=True, return_counts=True)
+    by_use = np.argsort(-often)
+    place = np.empty(len(known), "<u4")
+    place[by_use] = np.arange(len(known))
+    numbers = place[number].reshape(len(words), -1)
+    key = numbers[0].astype(np.uint64)
+    for c in numbers[1:]:
+        key = key * np.uint64(len(known)) + c
+    order = np.argsort(key)
+    numbers = numbers[:, order]
+    numbers[0] = np.diff(numbers[0], prepend=np.uint32(0))
+    planes = [np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T.tobytes() for a in (*numbers, *(c[order].astype("<u8") for c in counts))]
+    head = np.array([len(order), len(known)], "<u8").tobytes() + known[by_use].astype("<u8").tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(planes))
+
+
+def unpack(blobs: list[bytes], words: int, counts: int) -> list[np.ndarray]:
+    """The columns of packed blobs: ``words`` of hashes, then ``counts`` of counts."""
+    parts = []
+    for blob in blobs:
+        raw = zstandard.ZstdDecompressor().decompress(blob)
+        n, known = map(int, np.frombuffer(raw, "<u8", 2))
+        at, columns = 16 + 8 * known, []
+        for width in [4] * words + [8] * counts:
+            planes = np.frombuffer(raw, np.uint8, n * width, at).reshape(width, n)
+            columns.append(np.ascontiguousarray(planes.T).view(f"<u{width}").ravel())
+            at += n * width
+        columns[0] = np.cumsum(columns[0], dtype=np.uint32)
+        hashes = np.frombuffer(raw, "<u8", known, 16)
+        parts.append([*(hashes[c] for c in columns[:words]), *columns[words:]])
+    return [np.concatenate(p) for p in zip(*parts)]
 
 
 def keys_of(columns: list[np.ndarray]) -> np.ndarray:
@@ -80,22 +112,19 @@ def keys_of(columns: list[np.ndarray]) -> np.ndarray:
 
 
 def summed(keys: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Distinct keys in order, where each occurs first, and sums of ``counts`` by key."""
-    order = np.argsort(keys, kind="stable")
+    """Distinct keys in order, a place of each, and sums of ``counts`` by key."""
+    order = np.argsort(keys)
     at = keys[order]
     first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else np.empty(0, np.int64)
     return at[first], order[first], [np.add.reduceat(c[order], first) if len(first) else c[:0] for c in counts]
 
 
-def sharded(kind: int, keys: np.ndarray, columns: list[np.ndarray], bits: int) -> Iterator[tuple[int, int, bytes, None]]:
+def sharded(kind: int, keys: np.ndarray, words: list[np.ndarray], counts: list[np.ndarray], bits: int) -> Iterator[tuple[int, int, bytes, None]]:
     """Packed rows for each shard; ``keys`` are sorted."""
     shard = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
     cuts = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]])) if len(keys) else []
     for lo, hi in zip(cuts, [*cuts[1:], len(keys)]):
-        part = [c[lo:hi] for c in columns]
-        # Neighbours with a common first word pack better.
-        order = np.lexsort(part[::-1])
-        yield kind, int(shard[lo]), pack(*(c[order] for c in part)), None
+        yield kind, int(shard[lo]), pack([c[lo:hi] for c in words], [c[lo:hi] for c in counts]), None
 
 
 def token_blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[list[np.ndarray], list[pa.RecordBatch]]]:
@@ -125,9 +154,14 @@ def grams(block: list[np.ndarray], order: int) -> list[np.ndarray]:
     return [line[at - (order - 1) + j] for j in range(order)]
 
 
+def level_of(kind: int) -> int:
+    """A context of n-grams goes where the n-grams one order down go, so that both have one array of hashes."""
+    return kind if kind >= 0 else -kind % WHOLE - 1
+
+
 def rows_of(found: list[tuple]) -> pa.Table:
     kinds, shards, blobs, stats = zip(*found) if found else ((), (), (), ())
-    return pa.table([pa.array(kinds, pa.int32()), pa.array(shards, pa.int32()), pa.array(blobs, pa.binary()), pa.array(stats, pa.list_(pa.int64()))], names=["kind", "shard", "blob", "stats"])
+    return pa.table([pa.array([level_of(k) for k in kinds], pa.int32()), pa.array(kinds, pa.int32()), pa.array(shards, pa.int32()), pa.array(blobs, pa.binary()), pa.array(stats, pa.list_(pa.int64()))], names=["level", "kind", "shard", "blob", "stats"])
 
 
 def counted(docs: DataFrame, order: int, bits: int, block: int) -> DataFrame:
@@ -138,7 +172,7 @@ def counted(docs: DataFrame, order: int, bits: int, block: int) -> DataFrame:
             found = []
             for kind, cols in ((order, columns), (RAW, columns[-1:])):
                 keys, first, (n,) = summed(keys_of(cols), one)
-                found += sharded(kind, keys, [*(c[first] for c in cols), n], bits)
+                found += sharded(kind, keys, [c[first] for c in cols], [n], bits)
             yield from rows_of(found).to_batches()
 
     return docs.select("text").mapInArrow(run, SCHEMA)
@@ -153,40 +187,68 @@ def save(folder: str, name: str, shard: int, **arrays: np.ndarray) -> None:
         os.replace(f"{path}.{os.getpid()}", path)
 
 
-def smallest(a: np.ndarray) -> np.ndarray:
-    return a.astype(np.min_scalar_type(int(a.max()) if len(a) else 0))
+def bytes_of(name: str, a: np.ndarray) -> dict[str, np.ndarray]:
+    """Counts as bytes, and places and values of those that are larger."""
+    at = np.flatnonzero(a >= 255)
+    return {name: np.minimum(a, 255).astype(np.uint8), f"{name}_large": np.stack([at, a[at].astype(np.int64)])}
+
 
+def spread(at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    out = np.zeros(n, values.dtype)
+    out[at] = values
+    return out
 
-def reduced(packed: DataFrame, folder: str, bits: int) -> DataFrame:
+
+def reduced(packed: DataFrame, folder: str, order: int, bits: int) -> DataFrame:
     """Add up each shard, write it, and send on what the next lower order and the contexts need."""
 
+    def followers(n: np.ndarray) -> list[np.ndarray]:
+        return [n, *(m.astype(np.uint64) for m in (n == 1, n == 2, n >= 3))]
+
     def shard_of(table: pa.Table) -> pa.Table:
-        kind, shard = table.column("kind")[0].as_py(), table.column("shard")[0].as_py()
-        if kind == STATS:
-            return table.select(["kind", "shard", "blob", "stats"])
-        blobs = table.column("blob").to_pylist()
-        if kind < 0:
-            keys, *parts = unpack(blobs, 5)
-            keys, _, parts = summed(keys, *parts)
-            save(folder, f"context{-kind}", shard, keys=keys, parts=smallest(np.stack(parts, axis=1)))
+        kinds, shard = table.column("kind").to_pylist(), table.column("shard")[0].as_py()
+        if kinds[0] == STATS:
+            return table.select(["level", "kind", "shard", "blob", "stats"])
+        blobs: dict[int, list[bytes]] = {}
+        for kind, blob in zip(kinds, table.column("blob").to_pylist()):
+            blobs.setdefault(kind, []).append(blob)
+        level = table.column("level")[0].as_py()
+        own, keys, columns, counts = blobs.pop(level, []), EMPTY, [], [EMPTY, EMPTY]
+        if own:
+            width = max(level, 1)
+            columns = unpack(own, width, 2 if 1 < level < order else 1)
+            keys, first, counts = summed(keys_of(columns[:width]), *columns[width:])
+            columns = [c[first] for c in columns[:width]]
+        contexts = {}
+        for kind, packed_rows in blobs.items():
+            found = unpack(packed_rows, level, 4)
+            contexts[kind] = summed(keys_of(found[:level]), *found[level:])
+        # Contexts of start marks alone are no n-grams.
+        rows = np.unique(np.concatenate([keys, *(c[0] for c in contexts.values())])) if contexts else keys
+        arrays, at = {}, np.searchsorted(rows, keys)
+        for name, c in zip(("counts", "whole"), counts):
+            arrays |= bytes_of(name, spread(at, c, len(rows)))
+        for kind, (context, _, parts) in contexts.items():
+            for i, c in enumerate(parts):
+                arrays |= bytes_of(f"{'whole' if kind < -WHOLE else 'parts'}{i}", spread(np.searchsorted(rows, context), c, len(rows)))
+        save(folder, f"grams{level}", shard, keys=rows, **arrays)
+        if not own:
             return rows_of([])
-        *columns, n = unpack(blobs, max(kind, 1) + 1)
-        keys, first, (n,) = summed(keys_of(columns), n)
-        columns = [c[first] for c in columns]
-        save(folder, f"grams{kind}", shard, keys=keys, counts=smallest(n))
-        sizes = [int((n == k).sum()) for k in (1, 2, 3, 4)]
-        found: list[tuple] = [(STATS, shard, None, [kind, int(n.sum()), len(n), *sizes, int((n >= 3).sum())])]
-        if kind > 1:
-            ones = [np.ones(len(n), np.uint64) * m for m in (n == 1, n == 2, n >= 3)]
-            context, _, parts = summed(keys_of(columns[:-1]), n, *ones)
-            found += sharded(-kind, context, [context, *parts], bits)
+        out: list[tuple] = []
+        for kind, c in zip((level, WHOLE + level), counts):
+            out.append((STATS, shard, None, [kind, int(c.sum()), len(c), *(int((c == k).sum()) for k in (1, 2, 3, 4)), int((c >= 3).sum())]))
+        if level > 1:
+            n = counts[0]
+            above, of, parts = summed(keys_of(columns[:-1]), *(x for c in counts for x in followers(c)))
+            for i, kind in enumerate((-level, -WHOLE - level)[: len(counts)]):
+                out += sharded(kind, above, [c[of] for c in columns[:-1]], parts[4 * i : 4 * i + 4], bits)
             # One left neighbour for each distinct n-gram; behind two start marks there is none to count.
-            left = np.where((columns[0] == START) & (columns[1] == START), n, np.uint64(1)) if kind > 2 else np.ones(len(n), np.uint64)
-            below, at, (left,) = summed(keys_of(columns[1:]), left)
-            found += sharded(kind - 1, below, [*(c[at] for c in columns[1:]), left], bits)
-        return rows_of(found)
+            left = np.where((columns[0] == START) & (columns[1] == START), n, np.uint64(1)) if level > 2 else np.ones(len(n), np.uint64)
+            below, of, sums = summed(keys_of(columns[1:]), left, *(counts[-1:] if level > 2 else []))
+            out += sharded(level - 1, below, [c[of] for c in columns[1:]], sums, bits)
+        return rows_of(out)
 
-    return packed.groupBy("kind", "shard").applyInArrow(shard_of, SCHEMA)
+    return packed.groupBy("level", "shard").applyInArrow(shard_of, SCHEMA)
 
 
 def train(docs: DataFrame, order: int = 2, shard_tokens: int = 2_000_000, block: int = 3_000_000) -> Model:
@@ -198,7 +260,7 @@ def train(docs: DataFrame, order: int = 2, shard_tokens: int = 2_000_000, block:
     folder = posix_path(shared_folder(spark, "ngrams"))
     packed = counted(rows, order, bits, block)
     for _ in range(order):
-        packed = reduced(packed, folder, bits)
+        packed = reduced(packed, folder, order, bits)
     sums = packed.where(F.col("kind") == STATS).groupBy(F.col("stats")[0].alias("n")).agg(*[F.sum(F.col("stats")[i]).alias(f"s{i}") for i in range(1, 8)])
     stats = {r.n: [r[f"s{i}"] for i in range(1, 8)] for r in sums.collect()}
     return Model(folder, order, bits, stats)
@@ -209,72 +271,93 @@ class Arrays:
 
     def __init__(self, model: Model):
         self.model = model
-        self.open: dict[tuple[str, int], tuple[np.ndarray, np.ndarray] | None] = {}
-
-    def shard(self, name: str, part: str, shard: int) -> tuple[np.ndarray, np.ndarray] | None:
-        if (name, shard) not in self.open:
-            path = f"{self.model.folder}/{name}/{shard:06d}"
-            there = os.path.exists(f"{path}.keys.npy")
-            self.open[name, shard] = (np.load(f"{path}.keys.npy", mmap_mode="r"), np.load(f"{path}.{part}.npy", mmap_mode="r")) if there else None
-        return self.open[name, shard]
-
-    def get(self, name: str, part: str, keys: np.ndarray, width: int = 0) -> np.ndarray:
-        """Values of sorted ``keys``; 0 where a key is not there."""
-        out = np.zeros((len(keys), width) if width else len(keys))
+        self.open: dict[tuple[str, str, int], np.ndarray | None] = {}
+
+    def array(self, name: str, part: str, shard: int) -> np.ndarray | None:
+        if (name, part, shard) not in self.open:
+            path = f"{self.model.folder}/{name}/{shard:06d}.{part}.npy"
+            self.open[name, part, shard] = np.load(path, mmap_mode="r") if os.path.exists(path) else None
+        return self.open[name, part, shard]
+
+    def get(self, name: str, keys: np.ndarray, parts: list[str]) -> np.ndarray:
+        """One column for each part, of sorted ``keys``; 0 where a key is not there."""
+        out = np.zeros((len(keys), len(parts)))
         bits = self.model.bits
         edges = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else np.array([0])
         for shard, (lo, hi) in enumerate(zip(edges, [*edges[1:], len(keys)])):
-            if lo == hi or (found := self.shard(name, part, shard)) is None or not len(found[0]):
+            if lo == hi or (known := self.array(name, "keys", shard)) is None or not len(known):
                 continue
-            at = np.minimum(np.searchsorted(found[0], keys[lo:hi]), len(found[0]) - 1)
-            hit = found[0][at] == keys[lo:hi]
-            out[lo:hi][hit] = found[1][at[hit]]
+            at = np.minimum(np.searchsorted(known, keys[lo:hi]), len(known) - 1)
+            hit = np.flatnonzero(known[at] == keys[lo:hi])
+            at = at[hit]
+            for i, part in enumerate(parts):
+                if (a := self.array(name, part, shard)) is None:
+                    continue
+                value = a[at].astype(float)
+                if len(big := np.flatnonzero(value == 255)):
+                    where, large = self.array(name, f"{part}_large", shard)
+                    value[big] = large[np.searchsorted(where, at[big])]
+                out[lo + hit, i] = value
         return out
 
-    def probabilities(self, columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """Of the last token of each n-gram: its probability, and its count in the training text."""
+    def probabilities(self, columns: list[np.ndarray], order: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """Of the last token of each n-gram: its probability, and its count in the training text.
+
+        ``order`` up to that of the model chooses the model of that order; 0 is the highest.
+        """
         m = self.model
+        order = order or m.order
         words, back = np.unique(columns[-1], return_inverse=True)
         keys = mix(words)
-        order = np.argsort(keys)
+        by_key = np.argsort(keys)
         raw, count = np.empty(len(words)), np.empty(len(words))
-        raw[order] = self.get(f"grams{RAW}", "counts", keys[order])
-        count[order] = self.get("grams1", "counts", keys[order])
-        total, types, n1, n2, _, _, n3 = m.stats.get(1, [0] * 7)
-        d = m.discounts(1)
+        raw[by_key] = self.get(f"grams{RAW}", keys[by_key], ["counts"])[:, 0]
+        # Words count as in the text if there is no order above them.
+        alone = order == 1 and m.order > 1
+        count[by_key] = raw[by_key] if alone else self.get("grams1", keys[by_key], ["counts"])[:, 0]
+        lowest = RAW if alone else 1
+        total, types, n1, n2, _, _, n3 = m.stats.get(lowest, [0] * 7)
+        d = m.discounts(lowest)
         if total:
             p = (np.maximum(count - d[np.minimum(count, 3).astype(int)], 0) + (d[1:] @ [n1, n2, n3]) / (types + 1)) / total
         else:
             p = np.ones(len(words))
         p = p[back]
-        for n in range(2, m.order + 1):
-            d = m.discounts(n)
+        for n in range(2, order + 1):
+            whole = n == order < m.order
+            d = m.discounts(WHOLE + n if whole else n)
             context = keys_of(columns[-n:-1])
             distinct, back_c = np.unique(context, return_inverse=True)
-            parts = self.get(f"context{n}", "parts", distinct, 4)
+            parts = self.get(f"grams{n - 1}", distinct, [f"{'whole' if whole else 'parts'}{i}" for i in range(4)])
             sure = np.maximum(parts[:, 0], 1)
             rest = np.where(parts[:, 0] > 0, parts[:, 1:] @ d[1:] / sure, 1.0)
             gram, back_g = np.unique(mix(context * MULTIPLIER + columns[-1]), return_inverse=True)
-            c = self.get(f"grams{n}", "counts", gram)
+            c = self.get(f"grams{n}", gram, ["whole" if whole else "counts"])[:, 0]
             c = np.maximum(c - d[np.minimum(c, 3).astype(int)], 0)[back_g]
             p = c / sure[back_c] + rest[back_c] * p
         return p, raw[back]
 
 
-def score(docs: DataFrame, model: Model, columns: tuple[str, ...] = ("doc_id",), block: int = 400_000) -> DataFrame:
-    """``columns`` of ``docs`` with ``n_tokens, n_known, train_tokens, base_score, score`` of every row."""
-    added = "n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
+def score(docs: DataFrame, model: Model, columns: tuple[str, ...] = ("doc_id",), block: int = 400_000, orders: dict[str, int] | None = None) -> DataFrame:
+    """``columns`` of ``docs`` with ``n_tokens, n_known, train_tokens, base_score`` and the scores of every row.
+
+    ``orders`` names the scores and their orders; without it ``score`` is that of the model's order.
+    """
+    orders = orders or {"score": model.order}
+    added = ", ".join(["n_tokens bigint, n_known bigint, train_tokens bigint, base_score double", *(f"{x} double" for x in orders)])
     total, types = (model.stats.get(RAW) or [0, 0])[:2]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrays = Arrays(model)
         for tokens, rows in token_blocks(batches, block):
-            p, raw = arrays.probabilities(grams(tokens, model.order))
+            words = grams(tokens, model.order)
+            found = [arrays.probabilities(words, n) for n in orders.values()]
+            raw = found[0][1]
             sizes = np.array([len(t) for t in tokens])
             starts = np.cumsum(sizes) - sizes
-            sums = [np.add.reduceat(x, starts) for x in (np.log10(p), np.log10((raw + 1) / (total + types + 1)), (raw > 0).astype(np.int64))]
+            base, known, *scores = [np.add.reduceat(x, starts) for x in (np.log10((raw + 1) / (total + types + 1)), (raw > 0).astype(np.int64), *(np.log10(p) for p, _ in found))]
             kept = pa.Table.from_batches(rows).select(list(columns))
-            values = [sizes, sums[2], np.full(len(sizes), total), sums[1], sums[0]]
+            values = [sizes, known, np.full(len(sizes), total), base, *scores]
             names = [x.split()[0] for x in added.split(", ")]
             for name, v in zip(names, values):
                 kept = kept.append_column(name, pa.array(v))
@@ -289,8 +372,11 @@ def held_out(doc_id: Column, folds: int = 7, fold: int = 2) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
-def score_corpus(docs: DataFrame, order: int = 2) -> DataFrame:
-    """``doc_id, held_out`` and the scores of every row, by a model of the rows that are not held out."""
+def score_corpus(docs: DataFrame, order: int = 3) -> DataFrame:
+    """``doc_id, held_out`` and the scores of every row, by a model of the rows that are not held out.
+
+    ``score_full`` is that of the whole order, ``score`` that of bigrams, both from one counting.
+    """
     marked = docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out"))
     model = train(marked.where(~F.col("held_out")), order)
-    return score(marked, model, ("doc_id", "held_out"))
+    return score(marked, model, ("doc_id", "held_out"), orders={"score": min(order, 2), "score_full": order})

@@ -83,3 +83,35 @@ def test_token_counts_equal_the_library(spark):
     got = {r.doc_id: r.n_tokens for r in QUERIES["op6_token_counts"](spark, SF_DIR).collect()}
     for r in read(spark, SF_DIR, "documents").collect():
         assert got[r.doc_id] == len(t.encode(r.text or "").ids)
+
+
+def test_lm_full_score_equals_brute_force_trigrams(spark):
+    got = {r.doc_id: r for r in QUERIES["op3_lm_scoring"](spark, SF_DIR).collect()}
+    docs = [(r.doc_id, tokens(r.text)) for r in read(spark, SF_DIR, "documents").select("doc_id", "text").collect()]
+    pad = ["<s>", "<s>"]
+    counts = {3: collections.Counter(g for i, x in docs if zlib.crc32(str(i).encode()) % 7 != 2 for g in zip([*pad, *x], ["<s>", *x], x))}
+    counts[2], counts[1] = collections.Counter(), collections.Counter()
+    for g, c in counts[3].items():
+        counts[2][g[1:]] += c if g[:2] == ("<s>", "<s>") else 1
+    for g in counts[2]:
+        counts[1][g[1:]] += 1
+    discount, context, mass = {}, {}, {}
+    for n, found in counts.items():
+        k = [0] + [sum(v == j for v in found.values()) for j in (1, 2, 3, 4)]
+        y = k[1] / (k[1] + 2 * k[2])
+        discount[n] = [0] + [j - (j + 1) * y * k[j + 1] / k[j] for j in (1, 2, 3)]
+        context[n], mass[n] = collections.Counter(), collections.Counter()
+        for g, c in found.items():
+            context[n][g[:-1]] += c
+            mass[n][g[:-1]] += discount[n][min(c, 3)]
+
+    def p(g):
+        n, u = len(g), g[:-1]
+        low = p(g[1:]) if n > 1 else 1 / (len(counts[1]) + 1)
+        c = counts[n][g]
+        return (max(c - discount[n][min(c, 3)], 0) + mass[n][u] * low) / context[n][u] if context[n][u] else low
+
+    for i, x in docs:
+        want = sum(math.log10(p(g)) for g in zip([*pad, *x], ["<s>", *x], x))
+        assert math.isclose(got[i].score_full, want, rel_tol=1e-7)
+    assert sum(r.score_full for r in got.values()) > sum(r.score for r in got.values())
