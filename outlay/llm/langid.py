@@ -6,17 +6,17 @@ weighted by inverse document frequency and scaled to length one.
 
 1. Document frequencies are counted over all labelled training texts, as sums by feature.
 2. The classifier is fitted on a bounded sample of the training rows: for each language the rows with
-   the smallest hashes, about ``per_language`` of them. The features of the sample are made by all
+   the smallest hashes, about ``per_language`` of them, or fewer where many languages share ``most_rows``,
+   but always a few of each. The features of the sample are made by all
    tasks. The fit itself is follow-the-regularised-leader with per-coordinate rates and L1 and L2
    penalties, over the sample in one task; it leaves a sparse table ``lang, feature, weight``.
 3. A fifth of the sample is held back and sets the temperature that minimises its log loss.
 4. Prediction reads whole texts, in Arrow batches, with the sparse weights as a small constant: at most
-   ``2 ** bits`` features times ``max_languages``.
+   ``2 ** bits`` features times the number of languages. Every language of the training rows is learned.
 
 Edge cases: a NULL text and one without a letter give ``und`` with score 0. Rows without language or
 text take no part in learning. With no training row at all every text is ``und``; with one language
-all others are that language, with score 1. Languages beyond the ``max_languages`` most frequent are
-not learned.
+all others are that language, with score 1.
 """
 
 from __future__ import annotations
@@ -41,7 +41,8 @@ class Settings:
     bits: int = 16
     sizes: tuple[int, ...] = (1, 2, 3)
     per_language: int = 500
-    max_languages: int = 64
+    most_rows: int = 32_000
+    least_per_language: int = 20
     epochs: int = 4
     alpha: float = 1.0
     beta: float = 1.0
@@ -101,10 +102,12 @@ def document_frequencies(rows: DataFrame, s: Settings) -> DataFrame:
 
 
 def sampled(rows: DataFrame, s: Settings) -> DataFrame:
-    """About ``per_language`` rows of each language, those with the smallest hashes."""
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(s.max_languages)
+    """About equally many rows of every language, those with the smallest hashes; all rows of a rare one."""
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    wanted = F.least(F.lit(s.per_language), F.greatest(F.lit(s.least_per_language), F.lit(s.most_rows) / F.col("languages")))
+    counts = counts.crossJoin(F.broadcast(counts.agg(F.count("*").alias("languages")))).select("lang", "n", wanted.alias("wanted"))
     share = F.xxhash64("doc_id", "text").bitwiseAND((1 << 52) - 1) / float(1 << 52)
-    return rows.join(F.broadcast(counts), "lang").where(share * F.col("n") < s.per_language).select("doc_id", "lang", "text")
+    return rows.join(F.broadcast(counts), "lang").where((share * F.col("n") < F.col("wanted")) | (F.col("n") <= s.least_per_language)).select("doc_id", "lang", "text")
 
 
 def vectors(rows: DataFrame, s: Settings) -> DataFrame:

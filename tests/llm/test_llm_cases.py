@@ -283,3 +283,9 @@ def test_pipeline_stages_equal_the_operators(spark):
             want = {r.doc_id: "\n".join(x for p, x in enumerate(r.text.split("\n")) if (r.doc_id, p) not in gone) for r in before.collect() if any((r.doc_id, p) not in gone for p in range(r.text.count("\n") + 1))}
             assert {r.doc_id: r.text for r in docs.collect()} == want
     assert corpus_pipeline.run(spark, sf).count() > 0
+
+
+def test_every_language_is_learned(spark):
+    rows = [(100 * i + j, " ".join(chr(0x4E00 + 40 * i + (7 * j + k) % 40) * 2 for k in range(30)), f"l{i:02d}") for i in range(70) for j in range(3)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    assert model.langs == [f"l{i:02d}" for i in range(70)]
