@@ -121,6 +121,10 @@ def vectors(rows: DataFrame, s: Settings) -> DataFrame:
     return rows.select("lang", "text", F.xxhash64("doc_id", "text", F.lit(1)).alias("fold")).mapInArrow(run, "lang string, fold bigint, at array<int>, count array<int>")
 
 
+def gathered(sample: DataFrame) -> DataFrame:
+    return sample.repartition(1)
+
+
 def softmax(z: np.ndarray) -> np.ndarray:
     e = np.exp(z - z.max(axis=-1, keepdims=True))
     return e / e.sum(axis=-1, keepdims=True)
@@ -206,8 +210,9 @@ def train(labelled: DataFrame, s: Settings = Settings()) -> Model:
         head = pd.DataFrame({"lang": langs, "feature": -1, "weight": b})
         yield pd.concat([out, head, pd.DataFrame({"lang": [""], "feature": [-2], "weight": [t]})])
 
-    # The sample is bounded by its parameters, so one task may hold it; the table of weights is as well.
-    fitted = sample.coalesce(1).mapInPandas(fit, "lang string, feature bigint, weight double").toPandas()
+    # The sample is bounded, so one task may hold it, and the weights are as well. A shuffle lies between,
+    # so that scan, filter and features stay with all tasks.
+    fitted = gathered(sample).mapInPandas(fit, "lang string, feature bigint, weight double").toPandas()
     head = fitted[fitted["feature"] == -1].sort_values("lang")
     langs = list(head["lang"])
     body = fitted[fitted["feature"] >= 0]

@@ -289,3 +289,9 @@ def test_every_language_is_learned(spark):
     rows = [(100 * i + j, " ".join(chr(0x4E00 + 40 * i + (7 * j + k) % 40) * 2 for k in range(30)), f"l{i:02d}") for i in range(70) for j in range(3)]
     model = langid.train(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
     assert model.langs == [f"l{i:02d}" for i in range(70)]
+
+
+def test_features_of_the_sample_are_made_before_it_is_gathered(spark):
+    rows = spark.range(0, 40, 1, 4).selectExpr("id as doc_id", "concat('word ', id) as text", "'en' as lang")
+    plan = langid.gathered(langid.vectors(rows, langid.Settings()))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange SinglePartition" in plan and plan.index("Exchange SinglePartition") < plan.index("MapInArrow")
