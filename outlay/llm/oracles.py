@@ -172,3 +172,10 @@ select coalesce(oa.file, ob.file) as file, coalesce(oa.off, ob.off) as "offset",
   case when ob.hash is null then 'missing' when oa.hash is null then 'extra' else 'changed' end as kind, oa.hash as hash_first, ob.hash as hash_second
 from oa full join ob on oa.file = ob.file and oa.off = ob.off
 """
+
+EXACT_DEDUP = r"""
+WITH d AS (SELECT doc_id, regexp_replace(COALESCE(text, ''), '[\x20\x09-\x0D]', '', 'g') AS body, length(COALESCE(text, '')) AS size FROM documents)
+SELECT doc_id, first_value(doc_id) OVER same AS keep_id, COUNT(*) OVER (PARTITION BY body) AS group_size,
+  row_number() OVER same = 1 AS kept, sha256(body) AS text_sha256
+FROM d WINDOW same AS (PARTITION BY body ORDER BY size DESC, doc_id NULLS LAST)
+"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from outlay.llm import decontaminate, fixity, kneserney, langid, linededup, minhash, mixing, oracles, quality, tokencount, urlrules
+from outlay.llm import decontaminate, exactdedup, fixity, kneserney, langid, linededup, minhash, mixing, oracles, quality, tokencount, urlrules
 from outlay.llm.common import read
 
 # A public SentencePiece file; its pieces and whole-number scores serve as a unigram vocabulary.
@@ -59,6 +59,10 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(read(spark, sf_dir, "documents"))
 
 
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exactdedup.exact_duplicates(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_temperature_mixing": op1_temperature_mixing,
     "op9_language_id": op9_language_id,
@@ -70,6 +74,7 @@ QUERIES = {
     "op7_line_dedup": op7_line_dedup,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
+    "op13_exact_dedup": op13_exact_dedup,
 }
 ORACLES = {
     "op1_temperature_mixing": oracles.MIXING,
@@ -79,4 +84,5 @@ ORACLES = {
     "op7_line_dedup": oracles.LINE_DEDUP,
     "op8_minhash_near_dedup": oracles.NEAR_DUPLICATES,
     "op10_benchmark_decontamination": oracles.DECONTAMINATION,
+    "op13_exact_dedup": oracles.EXACT_DEDUP,
 }
