@@ -179,3 +179,29 @@ SELECT doc_id, first_value(doc_id) OVER same AS keep_id, COUNT(*) OVER (PARTITIO
   row_number() OVER same = 1 AS kept, sha256(body) AS text_sha256
 FROM d WINDOW same AS (PARTITION BY body ORDER BY size DESC, doc_id NULLS LAST)
 """
+
+
+def crc32(text: str) -> str:
+    """CRC-32 of a text expression, bit by bit; DuckDB has no function for it."""
+    step = "list_reduce(list_concat([xor(c, b)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: xor(x >> 1, (x & 1) * 3988292384))"
+    codes = f"list_transform(string_split({text}, ''), lambda t: CAST(ascii(t) AS BIGINT))"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {codes}), lambda c, b: {step}), 4294967295::BIGINT)"
+
+
+# Equal words of a text at every distance, their islands, and of islands with the same ends the least distance.
+PERIODIC_RUNS = rf"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(COALESCE(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w, {crc32("COALESCE(CAST(doc_id AS VARCHAR), '')")} AS h FROM documents),
+a AS (SELECT *, len(w) AS n, CASE WHEN doc_id IS NOT NULL AND h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a, h // 10 AS g FROM t),
+p AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM a),
+x AS (SELECT r, doc_id, n, unnest(range(0, n)) AS i, unnest(CASE WHEN a IS NULL THEN w ELSE list_transform(range(0, n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) END) AS word FROM p),
+e AS (SELECT x.r, x.i - y.i AS q, x.i FROM x JOIN x AS y ON x.r = y.r AND x.word = y.word AND y.i < x.i AND (x.i - y.i) * 4 <= x.n),
+f AS (SELECT r, q, i, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS island FROM e),
+s AS (SELECT r, MIN(i) - q AS start, COUNT(*) + q AS length, q FROM f GROUP BY r, q, island HAVING COUNT(*) + q >= GREATEST(6, 4 * q)),
+runs AS (SELECT r, start, length, MIN(q) AS period FROM s GROUP BY ALL),
+g AS (SELECT r, COUNT(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines FROM runs GROUP BY r),
+top AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY r ORDER BY CAST(length AS DOUBLE) / period DESC, start, period) = 1),
+k AS (SELECT x.r, string_agg(x.word, ' ' ORDER BY x.i) AS text FROM x ANTI JOIN (SELECT DISTINCT r, unnest(range(start + period, start + length)) AS i FROM runs) d ON x.r = d.r AND x.i = d.i GROUP BY x.r)
+SELECT doc_id, COALESCE(n_runs, 0) AS n_runs, start, length, period, 1000 * length // period AS exponent_milli,
+  sha256(COALESCE(lines, '')) AS runs_sha256, sha256(COALESCE(k.text, '')) AS collapsed_sha256
+FROM t LEFT JOIN g USING (r) LEFT JOIN top USING (r) LEFT JOIN k USING (r)
+"""

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from outlay.llm import decontaminate, exactdedup, fixity, kneserney, langid, linededup, minhash, mixing, oracles, quality, tokencount, urlrules
-from outlay.llm.common import read
+from outlay.llm import decontaminate, exactdedup, fixity, kneserney, langid, linededup, minhash, mixing, oracles, periodicity, quality, tokencount, urlrules
+from outlay.llm.common import read, split_words
 
 # A public SentencePiece file; its pieces and whole-number scores serve as a unigram vocabulary.
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
@@ -63,6 +63,32 @@ def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdedup.exact_duplicates(read(spark, sf_dir, "documents"))
 
 
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """``doc_id, text``; every tenth text, by the CRC-32 of its id, repeats a piece of itself up to its end."""
+    crc = F.crc32(F.col("doc_id").cast("string"))
+    split = docs.select("doc_id", "text", crc.alias("h"), split_words(F.coalesce("text", F.lit(""))).alias("w")).withColumn("n", F.size("w"))
+    chosen = (F.col("h") % 10 == 0) & (F.col("n") > 0)
+    placed = split.withColumn("a", F.when(chosen, F.expr("int((h div 10) % n)"))).withColumn("p", F.expr("int(1 + (n - a) div (3 + (h div 10) % 8))"))
+    tail = "slice(flatten(array_repeat(slice(w, a + 1, p), int(1 + (n - a) div p))), 1, n - a)"
+    return placed.select("doc_id", F.when(chosen, F.expr(f"array_join(concat(slice(w, 1, a), {tail}), ' ')")).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodicity.periodic_runs(with_planted_runs(read(spark, sf_dir, "documents")))
+    top = F.col("strongest")
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r.start, r.length, r.period))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        top.start.alias("start"),
+        top.length.alias("length"),
+        top.period.alias("period"),
+        F.expr("1000 * strongest.length div strongest.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     "op1_temperature_mixing": op1_temperature_mixing,
     "op9_language_id": op9_language_id,
@@ -74,6 +100,7 @@ QUERIES = {
     "op7_line_dedup": op7_line_dedup,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
+    "op12_periodic_runs": op12_periodic_runs,
     "op13_exact_dedup": op13_exact_dedup,
 }
 ORACLES = {
@@ -84,5 +111,6 @@ ORACLES = {
     "op7_line_dedup": oracles.LINE_DEDUP,
     "op8_minhash_near_dedup": oracles.NEAR_DUPLICATES,
     "op10_benchmark_decontamination": oracles.DECONTAMINATION,
+    "op12_periodic_runs": oracles.PERIODIC_RUNS,
     "op13_exact_dedup": oracles.EXACT_DEDUP,
 }
