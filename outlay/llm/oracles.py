@@ -205,3 +205,43 @@ SELECT doc_id, COALESCE(n_runs, 0) AS n_runs, start, length, period, 1000 * leng
   sha256(COALESCE(lines, '')) AS runs_sha256, sha256(COALESCE(k.text, '')) AS collapsed_sha256
 FROM t LEFT JOIN g USING (r) LEFT JOIN top USING (r) LEFT JOIN k USING (r)
 """
+
+
+def plus(v: str, cost: str, letter: str) -> str:
+    """A path's six-digit cost and its letters with one more edit; such texts compare by cost, then letters."""
+    return f"(lpad(CAST(CAST(substr({v}, 1, 6) AS INT) + {cost} AS VARCHAR), 6, '0') || substr({v}, 7) || '{letter}')"
+
+
+# The cheapest path to each of four states (none, system, user, assistant), row after row.
+_LIVE, _CUT = "fault IS NULL OR fault = 'truncated'", "CASE WHEN fault = 'truncated' THEN 1 ELSE 0 END"
+CONVERSATION_REPAIR = rf"""
+WITH RECURSIVE
+k AS (SELECT dense_rank() OVER (ORDER BY conv_id) AS c, conv_id, turn, COALESCE(role, ' ') AS role, COALESCE(text, ' ') AS text,
+  {crc32("COALESCE(CAST(conv_id AS VARCHAR), ' ') || ':' || COALESCE(CAST(turn AS VARCHAR), ' ')")} % 20 AS h FROM conversations),
+d AS (SELECT c, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role, CASE h WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+  unnest(range(CASE h WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM k),
+o AS (SELECT *, left(role, 1) AS r, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS i FROM d),
+f AS (SELECT *, lag(r) OVER (PARTITION BY c ORDER BY i) || r AS pair,
+  CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN row_number() OVER (PARTITION BY c, role, text ORDER BY i) > 1 THEN 'duplicate'
+    WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' END AS fault FROM o),
+sums AS (SELECT c, COALESCE(MAX(turn) - MIN(turn) + 1 - COUNT(DISTINCT turn), 0) AS gaps, COUNT(*) FILTER (fault = 'blank') AS blank, COUNT(*) FILTER (fault = 'duplicate') AS duplicate,
+  COUNT(*) FILTER (fault = 'truncated') AS truncated, COUNT(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY c),
+dp AS (
+  SELECT DISTINCT c, CAST(0 AS BIGINT) AS i, '000000' AS n, CAST(NULL AS VARCHAR) AS s, '000002I' AS u, '000004II' AS a FROM k
+  UNION ALL
+  SELECT c, i, n, s, u, LEAST(a, {plus("u", "2", "I")}) FROM (
+    SELECT c, i, n, s, LEAST(u, {plus("n", "2", "I")}, {plus("s", "2", "I")}, {plus("a", "2", "I")}) AS u, a FROM (
+      SELECT c, f.i AS i, {plus("n", "3", "D")} AS n, LEAST({plus("s", "3", "D")}, CASE WHEN ({_LIVE}) AND r = 's' THEN {plus("n", _CUT, "K")} END) AS s,
+        LEAST({plus("u", "3", "D")}, CASE WHEN ({_LIVE}) AND r = 'u' THEN LEAST({plus("n", _CUT, "K")}, {plus("s", _CUT, "K")}, {plus("a", _CUT, "K")})
+          WHEN {_LIVE} THEN LEAST({plus("n", f"2 + {_CUT}", "R")}, {plus("s", f"2 + {_CUT}", "R")}, {plus("a", f"2 + {_CUT}", "R")}) END) AS u,
+        LEAST({plus("a", "3", "D")}, CASE WHEN ({_LIVE}) AND r = 'a' THEN {plus("u", _CUT, "K")} WHEN {_LIVE} THEN {plus("u", f"2 + {_CUT}", "R")} END) AS a
+      FROM (SELECT dp.c, dp.n, dp.s, dp.u, dp.a, f.i, f.r, f.fault FROM dp JOIN f ON f.c = dp.c AND f.i = dp.i + 1) f))),
+best AS (SELECT c, CAST(substr(LEAST(n, a), 1, 6) AS BIGINT) AS cost, substr(LEAST(n, a), 7) AS audit FROM dp QUALIFY row_number() OVER (PARTITION BY c ORDER BY i DESC) = 1),
+e AS (SELECT c, unnest(range(1, length(audit) + 1)) AS j, substr(audit, j, 1) AS x, j - length(regexp_replace(left(audit, j), '[^I]', '', 'g')) AS i FROM best),
+w AS (SELECT e.c, e.j, e.x, f.role, f.text, x = 'K' AND f.r = 's' AS sys FROM e LEFT JOIN f ON f.c = e.c AND f.i = e.i AND e.x <> 'I' WHERE e.x <> 'D'),
+z AS (SELECT c, j, CASE WHEN x = 'K' THEN role WHEN COUNT(*) FILTER (NOT COALESCE(sys, FALSE)) OVER (PARTITION BY c ORDER BY j) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN x = 'I' THEN '' ELSE text END AS line FROM w),
+t AS (SELECT c, string_agg(line, chr(10) ORDER BY j) AS text FROM z GROUP BY c)
+SELECT conv_id, COALESCE(gaps, 0) AS gaps, COALESCE(blank, 0) AS blank, COALESCE(duplicate, 0) AS duplicate, COALESCE(truncated, 0) AS truncated, COALESCE(illegal, 0) AS illegal,
+  cost, audit, sha256(COALESCE(t.text, '')) AS repaired_sha256
+FROM (SELECT DISTINCT c, conv_id FROM k) JOIN best USING (c) LEFT JOIN sums USING (c) LEFT JOIN t USING (c)
+"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from outlay.llm import decontaminate, exactdedup, fixity, kneserney, langid, linededup, minhash, mixing, oracles, periodicity, quality, tokencount, urlrules
+from outlay.llm import convrepair, decontaminate, exactdedup, fixity, kneserney, langid, linededup, minhash, mixing, oracles, periodicity, quality, tokencount, urlrules
 from outlay.llm.common import read, split_words
 
 # A public SentencePiece file; its pieces and whole-number scores serve as a unigram vocabulary.
@@ -63,6 +63,24 @@ def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdedup.exact_duplicates(read(spark, sf_dir, "documents"))
 
 
+def damaged(conversations: DataFrame) -> DataFrame:
+    """Conversations with dropped, emptied, cut, repeated and mislabelled rows, chosen by a CRC-32."""
+    place = [F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")]
+    kind = F.crc32(F.concat_ws(":", *place)) % 20
+    text = F.coalesce("text", F.lit(" "))
+    return conversations.select(
+        "conv_id",
+        "turn",
+        F.when(kind == 4, "user").otherwise(F.coalesce("role", F.lit(" "))).alias("role"),
+        F.when(kind == 1, "").when(kind == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text).alias("text"),
+        F.when(kind == 0, 0).when(kind == 3, 2).otherwise(1).alias("copies"),
+    )
+
+
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return convrepair.Repair(damaged(read(spark, sf_dir, "conversations"))).digests()
+
+
 def with_planted_runs(docs: DataFrame) -> DataFrame:
     """``doc_id, text``; every tenth text, by the CRC-32 of its id, repeats a piece of itself up to its end."""
     crc = F.crc32(F.col("doc_id").cast("string"))
@@ -100,6 +118,7 @@ QUERIES = {
     "op7_line_dedup": op7_line_dedup,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
+    "op11_conversation_repair": op11_conversation_repair,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_exact_dedup": op13_exact_dedup,
 }
@@ -111,6 +130,7 @@ ORACLES = {
     "op7_line_dedup": oracles.LINE_DEDUP,
     "op8_minhash_near_dedup": oracles.NEAR_DUPLICATES,
     "op10_benchmark_decontamination": oracles.DECONTAMINATION,
+    "op11_conversation_repair": oracles.CONVERSATION_REPAIR,
     "op12_periodic_runs": oracles.PERIODIC_RUNS,
     "op13_exact_dedup": oracles.EXACT_DEDUP,
 }
