@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("billing", "primitives", "inventory", "detectors", "metrics", "dashboards", "streams")
+FAMILIES = ("billing", "primitives", "inventory", "detectors", "metrics", "dashboards", "streams", "series")
 
 
 def all_queries() -> dict:

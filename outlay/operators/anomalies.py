@@ -66,6 +66,25 @@ def score(series: DataFrame, baseline_days: int = 30) -> DataFrame:
     )
 
 
+def verdicts(scored: DataFrame, z_threshold: float, min_abs_delta: float, min_n: int, flag_zero_variance: bool) -> DataFrame:
+    """The scored days that leave their baseline, with z-score and direction."""
+    delta = F.col("net_cost").cast("double") - F.col("baseline_mean")
+    z = ratio(delta, F.nullif(F.col("baseline_stddev"), F.lit(0.0)))
+    unusual = F.abs(z) >= z_threshold
+    if flag_zero_variance:
+        unusual = unusual | (F.col("baseline_stddev") == 0)
+    return scored.filter((F.col("baseline_n") >= min_n) & unusual & (F.abs(delta) >= min_abs_delta)).select(
+        "usage_date",
+        *KEYS,
+        dmoney(F.col("net_cost")).alias("net_cost"),
+        rounded(F.col("baseline_mean")).alias("baseline_mean"),
+        rounded(F.col("baseline_stddev")).alias("baseline_stddev"),
+        rounded(z).alias("z_score"),
+        rounded(delta).alias("abs_delta"),
+        F.when(delta > 0, "spike").otherwise("drop").alias("direction"),
+    )
+
+
 def daily_anomalies(
     lines: DataFrame,
     as_of: dt.date,
@@ -91,18 +110,4 @@ def daily_anomalies(
     daily = daily_cost(base.filter(usage_day() >= day_lit(first)))
     scored = score(densify_daily(daily, KEYS, day_lit(first), day_lit(target)), baseline_days)
     scored = scored.filter(F.col("usage_date") >= day_lit(score_since or target))
-    delta = F.col("net_cost").cast("double") - F.col("baseline_mean")
-    z = ratio(delta, F.nullif(F.col("baseline_stddev"), F.lit(0.0)))
-    unusual = F.abs(z) >= z_threshold
-    if flag_zero_variance:
-        unusual = unusual | (F.col("baseline_stddev") == 0)
-    return scored.filter((F.col("baseline_n") >= min_n) & unusual & (F.abs(delta) >= min_abs_delta)).select(
-        "usage_date",
-        *KEYS,
-        dmoney(F.col("net_cost")).alias("net_cost"),
-        rounded(F.col("baseline_mean")).alias("baseline_mean"),
-        rounded(F.col("baseline_stddev")).alias("baseline_stddev"),
-        rounded(z).alias("z_score"),
-        rounded(delta).alias("abs_delta"),
-        F.when(delta > 0, "spike").otherwise("drop").alias("direction"),
-    )
+    return verdicts(scored, z_threshold, min_abs_delta, min_n, flag_zero_variance)

@@ -14,6 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 from outlay import fixed
 from outlay.operators.billing import service_name, line_net, project_or_account
 from outlay.operators.metrics import ALIGNERS, REDUCERS
+from outlay.operators.series import DailySeries
 from outlay.plans.budgets import budget_alerts
 from outlay.sinks import overwrite_partitions
 from outlay.sources.billing import regular_only
@@ -33,14 +34,19 @@ def _priced(lines: DataFrame, late: str) -> DataFrame:
     )
 
 
+def daily_sums(lines: DataFrame, late: str = LATE) -> DataFrame:
+    """Exact net cost per day window, project and service; a day is emitted once no row of it is awaited."""
+    day = F.window("usage_start_time", "1 day")
+    return _priced(lines, late).groupBy(day.alias("day"), "project_id", "service").agg(F.sum("net").alias("net"))
+
+
 def daily_rollup(lines: DataFrame, late: str = LATE) -> DataFrame:
-    """Net cost per day, project and service; a day is emitted once no row of it is awaited.
+    """``daily_sums`` in report precision.
 
-    Rows later than ``late`` are dropped here and picked up by restating the day in batch.
+    Rows later than ``late`` are dropped here and picked up by restating the day in batch
+    (``start_series`` and ``DailySeries.update``).
     """
-    day = F.window("usage_start_time", "1 day")
-    grouped = _priced(lines, late).groupBy(day.alias("day"), "project_id", "service").agg(F.sum("net").alias("net"))
-    return grouped.select(
+    return daily_sums(lines, late).select(
         F.to_date("day.start").alias("usage_date"), "project_id", "service", F.round("net", 2).cast("double").alias("net_cost")
     )
 
@@ -109,6 +115,25 @@ def start_append(df: DataFrame, path: str, checkpoint: str, partition_by: str |
     return writer.trigger(availableNow=True).start(path)
 
 
+def start_series(lines: DataFrame, series: DailySeries, checkpoint: str, late: str = LATE) -> StreamingQuery:
+    """Closed days of the stream into the daily series, which batch runs then restate.
+
+    All keys of a day close in one batch, so each batch replaces whole days and may be repeated.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        # The days that close in one batch.
+        days = sorted(r[0] for r in batch.select(F.to_date("day.start")).distinct().collect())
+        if days:
+            stated = batch.select(
+                "project_id", "service", F.col("net").cast("decimal(38,10)").alias("net_cost"), F.col("day.end").cast("timestamp_ntz").alias("stated_at"), F.to_date("day.start").alias("usage_date")
+            )
+            series.replace(stated, days)
+
+    sums = daily_sums(lines, late)
+    return sums.writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
+
+
 def start_alerts(df: DataFrame, path: str, checkpoint: str, keys: tuple[str, ...] = ("usage_date", "project_id")) -> StreamingQuery:
     """Fire each alert once, in the batch that crosses the limit.
 

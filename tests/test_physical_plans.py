@@ -6,9 +6,10 @@ import re
 import pytest
 from test_billing import line
 
-from __spark_entry__ import queries
 from outlay import schemas
+from outlay.catalog import all_queries as queries
 from outlay.functions.labels import has_label
+from outlay.functions.money import MONEY
 from outlay.operators import billing
 
 SF = "/root/testdata/sf0.001"
@@ -38,7 +39,7 @@ def test_partition_and_column_pruning(export):
     # Of the credits only the amounts are read.
     assert "credits:array<struct<amount:decimal(28,10)>>" in schema
     for run in (billing.credits_breakdown, billing.commitment_coverage):
-        assert "credits:array<struct<type:string,amount:decimal(18,4)>>" in plan(run(export, AS_OF))
+        assert f"credits:array<struct<type:string,amount:{MONEY}>>" in plan(run(export, AS_OF))
     assert "labels:array<struct<key:string>>" in plan(lines_with_key(export))
 
 
@@ -82,9 +83,11 @@ def test_view_between_days_prunes(export):
 def test_back_fill_bounds_its_partitions(export):
     from outlay.operators import anomalies
 
-    text = plan(anomalies.daily_anomalies(export, AS_OF, score_since=dt.date(2026, 9, 1)))
+    since, baseline_days, clock_days = dt.date(2026, 9, 1), 30, 4
+    text = plan(anomalies.daily_anomalies(export, AS_OF, baseline_days=baseline_days, score_since=since))
     filters = re.findall(r"PartitionFilters: \[(.*?)\]\n", text)
-    assert filters and all("2026-07-27" in f for f in filters)
+    earliest = since - dt.timedelta(days=baseline_days + 1 + clock_days)
+    assert filters and all(f">= {earliest}" in f for f in filters)
 
 
 def test_every_scan_of_the_query_log_is_bounded(spark):
