@@ -23,24 +23,24 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     return f"{base.rstrip('/')}/outlay/{purpose}-{uuid.uuid4().hex}"
 
 
-def overwrite_partitions(df: DataFrame, path: str, partition: str, fmt: str = "parquet") -> None:
+def overwrite_partitions(df: DataFrame, path: str, *partitions: str, fmt: str = "parquet") -> None:
     """Replace only the partitions that occur in ``df``, so that a repeated run changes nothing.
 
     The rebalance gathers each partition into few files and splits it where it is large.
     """
-    df.hint("rebalance", partition).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).format(fmt).save(path)
+    df.hint("rebalance", *partitions).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).format(fmt).save(path)
 
 
 def write_findings(findings: DataFrame, path: str, run_date: dt.date, fmt: str = "json") -> None:
     """Findings with their fields in name order, one partition per run."""
     ordered = findings.select(*sorted(findings.columns), F.lit(run_date).alias("run_date"))
-    overwrite_partitions(ordered, path, "run_date", fmt)
+    overwrite_partitions(ordered, path, "run_date", fmt=fmt)
 
 
 def write_report(report: DataFrame, base: str, name: str, run_date: dt.date, fmt: str = "parquet") -> str:
     """A report table below its run date; returns the path of the table."""
     path = f"{base}/{name}"
-    overwrite_partitions(report.withColumn("run_date", F.lit(run_date)), path, "run_date", fmt)
+    overwrite_partitions(report.withColumn("run_date", F.lit(run_date)), path, "run_date", fmt=fmt)
     return path
 
 

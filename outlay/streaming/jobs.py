@@ -6,9 +6,10 @@ watermark.  Streams run with ``availableNow`` over files or continuously over an
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from outlay import fixed
@@ -16,10 +17,12 @@ from outlay.operators.billing import service_name, line_net, project_or_account
 from outlay.operators.metrics import ALIGNERS, REDUCERS
 from outlay.operators.series import DailySeries
 from outlay.plans.budgets import budget_alerts
-from outlay.sinks import overwrite_partitions
 from outlay.sources.billing import regular_only
+from outlay.streaming.fired import FiredAlerts
 
 LATE = "3 days"
+# More than the longest month and less than the two shortest ones together.
+MONTH_LATE = "32 days"
 
 
 def _priced(lines: DataFrame, late: str) -> DataFrame:
@@ -84,26 +87,32 @@ def align_reduce_stream(
     return reduced.select(*group_by, F.col("w.start").alias("period"), "value")
 
 
-def month_spend(lines: DataFrame) -> DataFrame:
+def month_spend(lines: DataFrame, late: str = MONTH_LATE) -> DataFrame:
     """Running spend per month and project with its linear forecast, for update mode.
 
-    The state is one row per project and month.
+    The state is one row per project and month.  The watermark lies on the end of the month: a month
+    stays open while lines of it or of the next one arrive, and its state goes with the first lines of the
+    month after.  Later ones are left to restatement.
     """
     start = F.col("usage_start_time")
     sums = (
         regular_only(lines)
         .select(
-            F.date_format(start, "yyyyMM").alias("month"),
+            F.date_add(F.last_day(start), 1).cast("timestamp").alias("month_end"),
             project_or_account().alias("project_id"),
             F.to_date(start).alias("day"),
             line_net().alias("net"),
         )
-        .groupBy("month", "project_id")
+        .withWatermark("month_end", late)
+        .groupBy("month_end", "project_id")
         .agg(F.sum("net").alias("actual"), F.max("day").alias("last_day"))
     )
     days = F.day(F.last_day("last_day"))
     return sums.select(
-        "month", "project_id", "actual", (F.col("actual").cast("double") / F.day("last_day") * days).alias("forecast")
+        F.date_format("last_day", "yyyyMM").alias("month"),
+        "project_id",
+        "actual",
+        (F.col("actual").cast("double") / F.day("last_day") * days).alias("forecast"),
     )
 
 
@@ -134,48 +143,21 @@ def start_series(lines: DataFrame, series: DailySeries, checkpoint: str, late: s
     return sums.writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
 
 
-def start_alerts(df: DataFrame, path: str, checkpoint: str, keys: tuple[str, ...] = ("usage_date", "project_id")) -> StreamingQuery:
-    """Fire each alert once, in the batch that crosses the limit.
-
-    Each batch is a partition of its own, so that a repeated batch replaces itself; what has fired is
-    read from the partitions of earlier batches only.
-    """
-    schema = T.StructType([*df.schema.fields, T.StructField("batch_id", T.LongType())])
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        if batch_id > 0:
-            fired = batch.sparkSession.read.schema(schema).parquet(path).filter(F.col("batch_id") < batch_id)
-            batch = batch.join(fired.select(*keys), list(keys), "left_anti").select(*batch.columns)
-        overwrite_partitions(batch.withColumn("batch_id", F.lit(batch_id)), path, "batch_id")
-
+def _start_alerts(df: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
     return df.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
 
 
-def start_budget_alerts(spark: SparkSession, lines: DataFrame, budget: float, path: str, checkpoint: str) -> StreamingQuery:
-    """Fire each (month, project, basis, threshold) once.
-
-    What has fired is the output table itself, read without the batch in hand, so that a repeated
-    batch decides as it did the first time.
-    """
-    schema = "month string, project_id string, basis string, threshold double, batch_id bigint"
+def start_alerts(df: DataFrame, path: str, checkpoint: str, keys: tuple[str, ...] = ("usage_date", "project_id")) -> StreamingQuery:
+    """Fire each alert once, in the batch that crosses the limit; the first key is the alert's day."""
+    return _start_alerts(df, FiredAlerts(path, df.schema, keys, F.date_format(keys[0], "yyyyMM")).write, checkpoint)
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        session, fired = batch.sparkSession, None
-        if batch_id > 0:
-            table = session.read.schema(schema).parquet(path).filter(F.col("batch_id") < batch_id)
-            fired = table.select("month", "project_id", "basis", "threshold")
-        alerts = budget_alerts(batch, budget, fired)
-        # A batch without alerts writes no file, and the first one creates the folder.
-        overwrite_partitions(alerts.withColumn("batch_id", F.lit(batch_id)), path, "batch_id")
 
-    return (
-        month_spend(lines)
-        .writeStream.outputMode("update")
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .foreachBatch(write)
-        .start()
-    )
+def start_budget_alerts(spark: SparkSession, lines: DataFrame, budget: float, path: str, checkpoint: str, late: str = MONTH_LATE) -> StreamingQuery:
+    """Fire each (month, project, basis, threshold) once."""
+    spend = month_spend(lines, late)
+    keys = ("month", "project_id", "basis", "threshold")
+    fired = FiredAlerts(path, budget_alerts(spend, budget).schema, keys, F.col("month"))
+    return _start_alerts(spend, lambda batch, batch_id: fired.write(budget_alerts(batch, budget), batch_id), checkpoint)
 
 
 def finish(query: StreamingQuery) -> None:

@@ -1,8 +1,10 @@
 """Streams equal the batch answer, late rows are dropped, alerts fire once; sinks are idempotent."""
 
 import datetime as dt
+import glob
 
 import pytest
+from pyspark.sql import functions as F
 from test_billing import line
 
 from outlay import schemas, sinks
@@ -146,3 +148,86 @@ def test_document_files(spark, tmp_path):
     assert [tuple(r) for r in documents.load_prices(spark, str(tmp_path / "prices.json")).collect()] == [("gcs", "standard_gb_month", 0.5)]
     (tmp_path / "pools.conf").write_text("# c\n\np  c  l  general  2\n")
     assert [r["day_count"] for r in documents.load_pools(spark, str(tmp_path / "pools.conf")).collect()] == [2]
+
+
+def test_alert_state_stays_bounded_over_many_batches(spark, feed, tmp_path, monkeypatch):
+    from outlay.streaming import fired
+
+    out, check = str(tmp_path / "out"), str(tmp_path / "check")
+    asked = []
+    of_periods = fired.FiredAlerts.of_periods
+
+    def counted(self, session, periods, before=None):
+        files = [f for p in periods for f in glob.glob(f"{self.path}/state/period={p}/**/*.parquet", recursive=True)]
+        asked.append((sorted(periods), len(files)))
+        return of_periods(self, session, periods, before)
+
+    monkeypatch.setattr(fired.FiredAlerts, "of_periods", counted)
+    # Twenty batches over five months; two projects pass their thresholds at different times.
+    for i in range(20):
+        feed.add(day(7 * i, cost="260"), day(7 * i, cost=str(40 + i), project="p2"))
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        query = jobs.start_budget_alerts(spark, feed.stream(), 1000.0, out, check)
+        jobs.finish(query)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    rows = spark.read.parquet(out).collect()
+    keys = [(r["month"], r["project_id"], r["basis"], r["threshold"]) for r in rows]
+    assert len(keys) == len(set(keys)) and len({k[0] for k in keys}) >= 5
+    batches = [p for p in query.recentProgress if p["numInputRows"]]
+    assert len(batches) == 20 and len(asked) >= 20
+    # A batch reads one month, in two slots of one file, however many batches ran.
+    assert max(len(p) for p, _ in asked) == 1 and max(n for _, n in asked) <= 2
+    kept = [p["stateOperators"][0]["numRowsTotal"] for p in batches]
+    assert max(kept) <= 6 and kept[-1] <= 4
+    state = spark.read.parquet(f"{out}-fired/state")
+    assert state.groupBy("period", "slot").count().count() <= 2 * 6
+
+
+@pytest.mark.parametrize("lost", ["out", "batch", "state"])
+def test_lost_alert_batch_decides_as_before(spark, tmp_path, monkeypatch, lost):
+    from outlay.streaming import fired
+
+    schema = "usage_date date, project_id string, net_cost double"
+    frame = lambda *rows: spark.createDataFrame(list(rows), schema)
+    table = fired.FiredAlerts(str(tmp_path / "out"), frame().schema, ("usage_date", "project_id"), F.date_format("usage_date", "yyyyMM"))
+    feed = lambda: sorted((r["project_id"], r["net_cost"], r["batch_id"]) for r in spark.read.parquet(table.feed).collect())
+    table.write(frame((DAY, "a", 1.0)), 0)
+    write = fired.overwrite_partitions
+
+    def lose(df, path, *partitions):
+        if path.endswith(lost):
+            raise OSError("lost")
+        write(df, path, *partitions)
+
+    monkeypatch.setattr(fired, "overwrite_partitions", lose)
+    second = frame((DAY, "a", 5.0), (DAY, "b", 2.0), (DAY + dt.timedelta(days=1), "a", 3.0))
+    with pytest.raises(OSError):
+        table.write(second, 1)
+    monkeypatch.undo()
+    for _ in range(2):
+        table.write(second, 1)
+    assert feed() == [("a", 1.0, 0), ("a", 3.0, 1), ("b", 2.0, 1)]
+    table.write(frame(), 2)
+    table.write(frame((DAY, "b", 9.0), (DAY, "c", 4.0)), 3)
+    assert feed() == [("a", 1.0, 0), ("a", 3.0, 1), ("b", 2.0, 1), ("c", 4.0, 3)]
+
+
+def test_closed_months_take_no_more_lines(spark, feed, tmp_path):
+    out, check = str(tmp_path / "out"), str(tmp_path / "check")
+    run = lambda: jobs.finish(jobs.start_budget_alerts(spark, feed.stream(), 1000.0, out, check))
+    feed.add(day(0, cost="100"))
+    run()
+    feed.add(day(35, cost="100"))
+    run()
+    # The month before is still open; the one before that is not.
+    feed.add(day(20, cost="950"))
+    run()
+    feed.add(day(70, cost="1"))
+    run()
+    feed.add(day(10, cost="5000", project="late"))
+    run()
+    got = {(r["month"], r["project_id"]) for r in spark.read.parquet(out).collect()}
+    assert ("202609", "p1") in got and ("202609", "late") not in got
