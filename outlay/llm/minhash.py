@@ -11,12 +11,12 @@ Steps, all between Spark shuffles:
 1. One pass over the texts gives each document its set size, set fingerprint and sub-keys. Documents
    with equal sets form a class; from here on a class is one node, named by its smallest doc_id, so
    thousands of copies cost one row.
-2. Sub-keys that no second class has are dropped before pairs of sub-keys are formed; most documents
-   end here. Tables hold the rest; tables with the same members count once.
-3. Rounds: each table member is verified against a pivot of its table, on the full sets. Members that
-   are connected by then need no further test; the others are tried against all members of other
-   components that a prefix filter, which is exact, does not rule out. A group of near copies thus costs
-   about a test for each member, and no link between components is lost.
+2. Sub-keys that no second class has are dropped; most documents end here.
+3. Rounds: each document is verified against a pivot of its sub-keys, on the full sets. Tables, the pairs
+   of sub-keys, are formed only where several components still meet in both sub-keys, so a group of near
+   copies costs about a test for each member and no table. Members of such tables are tried against
+   their pivots, and the rest against all members of other components that a prefix filter, which is
+   exact, does not rule out. No link between components is lost.
 
 Defined cases: NULL and empty texts and texts without words have an empty set and are linked with
 nothing; with fewer words than a shingle the whole sequence is the only one. Rows with one doc_id are one
@@ -124,16 +124,38 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", inter.alias("i"), "na", "nb").select("a", "b", (100 * F.col("i") >= percent * (F.col("na") + F.col("nb") - F.col("i"))).alias("linked"))
 
 
-def tables(classes: DataFrame, per_side: int) -> DataFrame:
-    """``table, node`` of the tables with several members, each membership once."""
+def shared_keys(classes: DataFrame, per_side: int) -> DataFrame:
+    """``node, slot, key`` of the sub-keys with several classes, of nodes that have such on both sides.
+
+    Only these nodes can meet another one in a table.
+    """
     keys = classes.select("node", F.posexplode("keys").alias("slot", "key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    alive = keys.join(shared, "key").groupBy("node").agg(F.collect_list(F.struct("slot", "key")).alias("keys"))
+    alive = keys.join(shared, "key")
+    sides = alive.groupBy("node").agg(F.min("slot").alias("first"), F.max("slot").alias("last"))
+    return alive.join(sides.where((F.col("first") < per_side) & (F.col("last") >= per_side)).select("node"), "node")
+
+
+def open_tables(keys: DataFrame, found: DataFrame, per_side: int) -> DataFrame:
+    """``table, node`` of the tables that hold several of the components ``found``, each membership once.
+
+    The members of a table share both its sub-keys, so one of a single component rules out all its tables;
+    what is then left of the tables is aggregated before anything is joined to them.
+    """
+    named = keys.join(found, "node", "left").select("node", "slot", "key", F.coalesce("component", "node").alias("component"))
+    named = materialise(named, "named")
+
+    def mixed(rows: DataFrame, by: str) -> DataFrame:
+        return rows.groupBy(by).agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select(by)
+
+    left = named.join(mixed(named, "key"), "key").groupBy("node", "component").agg(F.collect_list(F.struct("slot", "key")).alias("keys"))
     side = [F.filter("keys", lambda x: x.slot < per_side), F.filter("keys", lambda x: x.slot >= per_side)]
-    paired = alive.select("node", side[0].alias("u"), side[1].alias("v")).select("node", F.explode("u.key").alias("u"), "v").select("node", "u", F.explode("v.key").alias("v"))
-    members = materialise(paired.select("node", F.xxhash64("u", "v").alias("table")), "tables")
+    paired = left.select("node", "component", side[0].alias("u"), side[1].alias("v")).select("node", "component", F.explode("u.key").alias("u"), "v").select("node", "component", "u", F.explode("v.key").alias("v"))
+    members = paired.select("node", "component", F.xxhash64("u", "v").alias("table"))
+    members = materialise(members.join(mixed(members, "table"), "table").select("table", "node"), "tables")
+    # Tables with the same members count once.
     stats = members.groupBy("table").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("check"))
-    once = stats.where("n > 1").groupBy("n", "low", "check").agg(F.min("table").alias("table")).select("table")
+    once = stats.groupBy("n", "low", "check").agg(F.min("table").alias("table")).select("table")
     return members.join(once, "table")
 
 
@@ -180,32 +202,36 @@ def prefix_pairs(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     return met.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
 
 
-def near_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def near_links(keys: DataFrame, sets: DataFrame, percent: int, per_side: int) -> DataFrame:
     """``a, b``: verified links that connect whatever the links within the tables connect.
 
-    The pivot of a table is its member with the most tables. Round 1 tries each node against the best
-    of its pivots, round 2 against those of all its tables that it is not connected with yet. Round 3
-    tries what is left between different components, of tables that still have several, as far as
-    exact bounds allow a link.
+    The pivot of a sub-key or table is its member with the most of them. Round 1 tries each node against
+    the best pivot of its sub-keys; a group of near copies is connected after it, and so has no open
+    table. Round 2 tries the members of open tables against the pivots of those they are not connected with
+    yet. Round 3 tries what is left between different components, of tables that still have several, as
+    far as exact bounds allow a link.
     """
 
-    def labelled(links: DataFrame) -> DataFrame:
-        found = materialise(components(links), "components")
-        named = members.join(found, "node", "left").select("table", "node", F.coalesce("component", "node").alias("component"))
-        mixed = named.groupBy("table").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-        return materialise(named.join(mixed.select("table"), "table"), "labelled")
+    def ranked_pivots(rows: DataFrame, by: str) -> DataFrame:
+        # A node that meets others at many places is close to many, as the origin of a group of copies is.
+        degree = rows.groupBy("node").agg(F.count("*").alias("degree"))
+        ranked = rows.join(degree, "node").withColumn("rank", F.struct("degree", (-F.col("node")).alias("low")))
+        return ranked.groupBy(by).agg(F.max("rank").alias("rank"))
 
     def ordered(pairs: DataFrame, x: str, y: str) -> DataFrame:
         return pairs.where(F.col(x) != F.col(y)).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
 
-    # A node that meets others in many tables is close to many, as the origin of a group of copies is.
-    degree = members.groupBy("node").agg(F.count("*").alias("degree"))
-    ranked = members.join(degree, "node").withColumn("rank", F.struct("degree", (-F.col("node")).alias("low")))
-    pivots = ranked.groupBy("table").agg(F.max("rank").alias("rank"))
-    pivots = materialise(pivots.select("table", (-F.col("rank.low")).alias("pivot"), "rank"), "pivots")
-    tried = members.join(pivots, "table").groupBy("node").agg(F.max("rank").alias("rank"))
-    done = materialise(verified(ordered(tried.select("node", (-F.col("rank.low")).alias("pivot")), "node", "pivot"), sets, percent), "verified")
+    best = keys.join(ranked_pivots(keys, "key"), "key").groupBy("node").agg(F.max("rank").alias("rank"))
+    done = materialise(verified(ordered(best.select("node", (-F.col("rank.low")).alias("pivot")), "node", "pivot"), sets, percent), "verified")
     links = done.where("linked").select("a", "b")
+    members = materialise(open_tables(keys, components(links), per_side), "members")
+    pivots = materialise(ranked_pivots(members, "table").select("table", (-F.col("rank.low")).alias("pivot")), "pivots")
+
+    def labelled(links: DataFrame) -> DataFrame:
+        found = materialise(components(links), "components")
+        named = members.join(found, "node", "left").select("table", "node", F.coalesce("component", "node").alias("component"))
+        mixed = named.groupBy("table").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
+        return materialise(named.join(mixed.select("table"), "table"), "labelled")
 
     open_ = labelled(links)
     own = open_.join(pivots.select("table", F.col("pivot").alias("node")), ["table", "node"]).select("table", F.col("node").alias("pivot"), F.col("component").alias("own"))
@@ -238,11 +264,11 @@ def grouped(docs: DataFrame, k: int, percent: int, per_side: int, rows: int) ->
     firsts = named.join(classes, "cls").where("doc_id = node")
     # One row for each class, also where a document is repeated.
     firsts = firsts.groupBy("cls", "node").agg(F.any_value("keys").alias("keys"))
-    members = materialise(tables(firsts, per_side), "members")
-    wanted = materialise(members.select("node").distinct(), "wanted")
+    keys = materialise(shared_keys(firsts, per_side), "keys")
+    wanted = materialise(keys.select("node").distinct(), "wanted")
     texts = docs.select(F.col("doc_id").alias("node"), "text").join(wanted, "node", "left_semi")
     sets = materialise(shingle_sets(texts, k), "sets")
-    found = materialise(components(near_links(members, sets, percent)), "components")
+    found = materialise(components(near_links(keys, sets, percent, per_side)), "components")
     # Classes that share a doc_id are one document, and so one node.
     by_class = classes.join(found, "node", "left").select("cls", F.coalesce("component", "node").alias("component"))
     out = signed.drop("keys").join(by_class, "cls", "left")
