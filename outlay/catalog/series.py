@@ -6,10 +6,12 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from outlay import sinks
+from outlay import fixed, sinks
 from outlay.binding import tables as b
 from outlay.functions.dates import months_back
 from outlay.functions.money import dmoney
+from outlay.operators import metrics as m
+from outlay.operators.quantiles import QuantileStore, rank_error, within_rank_error
 from outlay.operators.series import DailySeries
 
 QUERIES = {}
@@ -52,3 +54,22 @@ def _(spark, sf):
         found = series.anomalies(as_of)
         sinks.append_anomalies(found, feed)
     return spark.read.schema(found.schema).parquet(feed)
+
+
+@query("T_nrp_sketches")
+def _(spark, sf):
+    """Nearest-rank percentiles of the lookback from daily sketches, and their true ranks."""
+    points = m.gauge_last(m.metric(m.real_containers(b.samples(spark, sf)), fixed.M_MEM_WORKING_SET), m.SERIES)
+    store = QuantileStore(spark, sinks.shared_folder(spark, "quantiles"), m.SERIES)
+    last = b.METRIC_NOW.date() - dt.timedelta(days=1)
+    first = last - dt.timedelta(days=13)
+    # Two loads, the second of which states some days again.
+    store.write_days(points, first, last - dt.timedelta(days=3))
+    store.write_days(points, last - dt.timedelta(days=5), last)
+    found = store.quantiles(first, last, p95=0.95)
+    inside = points.filter((F.col("grid") >= F.lit(first)) & (F.col("grid") < F.lit(last + dt.timedelta(days=1))))
+    series = store.series
+    # Three times the error of 99 cases in 100, so that no series of many leaves it by chance.
+    checked = within_rank_error(inside, found, series, 0.95, "p95", 3 * rank_error(store.k))
+    exact = F.when(F.col("n") <= store.k, F.col("p95")).alias("p95")
+    return found.select(*series, "highest", exact).join(checked, series).drop("metric")

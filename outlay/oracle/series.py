@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from outlay.oracle.billing import AS_OF, LINES, anomalies, d
+from outlay.oracle.metrics import _MEMP, BASE, S
 
 ORACLE: dict[str, str] = {
     "S1_restated_rollup": f"""WITH {LINES},
@@ -12,4 +13,6 @@ SELECT usage_date, pid AS project_id, service, {d('SUM(net)')} AS net_cost,
     "SNK3_incremental_anomalies": " UNION ALL ".join(
         f"SELECT * FROM ({anomalies(None).replace(AS_OF, f'({AS_OF} - {ago})')})" for ago in range(10)
     ),
+    "T_nrp_sketches": f"""WITH {BASE}, {_MEMP} SELECT {S}, MAX(v) AS highest, CASE WHEN COUNT(*) <= 400 THEN quantile_disc(v, 0.95) END AS p95, COUNT(*) AS n, TRUE AS within
+FROM g WHERE grid >= DATE '2024-01-17' AND grid < DATE '2024-01-31' GROUP BY ALL""",
 }
