@@ -8,11 +8,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from outlay import sinks
+from outlay import fixed, sinks
 from outlay.binding import tables as b
 from outlay.catalog import inventory
+from outlay.catalog.metrics import SPARSE
 from outlay.functions.money import rounded
 from outlay.operators import anomalies, findings
+from outlay.operators import metrics as m
 from outlay.streaming import jobs
 
 QUERIES = {}
@@ -68,6 +70,27 @@ def _(spark, sf):
     return out.select("namespace", F.col("period").cast("timestamp_ntz").alias("period"), rounded(F.col("value"), 4).alias("value"))
 
 
+@query("T_rate_stream")
+def _(spark, sf):
+    """Rates of raw counters on a stream, of the cells that its end closes."""
+    folder = sinks.shared_folder(spark, "rates")
+    scrapes = m.real_containers(
+        stream_of(spark, sf, "events").selectExpr(
+            f"'{fixed.M_CPU_USAGE}' as metric",
+            "'main' as cluster",
+            "event_type as namespace",
+            "concat('svc', user_id % 10, '-rs', user_id % 3, '-p', user_id) as pod",
+            "case when user_id % 25 = 24 then 'POD' when user_id % 25 = 23 then '' else 'app' end as container",
+            "cast(ts as timestamp) as ts",
+            "cast(value as double) as value",
+        )
+    )
+    rates = jobs.counter_rate_stream(scrapes, m.SERIES, max_gap=SPARSE)
+    jobs.finish(jobs.start_append(rates, f"{folder}/table", f"{folder}/checkpoint"))
+    out = spark.read.schema(rates.schema).parquet(f"{folder}/table")
+    return out.select(*m.SERIES, F.col("grid").cast("timestamp_ntz").alias("grid"), rounded(F.col("value"), 6).alias("value"))
+
+
 @query("SNK1_findings_sink")
 def _(spark, sf):
     path = sinks.shared_folder(spark, "findings")

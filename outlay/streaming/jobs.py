@@ -6,10 +6,14 @@ watermark.  Streams run with ``availableNow`` over files or continuously over an
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import datetime as dt
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming import StreamingQuery
 
 from outlay import fixed
@@ -87,6 +91,59 @@ def align_reduce_stream(
     return reduced.select(*group_by, F.col("w.start").alias("period"), "value")
 
 
+COUNTER_STATE = "grid bigint, value double, ts array<bigint>, open array<double>"
+
+
+def counter_rate_stream(
+    samples: DataFrame, keys: list[str], seconds: int = 300, late: str = "10 minutes", max_gap: dt.timedelta | None = None
+) -> DataFrame:
+    """``metrics.counter_rate`` on a stream: per-second rate per series and closed cell, for append mode.
+
+    The state of a series is the newest closed cell with its last value, from which the step into the next
+    one is taken, and the scrapes the watermark has not closed yet: those of ``late`` and a cell. Gaps and
+    resets count as in batch; scrapes of closed cells are dropped.
+    """
+    width = seconds * 1_000_000
+    gap = 2 * width if max_gap is None else int(max_gap.total_seconds() * 1_000_000)
+    series = ["metric", *keys]
+
+    def risen(now: float, was: float) -> float:
+        return now if now < was else now - was
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        before, last, times, values = state.get if state.exists else (None, None, [], [])
+        closed = state.getCurrentWatermarkMs() * 1000
+        points = list(zip(times, values))
+        for frame in frames:
+            points += [(t, v) for t, v in zip(frame["us"].tolist(), frame["value"].tolist()) if t - t % width + width > closed]
+        points.sort()
+        out, place = [], 0
+        while place < len(points) and points[place][0] // width * width + width <= closed:
+            grid, start = points[place][0] // width * width, place
+            while place < len(points) and points[place][0] < grid + width:
+                place += 1
+            inside = [v for _, v in points[start:place]]
+            increase = sum(risen(now, was) for was, now in zip(inside, inside[1:]))
+            if before is not None and grid - before > gap:
+                increase = increase if len(inside) > 1 else None
+            elif before is not None:
+                increase += risen(inside[0], last)
+            if increase is not None:
+                out.append((*key, grid, increase / seconds))
+            before, last = grid, inside[-1]
+        left = points[place:]
+        state.update((before, last, [t for t, _ in left], [v for _, v in left]))
+        if left:
+            state.setTimeoutTimestamp(max(left[0][0] // width * width + width, closed + 1000) // 1000)
+        yield pd.DataFrame(out, columns=[*series, "grid", "value"])
+
+    scrapes = samples.filter(F.col("value").isNotNull()).withWatermark("ts", late)
+    scrapes = scrapes.select(*series, "ts", F.unix_micros("ts").alias("us"), "value")
+    schema = T.StructType([*[scrapes.schema[c] for c in series], T.StructField("grid", T.LongType()), T.StructField("value", T.DoubleType())])
+    rates = scrapes.groupBy(*series).applyInPandasWithState(step, schema, COUNTER_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return rates.select(*series, F.timestamp_micros("grid").alias("grid"), "value")
+
+
 def month_spend(lines: DataFrame, late: str = MONTH_LATE) -> DataFrame:
     """Running spend per month and project with its linear forecast, for update mode.
 

@@ -56,7 +56,7 @@ def test_totals_reuse_the_shuffle(export):
 
 
 # Built eagerly: sinks and streams run jobs of their own.
-EAGER = ("S1_", "S2_", "S3_budget_alerts_stream", "S4_", "SNK")
+EAGER = ("S1_", "S2_", "S3_budget_alerts_stream", "S4_", "SNK", "T_rate_stream", "T_nrp_sketches")
 
 
 @pytest.mark.parametrize("name", [n for n in sorted(queries()) if not n.startswith(EAGER)])

@@ -231,3 +231,28 @@ def test_closed_months_take_no_more_lines(spark, feed, tmp_path):
     run()
     got = {(r["month"], r["project_id"]) for r in spark.read.parquet(out).collect()}
     assert ("202609", "p1") in got and ("202609", "late") not in got
+
+
+def test_streamed_counter_rate_equals_batch(spark, tmp_path):
+    from outlay.operators.metrics import counter_rate
+
+    t0, src, out, check = dt.datetime(2026, 9, 1), str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "check")
+    schema = "metric string, pod string, ts timestamp, value double"
+    at = lambda minute: t0 + dt.timedelta(minutes=minute)
+    # Scrapes every two minutes, a reset in the second batch, a gap before the third, one series that ends early.
+    batches = [
+        [("cpu", p, at(m), 3.0 * m) for p in ("a", "b") for m in range(0, 30, 2)],
+        [("cpu", "a", at(m), 3.0 * m if m < 40 else m - 39.0) for m in range(30, 60, 2)] + [("cpu", "a", at(28.5), 85.0)],
+        [("cpu", "a", at(m), float(m)) for m in range(90, 121, 2)] + [("cpu", "b", at(300), 1.0), ("cpu", "b", at(301), None)],
+        [("cpu", "c", at(400), 1.0), ("cpu", "a", at(3), 999.0)],
+    ]
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+        jobs.finish(jobs.start_append(jobs.counter_rate_stream(stream, ["pod"]), out, check))
+    seen = [r for rows in batches for r in rows if r[3] is not None and r[3] != 999.0]
+    points = spark.createDataFrame(seen, schema)
+    closed = at(400) - dt.timedelta(minutes=10)
+    want = [tuple(r) for r in counter_rate(points, ["pod"]).collect() if r["grid"] + dt.timedelta(minutes=5) <= closed]
+    got = [tuple(r) for r in spark.read.parquet(out).collect()]
+    assert sorted(got) == sorted(want) and len(got) > 20
