@@ -11,6 +11,7 @@ from outlay.functions.labels import is_kept, no_users
 from outlay.functions.money import fmt_bytes, fmt_money, price
 from outlay.functions.template import fill
 from outlay.functions.text import machine_vcpus
+from outlay.operators.detectors import Context, register, run_all
 from outlay.operators.findings import details_json, finding, union_all
 
 HOURS = fixed.HOURS_PER_MONTH
@@ -196,25 +197,45 @@ def unused_sql(instances: DataFrame, prices: dict, max_connections: int = 1) ->
     )
 
 
-def analyze(
-    inv: dict[str, DataFrame],
-    prices: dict,
-    now: Column,
-    min_snapshot_age_days: int = 90,
-    min_stopped_days: int = 14,
-    max_sql_connections: int = 1,
-    extra: list[DataFrame] | None = None,
-) -> DataFrame:
-    """Union of all checks; ``extra`` takes further findings relations."""
-    return union_all(
-        [
-            unattached_disks(inv["disks"], prices, now),
-            idle_addresses(inv["addresses"], prices, now),
-            stopped_instances(inv["instances"], prices, now, min_stopped_days),
-            old_snapshots(inv["snapshots"], prices, now, min_snapshot_age_days),
-            empty_node_pools(inv["node_pools"], prices),
-            lbs_without_backends(inv["forwarding_rules"], prices),
-            unused_sql(inv["cloudsql_instances"], prices, max_sql_connections),
-            *(extra or []),
-        ]
-    )
+@register("unattached_disks", ("disks",))
+def _(disks: DataFrame, context: Context) -> DataFrame:
+    return unattached_disks(disks, context.prices, context.now)
+
+
+@register("idle_addresses", ("addresses",))
+def _(addresses: DataFrame, context: Context) -> DataFrame:
+    return idle_addresses(addresses, context.prices, context.now)
+
+
+@register("stopped_instances", ("instances",))
+def _(instances: DataFrame, context: Context) -> DataFrame:
+    return stopped_instances(instances, context.prices, context.now, context.option("min_stopped_days", 14))
+
+
+@register("old_snapshots", ("snapshots",))
+def _(snapshots: DataFrame, context: Context) -> DataFrame:
+    return old_snapshots(snapshots, context.prices, context.now, context.option("min_snapshot_age_days", 90))
+
+
+@register("empty_node_pools", ("node_pools",))
+def _(node_pools: DataFrame, context: Context) -> DataFrame:
+    return empty_node_pools(node_pools, context.prices)
+
+
+@register("lbs_without_backends", ("forwarding_rules",))
+def _(forwarding_rules: DataFrame, context: Context) -> DataFrame:
+    return lbs_without_backends(forwarding_rules, context.prices)
+
+
+@register("unused_sql", ("cloudsql_instances",))
+def _(instances: DataFrame, context: Context) -> DataFrame:
+    return unused_sql(instances, context.prices, context.option("max_sql_connections", 1))
+
+
+def analyze(inv: dict[str, DataFrame], prices: dict, now: Column, extra: list[DataFrame] | None = None, **options: int) -> DataFrame:
+    """Union of the findings of all registered detectors; ``extra`` takes further findings relations.
+
+    Options of the built-in ones: ``min_snapshot_age_days`` (90), ``min_stopped_days`` (14) and
+    ``max_sql_connections`` (1); further ones reach the detectors through their context.
+    """
+    return union_all([*run_all(inv, Context(prices, now, options)), *(extra or [])])
