@@ -202,8 +202,13 @@ def commitment_health(coverage: DataFrame) -> DataFrame:
     )
 
 
-def arrival_lag(lines: DataFrame, settle_days: int = 3) -> DataFrame:
-    """Lines and cost by days between use and export, with what arrives after the horizon."""
+def arrival_lag(lines: DataFrame, settle_days: int = 3, as_of: dt.date | None = None, window_days: int = 90) -> DataFrame:
+    """Lines and cost by days between use and export, with what arrives after the horizon.
+
+    With ``as_of`` only the partitions ingested in the ``window_days`` up to it are read.
+    """
+    if as_of is not None:
+        lines = lines.filter(F.col("ingest_date").between(day_lit(as_of - dt.timedelta(days=window_days)), day_lit(as_of)))
     lag = calendar_days(F.col("usage_start_time"), F.col("export_time"))
     sums = lines.groupBy(lag.alias("lag_days")).agg(F.count(F.lit(1)).alias("lines"), F.sum("cost").alias("cost"))
     return sums.select("lag_days", "lines", dmoney(F.col("cost")).alias("cost"), (F.col("lag_days") > settle_days).alias("beyond_horizon"))

@@ -25,6 +25,8 @@ STEP = "5 minutes"
 STEP_SECONDS = 300.0
 # A series whose last sample is older than this is gone, as in an instant query.
 STALENESS = dt.timedelta(minutes=5)
+# The default time range of a panel that is asked for one.
+PANEL_RANGE = dt.timedelta(hours=24)
 
 
 def metric(samples: DataFrame, *names: str) -> DataFrame:
@@ -40,6 +42,11 @@ def between(samples: DataFrame, now: dt.datetime, lookback: dt.timedelta) -> Dat
     return samples.filter((F.col("ts") >= ts_lit(now - lookback)) & (F.col("ts") < ts_lit(now)))
 
 
+def recent(samples: DataFrame, now: dt.datetime | None, lookback: dt.timedelta) -> DataFrame:
+    """The samples of a panel's time range; all of them where ``now`` is left out."""
+    return samples if now is None else between(samples, now, lookback)
+
+
 def alive(samples: DataFrame, now: dt.datetime, staleness: dt.timedelta = STALENESS) -> DataFrame:
     """The samples an instant query at ``now`` can see."""
     return between(samples, now, staleness)
@@ -221,9 +228,19 @@ def usage_from_samples(
 
 # ------------------------------------------------------------------ cluster panels
 def cluster_totals(
-    samples: DataFrame, resource: str, step: str = STEP, seconds: float = STEP_SECONDS, max_gap: dt.timedelta | None = None
+    samples: DataFrame,
+    resource: str,
+    step: str = STEP,
+    seconds: float = STEP_SECONDS,
+    max_gap: dt.timedelta | None = None,
+    now: dt.datetime | None = None,
+    lookback: dt.timedelta = PANEL_RANGE,
 ) -> DataFrame:
-    """Allocatable, requested and used per cluster and grid cell; ``resource`` is cpu or memory."""
+    """Allocatable, requested and used per cluster and grid cell; ``resource`` is cpu or memory.
+
+    With ``now`` only the samples of the ``lookback`` before it are read.
+    """
+    samples = recent(samples, now, lookback)
     if resource == "cpu":
         names = (fixed.M_ALLOC_CPU, fixed.M_CPU_REQUEST)
         used = counter_rate(metric(real_containers(samples), fixed.M_CPU_USAGE), SERIES, step, seconds, max_gap)
@@ -358,8 +375,9 @@ def blocking_budgets(budgets: DataFrame, now: dt.datetime, staleness: dt.timedel
     return latest.filter(F.col("allowed") == 0).select("cluster", "namespace", "pdb")
 
 
-def label_values(samples: DataFrame, label: str, **chosen: str) -> DataFrame:
-    """Distinct values of a label, restricted by labels already chosen."""
+def label_values(samples: DataFrame, label: str, now: dt.datetime | None = None, lookback: dt.timedelta = PANEL_RANGE, **chosen: str) -> DataFrame:
+    """Distinct values of a label, restricted by labels already chosen and, with ``now``, to the lookback."""
+    samples = recent(samples, now, lookback)
     for name, value in chosen.items():
         samples = samples.filter(F.col(name) == value)
     return samples.select(label).distinct()

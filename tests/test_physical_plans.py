@@ -93,3 +93,19 @@ def test_back_fill_bounds_its_partitions(export):
 def test_every_scan_of_the_query_log_is_bounded(spark):
     text = plan(queries()["Q1_query_rollup"](spark, SF))
     assert text.count("isnotnull(job_id)") == 0 or "creation_time" in text
+
+
+def test_panels_read_their_time_range(spark, export, tmp_path):
+    from outlay.operators import dashboards, metrics
+
+    schema = "metric string, cluster string, namespace string, pod string, container string, node string, ts timestamp, value double"
+    path = str(tmp_path / "samples")
+    spark.createDataFrame([], schema).write.parquet(path)
+    samples, now = spark.read.schema(schema).parquet(path), dt.datetime(2026, 9, 21, 2)
+    panels = [metrics.cluster_totals(samples, r, now=now) for r in ("cpu", "memory")]
+    panels.append(metrics.label_values(samples, "namespace", now=now, cluster="main"))
+    for panel in panels:
+        pushed = re.findall(r"PushedFilters: \[(.*?)\]\n", plan(panel))
+        assert pushed and all("GreaterThanOrEqual(ts,2026-09-20" in f and "LessThan(ts,2026-09-21" in f for f in pushed), pushed
+    text = plan(dashboards.arrival_lag(export, as_of=AS_OF, window_days=30))
+    assert all("2026-08-22" in f and "2026-09-21" in f for f in re.findall(r"PartitionFilters: \[(.*?)\]\n", text))
