@@ -11,8 +11,6 @@ Packing loses nothing. A blob has its words once, the most frequent first, and i
 of them, byte by byte. A context is an n-gram of the order below and shares its row in the arrays. Counts
 take a byte, those from 255 on are kept beside them.
 
-The text counts of shorter n-grams come along, so that the models of shorter orders need no second pass.
-
 Scoring. Workers map the arrays of all shards into memory, so that a process holds no copy and the
 nodes share the pages they read, and look up sorted blocks of hashes. A document's score is the sum of
 log10 probabilities of its words and one end, each given the ``order - 1`` tokens before it:
@@ -23,7 +21,8 @@ with the three discounts of each order from its counts of counts, ``g`` the disc
 uniform distribution over the known words and one unknown below the unigrams.
 
 The shared folder has to be mounted on all nodes. A shard is written under another name and then
-renamed, so a repeated task leaves the same files.
+renamed, so a repeated task leaves the same files. The model knows how many shards it has; a worker that
+sees fewer fails instead of scoring without them.
 
 Edge cases: a NULL text is empty, its only token is the end. Without any training row every token has
 probability 1. Texts are taken whole. Repeated rows count as often as they occur.
@@ -31,6 +30,7 @@ probability 1. Texts are taken whole. Repeated rows count as often as they occur
 
 from __future__ import annotations
 
+import glob
 import os
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -46,9 +46,10 @@ from outlay.llm.shingles import MULTIPLIER, WordHashes, mix, words_of
 
 START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
 RAW, STATS = 0, 99  # kinds of packed rows; n is an n-gram, -n a context of n-grams
-WHOLE = 50  # added to n where shorter n-grams count as often as in the text, not by their left neighbours
+FILES = 200  # added to n in the statistics: how many shards of n-grams were written
 SCHEMA = "level int, kind int, shard int, blob binary, stats array<bigint>"
 EMPTY = np.empty(0, np.uint64)
+FALLBACK = np.array([0, 0.5, 1.0, 1.5])  # discounts of counts 0, 1, 2, 3 and more
 
 
 @dataclass(frozen=True)
@@ -58,14 +59,20 @@ class Model:
     bits: int
     stats: dict[int, list[int]]  # by order: total, types, types counted once, twice, 3, 4 times, 3 or more times
 
+    def files(self) -> dict[int, int]:
+        """How many shards each level has."""
+        return {n - FILES: s[0] for n, s in self.stats.items() if n >= FILES}
+
     def discounts(self, n: int) -> np.ndarray:
         """What is taken from counts of 0, 1, 2, 3 and more."""
         _, _, n1, n2, n3, n4, _ = self.stats.get(n, [0] * 7)
         if not (n1 and n2 and n3 and n4):
-            return np.array([0, 0.5, 1.0, 1.5])
+            return FALLBACK.copy()
         y = n1 / (n1 + 2 * n2)
         d = np.array([0, 1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3])
-        return np.clip(d, 0, [0, 1, 2, 3])
+        # An estimate has to leave something to the count and to the words not seen; counts of counts that
+        # rise give none, and then the fixed one stands in.
+        return np.where((d > 0) & (d < [1, 1, 2, 3]), d, FALLBACK)
 
 
 def pack(words: list[np.ndarray], counts: list[np.ndarray]) -> bytes:
@@ -156,7 +163,7 @@ def grams(block: list[np.ndarray], order: int) -> list[np.ndarray]:
 
 def level_of(kind: int) -> int:
     """A context of n-grams goes where the n-grams one order down go, so that both have one array of hashes."""
-    return kind if kind >= 0 else -kind % WHOLE - 1
+    return kind if kind >= 0 else -kind - 1
 
 
 def rows_of(found: list[tuple]) -> pa.Table:
@@ -213,38 +220,33 @@ def reduced(packed: DataFrame, folder: str, order: int, bits: int) -> DataFrame:
         for kind, blob in zip(kinds, table.column("blob").to_pylist()):
             blobs.setdefault(kind, []).append(blob)
         level = table.column("level")[0].as_py()
-        own, keys, columns, counts = blobs.pop(level, []), EMPTY, [], [EMPTY, EMPTY]
+        own, keys, columns, counts = blobs.pop(level, []), EMPTY, [], EMPTY
         if own:
             width = max(level, 1)
-            columns = unpack(own, width, 2 if 1 < level < order else 1)
-            keys, first, counts = summed(keys_of(columns[:width]), *columns[width:])
+            columns = unpack(own, width, 1)
+            keys, first, (counts,) = summed(keys_of(columns[:width]), columns[width])
             columns = [c[first] for c in columns[:width]]
-        contexts = {}
-        for kind, packed_rows in blobs.items():
+        context, parts = EMPTY, []
+        for packed_rows in blobs.values():
             found = unpack(packed_rows, level, 4)
-            contexts[kind] = summed(keys_of(found[:level]), *found[level:])
+            context, _, parts = summed(keys_of(found[:level]), *found[level:])
         # Contexts of start marks alone are no n-grams.
-        rows = np.unique(np.concatenate([keys, *(c[0] for c in contexts.values())])) if contexts else keys
-        arrays, at = {}, np.searchsorted(rows, keys)
-        for name, c in zip(("counts", "whole"), counts):
-            arrays |= bytes_of(name, spread(at, c, len(rows)))
-        for kind, (context, _, parts) in contexts.items():
-            for i, c in enumerate(parts):
-                arrays |= bytes_of(f"{'whole' if kind < -WHOLE else 'parts'}{i}", spread(np.searchsorted(rows, context), c, len(rows)))
+        rows = np.unique(np.concatenate([keys, context])) if parts else keys
+        arrays = bytes_of("counts", spread(np.searchsorted(rows, keys), counts, len(rows)))
+        for i, c in enumerate(parts):
+            arrays |= bytes_of(f"parts{i}", spread(np.searchsorted(rows, context), c, len(rows)))
         save(folder, f"grams{level}", shard, keys=rows, **arrays)
+        out: list[tuple] = [(STATS, shard, None, [FILES + level, 1, 0, 0, 0, 0, 0, 0])]
         if not own:
-            return rows_of([])
-        out: list[tuple] = []
-        for kind, c in zip((level, WHOLE + level), counts):
-            out.append((STATS, shard, None, [kind, int(c.sum()), len(c), *(int((c == k).sum()) for k in (1, 2, 3, 4)), int((c >= 3).sum())]))
+            return rows_of(out)
+        n = counts
+        out.append((STATS, shard, None, [level, int(n.sum()), len(n), *(int((n == k).sum()) for k in (1, 2, 3, 4)), int((n >= 3).sum())]))
         if level > 1:
-            n = counts[0]
-            above, of, parts = summed(keys_of(columns[:-1]), *(x for c in counts for x in followers(c)))
-            for i, kind in enumerate((-level, -WHOLE - level)[: len(counts)]):
-                out += sharded(kind, above, [c[of] for c in columns[:-1]], parts[4 * i : 4 * i + 4], bits)
+            above, of, parts = summed(keys_of(columns[:-1]), *followers(n))
+            out += sharded(-level, above, [c[of] for c in columns[:-1]], parts, bits)
             # One left neighbour for each distinct n-gram; behind two start marks there is none to count.
             left = np.where((columns[0] == START) & (columns[1] == START), n, np.uint64(1)) if level > 2 else np.ones(len(n), np.uint64)
-            below, of, sums = summed(keys_of(columns[1:]), left, *(counts[-1:] if level > 2 else []))
+            below, of, sums = summed(keys_of(columns[1:]), left)
             out += sharded(level - 1, below, [c[of] for c in columns[1:]], sums, bits)
         return rows_of(out)
 
@@ -271,6 +273,11 @@ class Arrays:
 
     def __init__(self, model: Model):
         self.model = model
+        for level, written in model.files().items():
+            folder = f"{model.folder}/grams{level}"
+            here = len(glob.glob(f"{glob.escape(folder)}/*.keys.npy"))
+            if here < written:
+                raise FileNotFoundError(f"{folder}: {here} of {written} shards of the model are here; is the shared folder mounted?")
         self.open: dict[tuple[str, str, int], np.ndarray | None] = {}
 
     def array(self, name: str, part: str, shard: int) -> np.ndarray | None:
@@ -300,64 +307,51 @@ class Arrays:
                 out[lo + hit, i] = value
         return out
 
-    def probabilities(self, columns: list[np.ndarray], order: int = 0) -> tuple[np.ndarray, np.ndarray]:
-        """Of the last token of each n-gram: its probability, and its count in the training text.
-
-        ``order`` up to that of the model chooses the model of that order; 0 is the highest.
-        """
+    def probabilities(self, columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Of the last token of each n-gram: its probability, and its count in the training text."""
         m = self.model
-        order = order or m.order
         words, back = np.unique(columns[-1], return_inverse=True)
         keys = mix(words)
         by_key = np.argsort(keys)
         raw, count = np.empty(len(words)), np.empty(len(words))
         raw[by_key] = self.get(f"grams{RAW}", keys[by_key], ["counts"])[:, 0]
-        # Words count as in the text if there is no order above them.
-        alone = order == 1 and m.order > 1
-        count[by_key] = raw[by_key] if alone else self.get("grams1", keys[by_key], ["counts"])[:, 0]
-        lowest = RAW if alone else 1
-        total, types, n1, n2, _, _, n3 = m.stats.get(lowest, [0] * 7)
-        d = m.discounts(lowest)
+        count[by_key] = self.get("grams1", keys[by_key], ["counts"])[:, 0]
+        total, types, n1, n2, _, _, n3 = m.stats.get(1, [0] * 7)
+        d = m.discounts(1)
         if total:
             p = (np.maximum(count - d[np.minimum(count, 3).astype(int)], 0) + (d[1:] @ [n1, n2, n3]) / (types + 1)) / total
         else:
             p = np.ones(len(words))
         p = p[back]
-        for n in range(2, order + 1):
-            whole = n == order < m.order
-            d = m.discounts(WHOLE + n if whole else n)
+        for n in range(2, m.order + 1):
+            d = m.discounts(n)
             context = keys_of(columns[-n:-1])
             distinct, back_c = np.unique(context, return_inverse=True)
-            parts = self.get(f"grams{n - 1}", distinct, [f"{'whole' if whole else 'parts'}{i}" for i in range(4)])
+            parts = self.get(f"grams{n - 1}", distinct, [f"parts{i}" for i in range(4)])
             sure = np.maximum(parts[:, 0], 1)
             rest = np.where(parts[:, 0] > 0, parts[:, 1:] @ d[1:] / sure, 1.0)
             gram, back_g = np.unique(mix(context * MULTIPLIER + columns[-1]), return_inverse=True)
-            c = self.get(f"grams{n}", gram, ["whole" if whole else "counts"])[:, 0]
+            c = self.get(f"grams{n}", gram, ["counts"])[:, 0]
             c = np.maximum(c - d[np.minimum(c, 3).astype(int)], 0)[back_g]
             p = c / sure[back_c] + rest[back_c] * p
         return p, raw[back]
 
 
-def score(docs: DataFrame, model: Model, columns: tuple[str, ...] = ("doc_id",), block: int = 400_000, orders: dict[str, int] | None = None) -> DataFrame:
-    """``columns`` of ``docs`` with ``n_tokens, n_known, train_tokens, base_score`` and the scores of every row.
-
-    ``orders`` names the scores and their orders; without it ``score`` is that of the model's order.
-    """
-    orders = orders or {"score": model.order}
-    added = ", ".join(["n_tokens bigint, n_known bigint, train_tokens bigint, base_score double", *(f"{x} double" for x in orders)])
+def score(docs: DataFrame, model: Model, columns: tuple[str, ...] = ("doc_id",), block: int = 400_000) -> DataFrame:
+    """``columns`` of ``docs`` with ``n_tokens, n_known, train_tokens, base_score`` and ``score`` of every row."""
+    added = "n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
     total, types = (model.stats.get(RAW) or [0, 0])[:2]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrays = Arrays(model)
         for tokens, rows in token_blocks(batches, block):
             words = grams(tokens, model.order)
-            found = [arrays.probabilities(words, n) for n in orders.values()]
-            raw = found[0][1]
+            p, raw = arrays.probabilities(words)
             sizes = np.array([len(t) for t in tokens])
             starts = np.cumsum(sizes) - sizes
-            base, known, *scores = [np.add.reduceat(x, starts) for x in (np.log10((raw + 1) / (total + types + 1)), (raw > 0).astype(np.int64), *(np.log10(p) for p, _ in found))]
+            base, known, scores = [np.add.reduceat(x, starts) for x in (np.log10((raw + 1) / (total + types + 1)), (raw > 0).astype(np.int64), np.log10(p))]
             kept = pa.Table.from_batches(rows).select(list(columns))
-            values = [sizes, known, np.full(len(sizes), total), base, *scores]
+            values = [sizes, known, np.full(len(sizes), total), base, scores]
             names = [x.split()[0] for x in added.split(", ")]
             for name, v in zip(names, values):
                 kept = kept.append_column(name, pa.array(v))
@@ -373,10 +367,6 @@ def held_out(doc_id: Column, folds: int = 7, fold: int = 2) -> Column:
 
 
 def score_corpus(docs: DataFrame, order: int = 3) -> DataFrame:
-    """``doc_id, held_out`` and the scores of every row, by a model of the rows that are not held out.
-
-    ``score_full`` is that of the whole order, ``score`` that of bigrams, both from one counting.
-    """
+    """``doc_id, held_out`` and the scores of every row, by a model of the rows that are not held out."""
     marked = docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out"))
-    model = train(marked.where(~F.col("held_out")), order)
-    return score(marked, model, ("doc_id", "held_out"), orders={"score": min(order, 2), "score_full": order})
+    return score(marked, train(marked.where(~F.col("held_out")), order), ("doc_id", "held_out"))
