@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from outlay.binding import tables as b
 from outlay.functions.money import dmoney
-from outlay.operators import anomalies, billing
+from outlay.operators import anomalies, billing, disk_history
 from outlay.sources import billing as scans
 
 AS_OF = b.AS_OF
@@ -105,6 +105,11 @@ def _(spark, sf):
     return billing.unattached_disk_cost(b.billing(spark, sf), b.disk_assets(spark, sf), AS_OF)
 
 
+@query("B6_idle_disk_days")
+def _(spark, sf):
+    return disk_history.idle_disk_cost(b.billing(spark, sf), b.disk_assets(spark, sf), AS_OF)
+
+
 @query("B7_egress_cost")
 def _(spark, sf):
     return billing.egress_cost(b.billing(spark, sf), AS_OF)

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import datetime as dt
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from outlay import fixed
-from outlay.functions.dates import calendar_days, day_lit, local_time, utc_time
+from outlay.functions.dates import calendar_days, day_lit, local_time, ts_lit, utc_time
 from outlay.functions.labels import has_label, label_value
 from outlay.functions.money import MONEY, credits_of_type, dmoney, fold_credits, net_cost, ratio, rounded
 from outlay.functions.text import egress_class, first_token, lookup_text
@@ -220,37 +221,52 @@ def credits_breakdown(lines: DataFrame, as_of: dt.date, months: int = 3) -> Data
     )
 
 
-def latest_assets(assets: DataFrame) -> DataFrame:
-    """Newest version of every asset; equal update times are decided by the document text.
+def disk_versions(assets: DataFrame) -> DataFrame:
+    """Every version of a disk by the fields that count; its document goes no further than the scan.
 
-    ``max_by`` combines on the map side, so an asset with very many versions stays small.
+    ``version`` orders the versions of a disk: by update time (none comes first), and equal ones by a hash of the
+    document. One decimal holds both, so aggregates over it keep buffers of fixed width and hash.
     """
-    return (
-        asset_scan(assets)
-        .groupBy("name")
-        .agg(F.max(F.struct("update_time", "data")).alias("latest"))
-        .select("name", F.col("latest.data").alias("data"))
-    )
-
-
-def disk_states(assets: DataFrame) -> DataFrame:
     doc = F.col("data")
-    return latest_assets(assets).select(
+    micros = F.timestamp_diff("MICROSECOND", ts_lit(dt.datetime(1970, 1, 1)), F.col("update_time").cast("timestamp_ntz"))
+    whole = lambda x: x.cast("decimal(19,0)")
+    version = whole(F.coalesce(micros, F.lit(-(1 << 62)))) * F.lit(Decimal(1 << 64)) + whole(F.xxhash64(doc))
+    return asset_scan(assets).select(
         F.col("name").alias("asset_name"),
-        F.json_array_length(F.get_json_object(doc, "$.users")).alias("attached_count"),
+        "update_time",
+        version.cast("decimal(38,0)").alias("version"),
+        F.coalesce(F.json_array_length(F.get_json_object(doc, "$.users")), F.lit(0)).alias("attached_count"),
         F.get_json_object(doc, "$.labels.keep").alias("keep_label"),
         utc_time(F.get_json_object(doc, "$.lastDetachTimestamp")).alias("last_detach"),
     )
 
 
-def unattached_disk_cost(lines: DataFrame, assets: DataFrame, as_of: dt.date, window_days: int = 30) -> DataFrame:
-    """Cost of disks whose latest asset version lists no user."""
+def disk_states(assets: DataFrame) -> DataFrame:
+    """``asset_name, attached_count, keep_label, last_detach`` of the newest version of every asset.
+
+    The newest version for each value of the label comes first: that combines on the map side, so an asset
+    with very many versions sends a row for each task and label value. The label is the only text, and as a key it needs no
+    buffer. The window then holds the label values of one asset.
+    """
+    newest = Window.partitionBy("asset_name").orderBy(F.col("version").desc())
+    return (
+        disk_versions(assets)
+        .groupBy("asset_name", "keep_label")
+        .agg(*[F.max_by(c, "version").alias(c) for c in ("attached_count", "last_detach")], F.max("version").alias("version"))
+        .withColumn("place", F.row_number().over(newest))
+        .filter("place = 1")
+        .select("asset_name", "attached_count", "keep_label", "last_detach")
+    )
+
+
+def disk_cost_lines(lines: DataFrame, as_of: dt.date, window_days: int) -> DataFrame:
+    """The window's lines of disks by name: what a disk is called, where it is, and the net cost."""
     resource = F.col("resource.global_name")
-    keys = ["disk_global_name", "disk_name", "project_id", "zone", "sku"]
-    cost = (
+    return (
         billing_scan(lines, as_of, window_days)
         .filter((service_name() == fixed.COMPUTE_SERVICE) & sku_text().rlike(fixed.RE_DISK_SKU) & resource.like(fixed.DISK_NAME_LIKE))
         .select(
+            "usage_start_time",
             resource.alias("disk_global_name"),
             F.col("resource.name").alias("disk_name"),
             F.col("project.id").alias("project_id"),
@@ -258,12 +274,16 @@ def unattached_disk_cost(lines: DataFrame, assets: DataFrame, as_of: dt.date, wi
             sku_text().alias("sku"),
             line_net().alias("net"),
         )
-        .groupBy(*keys)
-        .agg(F.sum("net").alias("net"))
     )
+
+
+def unattached_disk_cost(lines: DataFrame, assets: DataFrame, as_of: dt.date, window_days: int = 30) -> DataFrame:
+    """Cost of disks whose latest asset version lists no user."""
+    keys = ["disk_global_name", "disk_name", "project_id", "zone", "sku"]
+    cost = disk_cost_lines(lines, as_of, window_days).groupBy(*keys).agg(F.sum("net").alias("net"))
     # Only names of this form can join, so other assets leave before their versions are compared.
     disks = assets.filter(F.col("name").like(fixed.DISK_NAME_LIKE))
-    idle = disk_states(disks).filter(F.coalesce(F.col("attached_count"), F.lit(0)) == 0)
+    idle = disk_states(disks).filter(F.col("attached_count") == 0)
     return cost.join(idle, cost.disk_global_name == idle.asset_name, "inner").select(
         "project_id",
         "zone",
