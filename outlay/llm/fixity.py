@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from outlay.llm.common import materialise
 
 
-def warc_records(pages: DataFrame, per_file: int = 256) -> DataFrame:
-    """``file, offset, page_id, payload``: pages as response records of numbered files, one after another."""
+def warc_payloads(pages: DataFrame, per_file: int = 256) -> DataFrame:
+    """``file, page_id, payload``: pages as response records of numbered files, in the order of their ids."""
     body = F.coalesce("html", F.lit("")).cast("binary")
     head = F.concat_ws(
         "\r\n",
@@ -35,16 +35,38 @@ def warc_records(pages: DataFrame, per_file: int = 256) -> DataFrame:
         F.concat(F.lit("Content-Length: "), F.octet_length(F.coalesce("html", F.lit("")))),
         F.lit("\r\n"),
     )
-    rows = pages.select(F.format_string("part-%08d.warc", F.expr(f"page_id div {per_file}")).alias("file"), "page_id", F.concat(head.cast("binary"), body, F.lit("\r\n\r\n").cast("binary")).alias("payload"))
+    return pages.select(F.format_string("part-%08d.warc", F.expr(f"page_id div {per_file}")).alias("file"), "page_id", F.concat(head.cast("binary"), body, F.lit("\r\n\r\n").cast("binary")).alias("payload"))
+
+
+def size_of(payload: Column) -> Column:
+    return F.octet_length(payload).cast("bigint")
+
+
+def hash_of(payload: Column) -> Column:
+    """SHA-256 of a payload behind a mark; a missing one has another mark than an empty one."""
+    mark = F.when(payload.isNull(), F.lit("-").cast("binary")).otherwise(F.concat(F.lit("+").cast("binary"), payload.cast("binary")))
+    return F.sha2(mark, 256)
+
+
+def with_offsets(records: DataFrame) -> DataFrame:
+    """``records`` (``file, page_id, size`` and more) with the ``offset`` of each, one behind the other.
+
+    Rows are shuffled by file as they are, so hash payloads before and leave them behind.
+    """
     before = W.partitionBy("file").orderBy("page_id").rowsBetween(W.unboundedPreceding, -1)
-    sized = rows.withColumn("size", F.octet_length("payload").cast("bigint"))
-    return sized.select("file", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("offset"), "page_id", "payload")
+    return records.withColumn("offset", F.coalesce(F.sum("size").over(before), F.lit(0)))
+
+
+def warc_records(pages: DataFrame, per_file: int = 256) -> DataFrame:
+    """``file, offset, page_id, hash``: the records of the pages' WARC files by hash; payloads stay in the scan."""
+    hashed = warc_payloads(pages, per_file).select("file", "page_id", size_of(F.col("payload")).alias("size"), hash_of(F.col("payload")).alias("hash"))
+    return with_offsets(hashed).select("file", "offset", "page_id", "hash")
 
 
 def record_hashes(records: DataFrame) -> DataFrame:
-    """``file, offset, hash``, one row for each place and hash."""
-    mark = F.when(F.col("payload").isNull(), F.lit("-").cast("binary")).otherwise(F.concat(F.lit("+").cast("binary"), F.col("payload").cast("binary")))
-    return records.select(F.coalesce("file", F.lit("")).alias("file"), F.coalesce("offset", F.lit(-1)).cast("bigint").alias("offset"), F.sha2(mark, 256).alias("hash")).distinct()
+    """``file, offset, hash``, one row for each place and hash; made from ``payload`` where there is one."""
+    hashed = hash_of(F.col("payload")) if "payload" in records.columns else F.col("hash")
+    return records.select(F.coalesce("file", F.lit("")).alias("file"), F.coalesce("offset", F.lit(-1)).cast("bigint").alias("offset"), hashed.alias("hash")).distinct()
 
 
 def joined_hash(order: Column, hash_: Column) -> Column:
@@ -84,7 +106,7 @@ def differing(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
 def audit(first: DataFrame, second: DataFrame, leaf_bytes: int = 1 << 16, fanout: int = 16) -> DataFrame:
     """``file, offset, kind, hash_first, hash_second`` of each damaged record, ``kind`` changed, missing or extra.
 
-    ``first`` and ``second`` have ``file, offset, payload``; missing and extra are seen from ``second``.
+    ``first`` and ``second`` have ``file, offset`` and ``payload`` or, from ``hash_of``, ``hash``; missing and extra are seen from ``second``.
     """
     a, b = materialise(record_hashes(first), "hashes"), materialise(record_hashes(second), "hashes")
     size = a.union(b).agg(F.max("offset").alias("top"), F.count(F.when(F.col("offset") < 0, 1)).alias("placeless")).first()

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from outlay.llm import convrepair, decontaminate, exactdedup, fixity, kneserney, langid, linededup, minhash, mixing, oracles, periodicity, quality, tokencount, urlrules
-from outlay.llm.common import read, split_words
+from outlay.llm.common import materialise, read, split_words
 
 # A public SentencePiece file; its pieces and whole-number scores serve as a unigram vocabulary.
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
@@ -39,10 +39,13 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pages as WARC files against a replica of them with flipped, lost and added records."""
-    records = fixity.warc_records(read(spark, sf_dir, "pages"))
     payload, page = F.col("payload"), F.col("page_id")
-    replica = records.where(page % 97 != 11).withColumn("payload", F.when(page % 101 == 7, F.overlay("payload", F.lit("X").cast("binary"), F.lit(20))).otherwise(payload))
-    added = records.where(page % 499 == 3).select("file", (F.col("offset") + 1).alias("offset"), "page_id", "payload")
+    flipped = F.overlay("payload", F.lit("X").cast("binary"), F.lit(20))
+    hashes = [fixity.hash_of(payload).alias("hash"), F.when(page % 101 == 7, fixity.hash_of(flipped)).alias("flipped")]
+    hashed = fixity.warc_payloads(read(spark, sf_dir, "pages")).select("file", "page_id", fixity.size_of(payload).alias("size"), *hashes)
+    records = materialise(fixity.with_offsets(hashed), "records")
+    replica = records.where(page % 97 != 11).select("file", "offset", F.coalesce("flipped", "hash").alias("hash"))
+    added = records.where(page % 499 == 3).select("file", (F.col("offset") + 1).alias("offset"), "hash")
     return fixity.audit(records, replica.union(added))
 
 
