@@ -9,10 +9,14 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming import StreamingQuery
 
@@ -91,56 +95,82 @@ def align_reduce_stream(
     return reduced.select(*group_by, F.col("w.start").alias("period"), "value")
 
 
-COUNTER_STATE = "grid bigint, value double, ts array<bigint>, open array<double>"
+COUNTER_STATE = "rows binary"
+# Series share the groups of the state: enough of them for all cores, and few beside the series.
+COUNTER_GROUPS = 1024
 
 
 def counter_rate_stream(
-    samples: DataFrame, keys: list[str], seconds: int = 300, late: str = "10 minutes", max_gap: dt.timedelta | None = None
+    samples: DataFrame,
+    keys: list[str],
+    seconds: int = 300,
+    late: str = "10 minutes",
+    max_gap: dt.timedelta | None = None,
+    groups: int = COUNTER_GROUPS,
 ) -> DataFrame:
     """``metrics.counter_rate`` on a stream: per-second rate per series and closed cell, for append mode.
 
     The state of a series is the newest closed cell with its last value, from which the step into the next
     one is taken, and the scrapes the watermark has not closed yet: those of ``late`` and a cell. Gaps and
-    resets count as in batch; scrapes of closed cells are dropped.
+    resets count as in batch; scrapes of closed cells are dropped. A group of the state holds the series of one
+    hash, which are stepped together; ``groups`` has to stay the same for one checkpoint and grows with the series.
     """
     width = seconds * 1_000_000
     gap = 2 * width if max_gap is None else int(max_gap.total_seconds() * 1_000_000)
     series = ["metric", *keys]
-
-    def risen(now: float, was: float) -> float:
-        return now if now < was else now - was
+    columns = [*series, "us", "value"]
+
+    def stepped(rows: pd.DataFrame, closed: int) -> tuple[pd.DataFrame, pd.DataFrame]:
+        """Increases of the cells of many series that are closed, and the rows to keep.
+
+        ``rows`` are scrapes (``us, value, carried`` false) and for each series its newest closed cell with its last
+        value, if there is one (``us`` is the cell, ``carried`` true).
+        """
+        rows = rows.assign(series=rows.groupby(series, dropna=False, sort=False).ngroup()).sort_values(["series", "us", "value"], ignore_index=True)
+        done = (rows["us"] // width * width + width <= closed) | rows["carried"]
+        left, rows = rows[~done], rows[done].reset_index(drop=True)
+        if not len(rows):
+            return rows.assign(grid=rows["us"], increase=rows["value"]), left
+        code, value, carried = (rows[c].to_numpy() for c in ("series", "value", "carried"))
+        grid = rows["us"].to_numpy() // width * width
+        same = np.concatenate([[False], code[1:] == code[:-1]])
+        begins = ~same | np.concatenate([[True], grid[1:] != grid[:-1]])
+        was, since = np.roll(value, 1), grid - np.roll(grid, 1)
+        far = begins & same & (since > gap)
+        rise = np.where(same & ~far, np.where(value < was, value, value - was), 0.0)
+        starts = np.flatnonzero(begins)
+        scrapes = np.diff([*starts, len(rows)])
+        cells = rows.iloc[starts].assign(grid=grid[starts], increase=np.add.reduceat(rise, starts))
+        # A cell behind too long a gap has no increase of its own if it has a single scrape.
+        cells = cells[~carried[starts] & ~(far[starts] & (scrapes == 1))]
+        newest = rows.groupby("series", sort=False).tail(1)
+        newest = newest.assign(us=newest["us"] // width * width, carried=True)
+        return cells, pd.concat([newest, left])
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        before, last, times, values = state.get if state.exists else (None, None, [], [])
         closed = state.getCurrentWatermarkMs() * 1000
-        points = list(zip(times, values))
+        parts = [pa.ipc.open_stream(state.get[0]).read_all().to_pandas()] if state.exists else []
         for frame in frames:
-            points += [(t, v) for t, v in zip(frame["us"].tolist(), frame["value"].tolist()) if t - t % width + width > closed]
-        points.sort()
-        out, place = [], 0
-        while place < len(points) and points[place][0] // width * width + width <= closed:
-            grid, start = points[place][0] // width * width, place
-            while place < len(points) and points[place][0] < grid + width:
-                place += 1
-            inside = [v for _, v in points[start:place]]
-            increase = sum(risen(now, was) for was, now in zip(inside, inside[1:]))
-            if before is not None and grid - before > gap:
-                increase = increase if len(inside) > 1 else None
-            elif before is not None:
-                increase += risen(inside[0], last)
-            if increase is not None:
-                out.append((*key, grid, increase / seconds))
-            before, last = grid, inside[-1]
-        left = points[place:]
-        state.update((before, last, [t for t, _ in left], [v for _, v in left]))
-        if left:
-            state.setTimeoutTimestamp(max(left[0][0] // width * width + width, closed + 1000) // 1000)
-        yield pd.DataFrame(out, columns=[*series, "grid", "value"])
+            fresh = frame.loc[frame["us"] // width * width + width > closed, columns]
+            parts.append(fresh.assign(carried=False))
+        rows = pd.concat([p for p in parts if len(p)] or parts[:1], ignore_index=True)
+        cells, kept = stepped(rows, closed)
+        kept = pa.Table.from_pandas(kept[[*columns, "carried"]], schema=stored, preserve_index=False)
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, stored) as writer:
+            writer.write_table(kept)
+        state.update((sink.getvalue().to_pybytes(),))
+        waiting = kept.filter(pc.invert(kept["carried"]))["us"]
+        if len(waiting):
+            state.setTimeoutTimestamp(max(pc.min(waiting).as_py() // width * width + width, closed + 1000) // 1000)
+        yield cells.assign(value=cells["increase"] / seconds)[[*series, "grid", "value"]]
 
     scrapes = samples.filter(F.col("value").isNotNull()).withWatermark("ts", late)
-    scrapes = scrapes.select(*series, "ts", F.unix_micros("ts").alias("us"), "value")
+    scrapes = scrapes.select(F.pmod(F.xxhash64(*series), F.lit(groups)).alias("group"), *series, "ts", F.unix_micros("ts").alias("us"), "value")
+    kept_schema = T.StructType([*[scrapes.schema[c] for c in columns], T.StructField("carried", T.BooleanType())])
+    stored = to_arrow_schema(kept_schema)
     schema = T.StructType([*[scrapes.schema[c] for c in series], T.StructField("grid", T.LongType()), T.StructField("value", T.DoubleType())])
-    rates = scrapes.groupBy(*series).applyInPandasWithState(step, schema, COUNTER_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    rates = scrapes.groupBy("group").applyInPandasWithState(step, schema, COUNTER_STATE, "append", GroupStateTimeout.EventTimeTimeout)
     return rates.select(*series, F.timestamp_micros("grid").alias("grid"), "value")
 
 
