@@ -230,7 +230,8 @@ def _(lines):
 
 @query("P24_code_texts")
 def _(lines):
-    rows = lines.select(F.explode("credits").alias("c")).select(F.col("c.type").alias("credit_type"))
+    # A plain explode puts a filter on the array below it, which builds the credits a second time.
+    rows = lines.select(F.posexplode_outer("credits.type").alias("pos", "credit_type")).filter(F.col("pos").isNotNull())
     meaning = lookup_text(F.col("credit_type"), fixed.CREDIT_MEANINGS, fixed.CREDIT_MEANING_OTHER)
     return rows.groupBy("credit_type").agg(count().alias("credits")).withColumn("meaning", meaning)
 
