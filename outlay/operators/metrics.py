@@ -70,39 +70,46 @@ def counter_increase(samples: DataFrame, keys: list[str], step: str = STEP, max_
 
 
 def counter_cells(samples: DataFrame, keys: list[str], step: str = STEP) -> DataFrame:
-    """Increase inside each cell, with its first and last value."""
+    """Increase inside each cell, with its first and last value.
+
+    The window leaves its rows in the order of the cells. Minima of structs are added up in that order, where
+    ``min_by`` would take a hash table of all cells of the task.
+    """
     series = ["metric", *keys]
     cell = Window.partitionBy(*series, "grid").orderBy("ts")
-    value = F.col("value")
+    value, point = F.col("value"), F.struct("ts", "value")
     return (
         samples.select(*series, grid(step).alias("grid"), "ts", "value")
         .withColumn("rise", _rise(value, F.lag("value").over(cell)))
         .groupBy(*series, "grid")
         .agg(
             F.sum("rise").alias("inner"),
-            F.min_by("value", "ts").alias("first_value"),
-            F.max_by("value", "ts").alias("last_value"),
+            F.min(point)["value"].alias("first_value"),
+            F.max(point)["value"].alias("last_value"),
             F.count("value").alias("scrapes"),
         )
     )
 
 
-def increase_of_cells(cells: DataFrame, keys: list[str], max_gap: dt.timedelta | None = None, bridged: tuple[str, ...] = ()) -> DataFrame:
+def _stepped(cell: Column, before: Column, max_gap: dt.timedelta | None) -> Column:
+    """Increase of a cell after the one ``before``, NULL where there is none; see ``increase_of_cells``."""
+    increase = cell["inner"] + _rise(cell["first_value"], before["last_value"])
+    if max_gap is None:
+        return increase
+    gone = F.unix_seconds(cell["grid"].cast("timestamp")) - F.unix_seconds(before["grid"].cast("timestamp")) > max_gap.total_seconds()
+    return F.when(F.coalesce(gone, F.lit(False)), F.when(cell["scrapes"] > 1, cell["inner"])).otherwise(increase)
+
+
+def increase_of_cells(cells: DataFrame, keys: list[str], max_gap: dt.timedelta | None = None) -> DataFrame:
     """Increase inside each cell plus the step from the last value of the cell before.
 
     With ``max_gap`` the step over a longer gap between cells is unknown and left out; a cell with a
-    single sample then has no increase (NULL). The counters named in ``bridged`` step over any gap.
+    single sample then has no increase (NULL).
     """
     by_cell = Window.partitionBy("metric", *keys).orderBy("grid")
-    step_in = _rise(F.col("first_value"), F.lag("last_value").over(by_cell))
+    cell = F.struct("inner", "first_value", "last_value", "scrapes", "grid")
     rest = [c for c in cells.columns if c not in ("inner", "first_value", "last_value", "scrapes")]
-    increase = F.col("inner") + step_in
-    if max_gap is not None:
-        seconds = F.unix_seconds(F.col("grid").cast("timestamp"))
-        gone = seconds - F.lag(seconds).over(by_cell) > max_gap.total_seconds()
-        short = F.when(F.col("scrapes") > 1, F.col("inner"))
-        increase = F.when(F.coalesce(gone, F.lit(False)) & ~F.col("metric").isin(*bridged), short).otherwise(increase)
-    return cells.select(*rest, increase.alias("increase"))
+    return cells.select(*rest, _stepped(cell, F.lag(cell).over(by_cell), max_gap).alias("increase"))
 
 
 def counter_rate(
@@ -157,8 +164,9 @@ def usage_from_samples(
     A pod counts as a replica with its request if that is alive at ``now``; usage covers the lookback,
     also of pods that are gone. Rates leave out gaps beyond ``max_gap``; kills are counted over them.
 
-    All series are first reduced to grid cells.  One repartition of the cells by pod then serves
-    the steps between cells, the metrics side by side, and the percentiles.
+    All series are first reduced to grid cells.  One repartition of the cells by pod then serves the
+    metrics side by side, the steps between cells, and the percentiles: the cells are sorted once, and
+    no hash table holds them.
     """
     keys = SERIES
     if cluster is not None:
@@ -179,19 +187,32 @@ def usage_from_samples(
     cells = counter_cells(counters, keys).unionByName(
         gauge_last(gauges, keys).withColumnRenamed("value", "gauge"), allowMissingColumns=True
     )
-    increases = increase_of_cells(cells.repartition(*keys), keys, max_gap, bridged=(fixed.M_OOM_EVENTS,))
-    points = increases.select("metric", *keys, "grid", F.coalesce("gauge", "increase").alias("value"))
+    cell = F.struct("inner", "first_value", "last_value", "scrapes", "grid")
 
-    def of(name: str) -> Column:
-        return F.max(F.when(F.col("metric") == name, F.col("value")))
-
-    wide = points.groupBy(*keys, "grid").agg(
-        (of(fixed.M_CPU_USAGE) / STEP_SECONDS).alias("cpu"),
-        of(fixed.M_MEM_WORKING_SET).alias("mem"),
-        ratio(of(fixed.M_THROTTLED), of(fixed.M_PERIODS)).alias("throttled"),
-        of(fixed.M_OOM_EVENTS).alias("oom"),
-        of(fixed.M_CPU_REQUEST).alias("cpu_request"),
-        of(fixed.M_MEM_REQUEST).alias("mem_request"),
+    def side(name: str, value: Column) -> Column:
+        return F.max(F.when(F.col("metric") == name, value)).alias(name)
+
+    steps = [fixed.M_CPU_USAGE, fixed.M_THROTTLED, fixed.M_PERIODS, fixed.M_OOM_EVENTS]
+    levels = [fixed.M_MEM_WORKING_SET, fixed.M_CPU_REQUEST, fixed.M_MEM_REQUEST]
+    # One cell for each metric, so each maximum is of one value.
+    sides = cells.repartition(*keys).groupBy(*keys, "grid").agg(
+        *[side(name, cell) for name in steps], *[side(name, F.col("gauge")) for name in levels]
+    )
+    earlier = Window.partitionBy(*keys).orderBy("grid").rowsBetween(Window.unboundedPreceding, -1)
+    sides = sides.withColumns({f"{name}_before": F.last(name, ignorenulls=True).over(earlier) for name in steps})
+
+    def rise(name: str, gap: dt.timedelta | None = max_gap) -> Column:
+        return _stepped(F.col(name), F.col(f"{name}_before"), gap)
+
+    wide = sides.select(
+        *keys,
+        "grid",
+        (rise(fixed.M_CPU_USAGE) / STEP_SECONDS).alias("cpu"),
+        F.col(fixed.M_MEM_WORKING_SET).alias("mem"),
+        ratio(rise(fixed.M_THROTTLED), rise(fixed.M_PERIODS)).alias("throttled"),
+        rise(fixed.M_OOM_EVENTS, None).alias("oom"),
+        F.col(fixed.M_CPU_REQUEST).alias("cpu_request"),
+        F.col(fixed.M_MEM_REQUEST).alias("mem_request"),
     )
 
     def latest(name: str) -> Column:

@@ -1,4 +1,4 @@
-"""What the JVM has to compile: no method beyond its limit, and nested columns built once."""
+"""What the JVM has to compile, and what a task has to hold."""
 
 from __spark_entry__ import queries
 
@@ -22,3 +22,9 @@ def test_cost_view_is_compiled(spark):
 def test_credit_types_build_no_credits_in_a_filter(spark):
     plan = queries()["P24_code_texts"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "Filter" in plan and "size(" not in plan
+
+
+def test_usage_keeps_no_hash_table_of_counter_cells(spark):
+    plan = queries()["K1_usage_from_samples"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    by_cell = [line for line in plan.splitlines() if "HashAggregate(keys=" in line and "grid#" in line.split("functions=")[0]]
+    assert not by_cell
