@@ -4,7 +4,7 @@ A table key is a pair of sub-keys, one from each of two small collections, so ``
 tables need only ``2 * per_side * rows`` minhashes instead of ``per_side ** 2 * 2 * rows``. A pair of
 documents with similarity ``s`` meets in some table with probability
 ``(1 - (1 - s ** rows) ** per_side) ** 2``: 0.9995 at 0.8 and more than 0.9999 from 0.85 on with the
-values used here, and it is tried in all tables in which it meets.
+values used here, and pairs that do not meet in one need not be compared.
 
 Steps, all between Spark shuffles:
 
@@ -12,10 +12,11 @@ Steps, all between Spark shuffles:
    with equal sets form a class; from here on a class is one node, named by its smallest doc_id, so
    thousands of copies cost one row.
 2. Sub-keys that no second class has are dropped; most documents end here.
-3. Rounds: each document is verified against a pivot of its sub-keys, on the full sets. Tables, the pairs
-   of sub-keys, are formed only where several components still meet in both sub-keys, so a group of near
-   copies costs about a test for each member and no table. Members of such tables are tried against
-   their pivots, and the rest against all members of other components that a prefix filter, which is
+3. Rounds: each document is verified against a pivot of its sub-keys, on the full sets. Two documents
+   meet in a table if they share a sub-key of each collection, so the tables themselves are never formed:
+   a document has a row for each sub-key in which several components still meet, at most ``2 * per_side``,
+   and a group of near copies soon has none. Those documents are tried against the pivots of their
+   sub-keys, and the rest against all members of other components that a prefix filter, which is
    exact, does not rule out. No link between components is lost.
 
 Defined cases: NULL and empty texts and texts without words have an empty set and are linked with
@@ -131,32 +132,24 @@ def shared_keys(classes: DataFrame, per_side: int) -> DataFrame:
     """
     keys = classes.select("node", F.posexplode("keys").alias("slot", "key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    alive = keys.join(shared, "key")
+    return on_both_sides(keys.join(shared, "key"), per_side)
+
+
+def on_both_sides(alive: DataFrame, per_side: int) -> DataFrame:
+    """The rows of nodes that have sub-keys from both collections, and so can meet another one in a table."""
     sides = alive.groupBy("node").agg(F.min("slot").alias("first"), F.max("slot").alias("last"))
     return alive.join(sides.where((F.col("first") < per_side) & (F.col("last") >= per_side)).select("node"), "node")
 
 
-def open_tables(keys: DataFrame, found: DataFrame, per_side: int) -> DataFrame:
-    """``table, node`` of the tables that hold several of the components ``found``, each membership once.
+def open_keys(keys: DataFrame, found: DataFrame, per_side: int) -> DataFrame:
+    """``node, slot, key, component`` of the sub-keys that hold several of the components ``found``.
 
-    The members of a table share both its sub-keys, so one of a single component rules out all its tables;
-    what is then left of the tables is aggregated before anything is joined to them.
+    The members of a table share both its sub-keys, so two components that meet in a table meet in two of
+    these sub-keys. A node has at most ``2 * per_side`` rows here, and ``per_side ** 2`` tables.
     """
-    named = keys.join(found, "node", "left").select("node", "slot", "key", F.coalesce("component", "node").alias("component"))
-    named = materialise(named, "named")
-
-    def mixed(rows: DataFrame, by: str) -> DataFrame:
-        return rows.groupBy(by).agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select(by)
-
-    left = named.join(mixed(named, "key"), "key").groupBy("node", "component").agg(F.collect_list(F.struct("slot", "key")).alias("keys"))
-    side = [F.filter("keys", lambda x: x.slot < per_side), F.filter("keys", lambda x: x.slot >= per_side)]
-    paired = left.select("node", "component", side[0].alias("u"), side[1].alias("v")).select("node", "component", F.explode("u.key").alias("u"), "v").select("node", "component", "u", F.explode("v.key").alias("v"))
-    members = paired.select("node", "component", F.xxhash64("u", "v").alias("table"))
-    members = materialise(members.join(mixed(members, "table"), "table").select("table", "node"), "tables")
-    # Tables with the same members count once.
-    stats = members.groupBy("table").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("check"))
-    once = stats.groupBy("n", "low", "check").agg(F.min("table").alias("table")).select("table")
-    return members.join(once, "table")
+    named = materialise(keys.join(found, "node", "left").select("node", "slot", "key", F.coalesce("component", "node").alias("component")), "named")
+    several = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
+    return materialise(on_both_sides(named.join(several, "key"), per_side), "open")
 
 
 def set_items(sets: DataFrame) -> DataFrame:
@@ -205,44 +198,36 @@ def prefix_pairs(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
 def near_links(keys: DataFrame, sets: DataFrame, percent: int, per_side: int) -> DataFrame:
     """``a, b``: verified links that connect whatever the links within the tables connect.
 
-    The pivot of a sub-key or table is its member with the most of them. Round 1 tries each node against
-    the best pivot of its sub-keys; a group of near copies is connected after it, and so has no open
-    table. Round 2 tries the members of open tables against the pivots of those they are not connected with
-    yet. Round 3 tries what is left between different components, of tables that still have several, as
-    far as exact bounds allow a link.
+    The pivot of a sub-key is its member with the most of them. Round 1 tries each node against the best
+    pivot of its sub-keys; a group of near copies is connected after it, and so has no open sub-key.
+    Round 2 tries the members of open sub-keys against the pivots they are not connected with yet. Round 3
+    tries what is left between different components, of sub-keys that still have several, as far as exact
+    bounds allow a link.
     """
 
-    def ranked_pivots(rows: DataFrame, by: str) -> DataFrame:
+    def ranked_pivots(rows: DataFrame, *more: str) -> DataFrame:
         # A node that meets others at many places is close to many, as the origin of a group of copies is.
         degree = rows.groupBy("node").agg(F.count("*").alias("degree"))
-        ranked = rows.join(degree, "node").withColumn("rank", F.struct("degree", (-F.col("node")).alias("low")))
-        return ranked.groupBy(by).agg(F.max("rank").alias("rank"))
+        ranked = rows.join(degree, "node").withColumn("rank", F.struct("degree", (-F.col("node")).alias("low"), *more))
+        return ranked.groupBy("key").agg(F.max("rank").alias("rank"))
 
     def ordered(pairs: DataFrame, x: str, y: str) -> DataFrame:
         return pairs.where(F.col(x) != F.col(y)).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
 
-    best = keys.join(ranked_pivots(keys, "key"), "key").groupBy("node").agg(F.max("rank").alias("rank"))
+    best = keys.join(ranked_pivots(keys), "key").groupBy("node").agg(F.max("rank").alias("rank"))
     done = materialise(verified(ordered(best.select("node", (-F.col("rank.low")).alias("pivot")), "node", "pivot"), sets, percent), "verified")
     links = done.where("linked").select("a", "b")
-    members = materialise(open_tables(keys, components(links), per_side), "members")
-    pivots = materialise(ranked_pivots(members, "table").select("table", (-F.col("rank.low")).alias("pivot")), "pivots")
-
-    def labelled(links: DataFrame) -> DataFrame:
-        found = materialise(components(links), "components")
-        named = members.join(found, "node", "left").select("table", "node", F.coalesce("component", "node").alias("component"))
-        mixed = named.groupBy("table").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-        return materialise(named.join(mixed.select("table"), "table"), "labelled")
-
-    open_ = labelled(links)
-    own = open_.join(pivots.select("table", F.col("pivot").alias("node")), ["table", "node"]).select("table", F.col("node").alias("pivot"), F.col("component").alias("own"))
-    tried = ordered(open_.join(own, "table").where("component <> own"), "node", "pivot")
+
+    open_ = open_keys(keys, components(links), per_side)
+    pivots = ranked_pivots(open_, "component").select("key", (-F.col("rank.low")).alias("pivot"), F.col("rank.component").alias("own"))
+    tried = ordered(open_.join(pivots, "key").where("component <> own"), "node", "pivot")
     more = materialise(verified(tried.join(done, ["a", "b"], "left_anti"), sets, percent), "verified")
     links, done = links.union(more.where("linked").select("a", "b")), done.union(more).select("a", "b")
 
-    open_ = labelled(links)
-    largest = open_.groupBy("table", "component").agg(F.count("*").alias("n")).groupBy("table").agg(F.max_by("component", "n").alias("largest"))
-    # One node of a pair lies outside a table's largest component; a table of near copies has few of those.
-    labels = open_.join(largest, "table").groupBy("node", "component").agg(F.max(F.col("component") != F.col("largest")).alias("stranger"))
+    open_ = open_keys(open_.drop("component"), components(links), per_side)
+    largest = open_.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("component", "n").alias("largest"))
+    # One node of a pair lies outside a sub-key's largest component; a sub-key of near copies has few of those.
+    labels = open_.join(largest, "key").groupBy("node", "component").agg(F.max(F.col("component") != F.col("largest")).alias("stranger"))
     labels = materialise(labels, "labels")
     able = materialise(within_reach(sets.join(labels.select("node"), "node", "left_semi"), percent), "able")
     left = prefix_pairs(sets.join(able.select("node"), "node", "left_semi"), labels, percent)
