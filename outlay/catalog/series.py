@@ -47,7 +47,8 @@ def _(spark, sf):
     """Ten daily runs: each restates the days that changed, scores one day and adds it to the feed."""
     first = b.AS_OF - dt.timedelta(days=9 + 2 + 30)
     series, feed = DailySeries(spark, sinks.shared_folder(spark, "series"), first), sinks.shared_folder(spark, "anomalies")
-    lines, found = b.billing(spark, sf), None
+    lines = series.landed(b.billing(spark, sf), sinks.shared_folder(spark, "export"), end_of(b.AS_OF))
+    found = None
     for ago in range(9, -1, -1):
         as_of = b.AS_OF - dt.timedelta(days=ago)
         series.update(lines, end_of(as_of))

@@ -9,6 +9,9 @@ Beside the days lie blocks of ``BLOCK_DAYS`` days with the count, mean and squar
 They merge, so the baseline of a day is merged from a few blocks and single days, and a daily run
 neither rereads five weeks of lines nor five weeks of days.
 
+An export that is a view over something else is derived anew by every run.  ``DailySeries.landed`` writes the
+covered lines once, by ingestion day, so that each run after it opens the partitions it needs only.
+
 Layout below one path: ``days/usage_date=…``, ``blocks/block=…``, ``runs/until=…``.  A run is recorded last:
 one that was lost midway is repeated from the same state and writes the same partitions.
 """
@@ -34,6 +37,7 @@ BLOCKS = "project_id string, service string, n bigint, mean double, m2 double, b
 RUNS = "since timestamp_ntz, days int, until timestamp_ntz"
 MOMENTS = T.StructType([T.StructField("n", T.LongType()), T.StructField("mean", T.DoubleType()), T.StructField("m2", T.DoubleType())])
 EPOCH = dt.date(1970, 1, 1)
+LANDED = ["usage_start_time", "export_time", "cost_type", "project", "service", "cost", "credits", "ingest_date"]
 
 
 def changed_days(lines: DataFrame, since: dt.datetime | None, until: dt.datetime, slack: int = 1) -> DataFrame:
@@ -110,6 +114,12 @@ class DailySeries:
         early = self.first_day - dt.timedelta(days=slack)
         return lines.filter((F.col("ingest_date") >= day_lit(early)) & (usage_day() >= day_lit(self.first_day)))
 
+    def landed(self, lines: DataFrame, path: str, until: dt.datetime, slack: int = 1) -> DataFrame:
+        """The lines of runs up to ``until``, with the columns of the series, written by ingestion day and read again."""
+        kept = _exported(regular_only(self._covered(lines, slack)), until, slack).select(*LANDED)
+        overwrite_partitions(kept, path, "ingest_date")
+        return self.spark.read.schema(kept.schema).parquet(path)
+
     def _table(self, name: str, schema: str) -> DataFrame:
         try:
             return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")

@@ -148,3 +148,29 @@ def test_scoring_reads_blocks_and_single_days_only(spark, export, tmp_path):
     # The day itself; at most ten single days and five blocks instead of thirty days.
     assert len(dates) == 2 and sum(len(re.findall(r"\d{4}-\d\d-\d\d", f)) for f in dates) <= 11
     assert len(blocks) == 1 and 4 <= len(re.findall(r"\b\d{4}\b", blocks[0])) <= 5, blocks
+
+
+def test_successive_runs_read_the_landed_lines_only(spark, export, tmp_path):
+    lines = export(*[day(n, cost="10") for n in range(-3, 12)], day(3, arrives=6, cost="5", credits=[("A", "-1")]), day(4, cost="7", cost_type="tax"), day(12, project="p2"))
+    opened = spark.sparkContext.accumulator(0)
+    seen = F.udf(lambda x: opened.add(1) or x, "string")
+    derived = lines.withColumn("cost_type", seen("cost_type").alias("cost_type"))
+    anew, store = (series.DailySeries(spark, str(tmp_path / name), DAY) for name in ("anew", "store"))
+    landed = store.landed(derived, str(tmp_path / "landed"), night(12))
+    once = opened.value
+    for n in (8, 9, 12):
+        assert store.update(landed, night(n)) == anew.update(lines, night(n))
+    # Three runs derive nothing again, and a run opens the newest partitions.
+    assert 0 < once == opened.value
+    assert stated(store) == stated(anew) and (3, "p1", "Compute Engine", 14.0) in stated(store)
+    text = plan(series.changed_days(landed, night(9), night(12)))
+    assert all("2026-09-09" in f for f in re.findall(r"PartitionFilters: \[(.*?)\]\n", text))
+
+
+def test_the_registered_runs_derive_the_export_once(spark, monkeypatch):
+    from outlay.catalog import series as catalog
+
+    given, update = [], series.DailySeries.update
+    monkeypatch.setattr(series.DailySeries, "update", lambda self, lines, *a: given.append(lines) or update(self, lines, *a))
+    catalog.QUERIES["SNK3_incremental_anomalies"](spark, "/root/testdata/sf0.001")
+    assert len(given) == 10 and not any("lineitem" in f for lines in given for f in lines.inputFiles())
