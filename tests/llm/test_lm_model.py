@@ -93,3 +93,12 @@ def test_a_word_missing_from_the_vocabulary_is_an_error(spark, tmp_path):
     model = kneserney.Model(str(tmp_path), 2, 0, {kneserney.FILES: [1, 0, 0, 0, 0, 0, 0]})
     with pytest.raises(Exception, match="not there when words were counted"):
         kneserney.counted(spark.createDataFrame([("a c",)], "text string"), model, 100).collect()
+
+
+def test_shards_and_blocks_do_not_change_scores(spark):
+    rnd = np.random.default_rng(5)
+    docs = spark.createDataFrame([(i, " ".join(f"w{int(30 ** r)}" for r in rnd.random(i % 40))) for i in range(120)], "doc_id int, text string")
+    known = docs.where("doc_id % 3 > 0")
+    one, many = kneserney.train(known, 3), kneserney.train(known, 3, shard_tokens=100, block=50)
+    assert one.bits == 0 and many.bits > 3 and {k: v for k, v in one.stats.items() if k < kneserney.FILES} == {k: v for k, v in many.stats.items() if k < kneserney.FILES}
+    assert kneserney.score(docs, one).orderBy("doc_id").collect() == kneserney.score(docs, many, block=30).orderBy("doc_id").collect()
